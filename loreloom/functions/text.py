@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 # Character classes, patterns and word lists that define the
 # results. They are parameters of the data format and must not drift.
-ALIAS_DROP = "[^0-9a-z㐀-鿿]+"
-MEMORY_DROP = "[^0-9a-z一-鿿]+"
-SIMHASH_TOKEN = "[0-9a-z]+|[㐀-鿿]"
-QUERY_TOKEN = "[0-9a-z]+|[㐀-鿿]{2,}"
+ALIAS_DROP = "[^0-9a-z\u3400-\u9fff]+"
+MEMORY_DROP = "[^0-9a-z\u4e00-\u9fff]+"
+SIMHASH_TOKEN = "[0-9a-z]+|[\u3400-\u9fff]"
+QUERY_TOKEN = "[0-9a-z]+|[\u3400-\u9fff]{2,}"
 QUERY_STRIP = "[\"'():*^]"
-REDIRECT_PATTERN = r"(?iu)^\s*#(?:重定向|redirect)\s*:?[\s‎‏]*\[\[([^\]|#]+)"
+REDIRECT_PATTERN = r"(?iu)^\s*#(?:重定向|redirect)\s*:?[\s\u200e\u200f]*\[\[([^\]|#]+)"
 EXACT_ID_PATTERN = r"^(?:[0-9]+|[a-z][a-z0-9_-]*:[a-z0-9][a-z0-9._/-]*)$"
 OUT_OF_SCOPE_PATTERNS = (
     r"\bfiend\s+folio\b|\bmodded\b",
@@ -38,7 +38,7 @@ UNSAFE_MARKERS = (
 PLAIN_TRIM = " \n|;："
 # End of fixed values.
 
-_LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+_LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
 def fold(c: Column) -> Column:
@@ -85,7 +85,7 @@ def redirect_target(c: Column) -> Column:
 
 
 def norm_plain(c: Column) -> Column:
-    text = F.regexp_replace(c, "[‎‏]", "")
+    text = F.regexp_replace(c, "[\u200e\u200f]", "")
     text = F.regexp_replace(text, "[ \t\u000c\u000b]+", " ")
     text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
     return F.btrim(text, F.lit(PLAIN_TRIM))
@@ -126,7 +126,7 @@ def search_text(c: Column) -> Column:
     token as well. The text is padded with a space on both sides, which makes a
     phrase test a plain substring test.
     """
-    bare = F.regexp_replace(F.lower(c), "[̀-ͯ]", "")
+    bare = F.regexp_replace(F.lower(c), "[\u0300-\u036f]", "")
     bare = F.translate(bare, _ACCENTED, _PLAIN)
     words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}\p{Co}]+", " "))
     return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" "))).otherwise(F.lit(""))
@@ -184,7 +184,7 @@ def contained_keys(c: Column) -> Column:
         _windows(words, F.lit(n), lambda s, n=n: F.array_join(F.slice(words, s, n), ""))
         for n in (2, 3, 4)
     ]
-    runs = F.regexp_extract_all(c, F.lit("[㐀-鿿]+"), F.lit(0))
+    runs = F.regexp_extract_all(c, F.lit("[\u3400-\u9fff]+"), F.lit(0))
 
     def cuts(run: Column) -> Column:
         longest = F.least(F.length(run), F.lit(12))
@@ -242,7 +242,7 @@ def unique_aliases(values: Column) -> Column:
 
 def best_name(aliases: Column, cjk: bool) -> Column:
     """Shortest alias of the wanted script that is not an id code."""
-    has_cjk = lambda v: v.rlike("[㐀-鿿]")
+    has_cjk = lambda v: v.rlike("[\u3400-\u9fff]")
     fit = F.filter(
         aliases,
         lambda v: ~strip(v).rlike(r"^[CcTtKk]\d+$")

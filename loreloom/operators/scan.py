@@ -85,9 +85,9 @@ def running(
         if kind == "max":
             value = F.greatest(carried, F.max(source).over(local))
         elif kind == "sum":
-            value = F.coalesce(carried, F.sum(source).over(local) * 0) + F.coalesce(
-                F.sum(source).over(local), carried * 0
-            )
+            here = F.sum(source).over(local)
+            value = F.when(carried.isNull(), here).when(here.isNull(), carried)
+            value = value.otherwise(carried + here)
         elif kind == "count":
             value = F.coalesce(carried, F.lit(0)) + F.count(source).over(local)
         elif kind == "last":
