@@ -34,16 +34,19 @@ def running(
     chunk: Column,
     values: Mapping[str, tuple[str, Column]],
     inclusive: bool = False,
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add one running column per entry of ``values``.
 
     Each entry maps an output name to ``(kind, column)``. Kinds: ``max``,
     ``sum``, ``count``, ``last`` (latest non-null) and ``prev`` (value of the row
     just before, even if null). ``inclusive`` lets a row see itself; ``prev``
-    never does. The last entries of ``order`` must make it total.
+    never does. The last entries of ``order`` must make it total. With
+    ``keep_chunk`` the chunk column stays, and a following call reuses it and
+    its partitioning.
     """
     keys = list(keys)
-    rows = df.withColumn(CHUNK, chunk)
+    rows = df if CHUNK in df.columns else df.withColumn(CHUNK, chunk)
     for name, (_, column) in values.items():
         rows = rows.withColumn(f"_in_{name}", column)
     position = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
@@ -97,7 +100,7 @@ def running(
                 F.row_number().over(ordered) > 1, F.lag(source).over(ordered)
             ).otherwise(carried["v"])
         joined = joined.withColumn(name, value)
-    dropped = [CHUNK]
+    dropped = [] if keep_chunk else [CHUNK]
     for name in values:
         dropped += [f"_in_{name}", f"_carry_{name}"]
     return joined.drop(*dropped)

@@ -59,3 +59,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def fits(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input has fewer splits than cores.
+
+    A cluster-sized scan already has many splits and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

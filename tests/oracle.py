@@ -78,7 +78,7 @@ def main(argv):
         except Exception as error:  # report and go on with the next query
             verdict, seconds, count = "ERROR " + str(error)[:1500], 0.0, 0
         failures += verdict not in ("ok", "rows-only")
-        print(f"{name:28s} {seconds:6.2f}s {count:8d} {verdict}", flush=True)
+        print(f"\n{name:28s} {seconds:6.2f}s {count:8d} {verdict}", flush=True)
     print("failures", failures)
 
 
