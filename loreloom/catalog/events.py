@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loreloom.catalog import registry, table
 from loreloom.operators import chains, events as ev, state as st
 from loreloom.operators.scan import by_hours, by_span
+from loreloom.streaming import events as se
 
 K = "(props->>'k')::BIGINT"
 ARRIVAL = "event_id + (event_id * 7919) % 400"
@@ -379,3 +380,30 @@ def player_fields(spark, sf_dir):
 )
 def latest_untaken(spark, sf_dir):
     return st.latest_untaken(st.current_items(accepted(spark, sf_dir)))
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@registry.add(f"WITH {SEQ_SQL} SELECT event_id, accepted, gap FROM checked")
+def stream_seq_check(spark, sf_dir):
+    """The sequence check as a stateful stream over the same table."""
+    e = _event_stream(spark, sf_dir).select(
+        "event_id", "user_id", (F.col("event_id") + 1).alias("seq"),
+        (F.col("event_id") + (F.col("event_id") * 7919) % 400).alias("arrival"),
+    )
+    checked = se.order_guard(e, "user_id", "seq", ["arrival", "event_id"])
+    return se.run_to_table(checked, "stream-seq").select("event_id", "accepted", "gap")
+
+
+@registry.add(registry.sql["change_events"])
+def stream_change_events(spark, sf_dir):
+    """Change detection as a stateful stream."""
+    e = _event_stream(spark, sf_dir).select(
+        "event_id", "user_id", "event_type",
+        F.floor(F.get_json_object("props", "$.k").cast("long") / 50).alias("half"),
+    )
+    changed = se.change_stream(e, "user_id", ["event_id"], ["event_type", "half"])
+    return se.run_to_table(changed, "stream-change").select("event_id")
