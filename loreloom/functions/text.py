@@ -167,23 +167,22 @@ def looks_unsafe(c: Column, markers: Sequence[str] = UNSAFE_MARKERS) -> Column:
     return F.coalesce(verdict, F.lit(False))
 
 
-def _windows(items: Column, size: Column, build) -> Column:
-    """All runs of ``size`` consecutive positions; empty when there are too few."""
-    count = F.size(items) if not isinstance(items, str) else F.length(items)
-    return F.when(
-        count >= size,
-        F.transform(F.sequence(F.lit(1), count - size + 1), lambda start: build(start)),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def contained_keys(c: Column) -> Column:
-    """Alias keys that may occur inside a query: the bounded form of a substring join."""
+    """Alias keys that may occur inside a query: the bounded form of a substring join.
+
+    Single words, two to four words run together, and CJK substrings of 2 to 12
+    characters. Overlapping runs come from a look-ahead, so the text is folded
+    and scanned once per length.
+    """
     words = F.regexp_extract_all(fold(c), F.lit("[0-9a-z]+"), F.lit(0))
     single = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
-    grams = [
-        _windows(words, F.lit(n), lambda s, n=n: F.array_join(F.slice(words, s, n), ""))
-        for n in (2, 3, 4)
-    ]
+    line = F.array_join(words, " ")
+    grams = []
+    for n in (2, 3, 4):
+        run = " ".join(["[0-9a-z]+"] * n)
+        pattern = f"(?<![0-9a-z])(?=({run})(?![0-9a-z]))"
+        found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+        grams.append(F.transform(found, lambda g: F.replace(g, F.lit(" "), F.lit(""))))
     runs = F.regexp_extract_all(c, F.lit("[\u3400-\u9fff]+"), F.lit(0))
 
     def cuts(run: Column) -> Column:
@@ -208,32 +207,36 @@ def contained_keys(c: Column) -> Column:
 
 def bigrams(key: Column) -> Column:
     """Distinct character pairs of a key; a one-character key is its own pair."""
-    count = F.greatest(F.lit(1), F.length(key) - 1)
-    pairs = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(key, i, F.lit(2)))
-    return F.when(key != "", F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    pairs = F.array_distinct(F.regexp_extract_all(key, F.lit("(?s)(?=(..))"), F.lit(1)))
+    return F.when(F.length(key) >= 2, pairs).when(key != "", F.array(key)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def first_per_key(items: Column, type_: str, key: str = "key") -> Column:
+    """First struct of every key in an array of structs, order kept."""
+
+    def keep(acc: Column, s: Column) -> Column:
+        known = F.exists(acc, lambda a: a[key] == s[key])
+        return F.when(known, acc).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(items, F.array().cast(f"array<{type_}>"), keep)
 
 
 def unique_aliases(values: Column) -> Column:
     """One alias per normal form: the shortest, then the folded order, then the first."""
-    cleaned = F.filter(
-        F.transform(values, norm_plain),
-        lambda v: (alias_key(v) != "") & (F.length(v) <= 120),
-    )
-    keyed = F.array_sort(
-        F.transform(
-            cleaned,
-            lambda v, i: F.struct(
-                alias_key(v).alias("key"),
-                F.length(v).alias("size"),
-                fold(v).alias("folded"),
-                i.alias("seen"),
-                v.alias("value"),
-            ),
-        )
-    )
-    kept = F.filter(
-        keyed, lambda s, i: (i == 0) | (F.get(keyed, i - 1)["key"] != s["key"])
+    keyed = F.transform(
+        values,
+        lambda v, i: F.struct(
+            alias_key(norm_plain(v)).alias("key"),
+            F.length(norm_plain(v)).alias("size"),
+            fold(norm_plain(v)).alias("folded"),
+            i.alias("seen"),
+            norm_plain(v).alias("value"),
+        ),
     )
+    fit = F.array_sort(F.filter(keyed, lambda s: (s["key"] != "") & (s["size"] <= 120)))
+    kept = first_per_key(fit, "struct<key:string,size:int,folded:string,seen:int,value:string>")
     ordered = F.array_sort(
         F.transform(kept, lambda s: F.struct(s["folded"].alias("f"), s["value"].alias("v")))
     )

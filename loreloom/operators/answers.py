@@ -352,7 +352,7 @@ SENTENCE_END = "(?<=[。！？；])"
 # End of fixed values.
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _hard_cut(sentences: pd.Series, limits: pd.Series) -> pd.Series:
     def pieces(sentence: str, limit: int) -> Iterator[str]:
         rest = sentence.strip()

@@ -52,16 +52,12 @@ def flat_chunks(chunks: DataFrame) -> DataFrame:
 
 def alias_rows(chunks: DataFrame) -> DataFrame:
     """One row per (normalized, chunk); the first alias wins. Needs no shuffle."""
-    aliases = index_aliases()
-    first = F.filter(
-        F.transform(aliases, lambda a: F.struct(tx.alias_key(a).alias("normalized"), a.alias("alias"))),
-        lambda s: s["normalized"] != "",
+    named = F.transform(
+        index_aliases(), lambda a: F.struct(tx.alias_key(a).alias("normalized"), a.alias("alias"))
     )
-    rows = flat_chunks(chunks).withColumn("_a", first).withColumn(
-        "_k", F.transform("_a", lambda s: s["normalized"])
-    )
-    kept = F.filter("_a", lambda s, i: F.array_position(F.col("_k"), s["normalized"]) == i + 1)
-    return rows.select("chunk_id", *FILTER_COLUMNS, F.inline(kept))
+    filled = F.filter(named, lambda s: s["normalized"] != "")
+    first = tx.first_per_key(filled, "struct<normalized:string,alias:string>", "normalized")
+    return flat_chunks(chunks).select("chunk_id", *FILTER_COLUMNS, F.inline(first))
 
 
 def search_fields(chunks: DataFrame) -> DataFrame:

@@ -134,12 +134,6 @@ def memory_versions(
     ).drop("_last", "latest_status")
 
 
-def recall_score(query_key: Column, content_key: Column, kind: Column) -> Column:
-    base = F.when(kind.isin(*ALWAYS_RELEVANT_KINDS), ALWAYS_RELEVANT_SCORE).otherwise(0)
-    shared = F.size(F.array_intersect(tx.bigrams(query_key), tx.bigrams(content_key)))
-    return base + shared
-
-
 def recall(
     queries: DataFrame, memories: DataFrame, owner: str, max_items: int = 3, max_chars: int = 360
 ) -> DataFrame:
@@ -167,7 +161,8 @@ def recall(
         ),
     )
     ranked = F.sort_array(F.filter(scored, lambda m: m["score"] > 0), asc=False)
-    flat = asked.withColumn("_ranked", ranked)
+    # The generator makes the ranked list a column of its own, computed once per query.
+    flat = asked.select("query_id", owner, F.explode(F.array(ranked)).alias("_ranked"))
     pick = "struct<used:int,at:array<int>>"
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("at")).cast(pick)
 

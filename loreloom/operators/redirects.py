@@ -40,7 +40,7 @@ def close_redirects(mapping: DataFrame, existing: DataFrame, max_rounds: int = 4
         longer = F.when(
             F.col("more").isNotNull(), F.concat("chain", F.slice("more", F.lit(2), F.size("more")))
         ).otherwise(F.col("chain"))
-        walked = walked.withColumn("chain", longer)
+        walked = walked.select("source_key", "more", "ahead", F.explode(F.array(longer)).alias("chain"))
         repeat = F.array_min(
             F.filter(
                 F.transform("chain", lambda x, i: F.when(F.array_position("chain", x) < i + 1, i + 1)),

@@ -206,7 +206,8 @@ def render_rooms(rooms: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = rows.withColumn("_keys", F.coalesce(keys, F.array().cast("array<string>"))).withColumn("_doors", doors)
+    lists = F.struct(F.coalesce(keys, F.array().cast("array<string>")).alias("_keys"), doors.alias("_doors"))
+    rows = rows.select("*", F.inline(F.array(lists)))
     counts = F.transform(
         F.array_sort(F.array_distinct("_keys")),
         lambda k: F.concat(k, F.lit("×"), F.size(F.filter("_keys", lambda x: x == k)).cast("string")),
