@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreloom.functions import text as tx
 from loreloom.session import stage
@@ -25,7 +26,7 @@ MIN_LENGTH_RATIO = 0.92
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash64(tokens: pd.Series) -> pd.Series:
     """Token vote per bit; a tie sets the bit. Stored as a signed 64-bit value."""
     known: dict[str, int] = {}
