@@ -26,7 +26,7 @@ K = "(props->>'k')::BIGINT"
 )
 def chunk_ids(spark, sf_dir):
     """Lines of documents as blocks of an untitled section, numbered after the length rule."""
-    lines = table(spark, sf_dir, "documents").select(
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document"), F.posexplode(F.split("text", "\n")).alias("block_no", "block")
     ).withColumn("section_path", F.array().cast("array<string>"))
     return sc.assign_chunk_ids(lines, "document", ["block_no"]).select("chunk_id", F.length("text").alias("chars"))
@@ -189,7 +189,7 @@ def part_chunks(spark, sf_dir):
 def term_stats(spark, sf_dir):
     """Document frequency of every term of the keyword index over documents."""
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    fields = docs.select("chunk_id", tx.search_text(F.col("text")).alias("body"))
+    fields = ix.with_length(docs.select("chunk_id", tx.search_text(F.col("text")).alias("body")))
     return ix.term_stats(ix.postings(fields))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loreloom.catalog import registry, table
 from loreloom.functions import text as tx
 from loreloom.operators import dedup
+from loreloom.session import spread
 
 KEY = r"regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z\x{3400}-\x{9fff}]+', '', 'g')"
 
@@ -53,11 +54,11 @@ def exact_dedup(spark, sf_dir):
 
 @registry.add(f"WITH {SIGNATURES} SELECT doc_id, text_length, b0, b1, b2, b3 FROM signed")
 def simhash_bands(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id",
         F.length("text").alias("text_length"),
-        dedup.simhash64(tx.simhash_tokens(F.col("text"))).alias("s"),
+        dedup.simhash64(F.col("text")).alias("s"),
     ).select(
         "doc_id", "text_length", *[dedup.band(F.col("s"), i).alias(f"b{i}") for i in range(4)]
     )
@@ -82,11 +83,11 @@ def simhash_bands(spark, sf_dir):
     """
 )
 def near_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup.near_pairs(dedup.signatures(docs), "doc_id")
 
 
 @registry.add()
 def greedy_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup.greedy_dedup(dedup.signatures(docs), "doc_id", ["doc_id"]).drop("checksum")

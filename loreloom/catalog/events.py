@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loreloom.catalog import registry, table
 from loreloom.operators import chains, events as ev, state as st
 from loreloom.operators.scan import by_hours, by_span
+from loreloom.session import spread
 from loreloom.streaming import events as se
 
 K = "(props->>'k')::BIGINT"
@@ -24,7 +25,7 @@ def _events(spark, sf_dir):
 
 def log_lines(spark, sf_dir):
     """Log lines written from the table, with noise, broken JSON and mistyped fields."""
-    e = _events(spark, sf_dir)
+    e = spread(_events(spark, sf_dir))
     room = F.floor(F.col("event_id") / 500)
     kinds = {
         "view": "collectible_spawned", "click": "collectible_taken",

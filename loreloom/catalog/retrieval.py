@@ -6,8 +6,10 @@ from loreloom.catalog import registry, table
 from loreloom.functions import text as tx
 from loreloom.operators import evaluate as ev
 from loreloom.operators import retrieve as rt
+from loreloom.operators import index as ix
 from loreloom.operators.index import with_length
 from loreloom.operators.scan import top_per
+from loreloom.session import spread, stage
 
 FOLDED = "replace(lower({0}), 'ß', 'ss')"
 KEY = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^0-9a-z\\x{{3400}}-\\x{{9fff}}]+', '', 'g')"
@@ -64,8 +66,9 @@ FROM scores QUALIFY rank <= 20
 
 
 def document_fields(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return with_length(docs.select(F.col("doc_id").alias("chunk_id"), tx.search_text(F.col("text")).alias("body")))
+    """The searchable text as a table of its own, as a published index keeps it."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return stage(with_length(docs.select("chunk_id", tx.search_text(F.col("text")).alias("body"))), "fields")
 
 
 @registry.add(BM25_SQL)
@@ -139,7 +142,7 @@ def alias_exact(spark, sf_dir):
 )
 def alias_contained(spark, sf_dir):
     """Customer names mentioned inside an order sentence."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
         F.col("o_orderkey").alias("query_id"),
         F.concat(
             F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of Customer#"),
@@ -315,3 +318,47 @@ def percentile_summary(spark, sf_dir):
     ranks = {"p50": (ev.ceil_rank, 0.5), "p95": (ev.ceil_rank, 0.95), "max": (ev.ceil_rank, 1.0)}
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), "value")
     return ev.order_statistics(rows, ["metric"], "value", ranks)
+
+
+BUCKETS = 64
+
+
+def hashed_words(texts):
+    """Small deterministic text encoder: signed word hashing into 64 dimensions."""
+    import re
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    for row, text in enumerate(texts):
+        for word in re.findall(r"\w+", text.lower()):
+            code = zlib.crc32(word.encode("utf-8"))
+            out[row, code % BUCKETS] += 1.0 if code >> 16 & 1 else -1.0
+    return out
+
+
+@registry.add()
+def hybrid_search(spark, sf_dir):
+    """Alias, BM25 and vector search together: benchmark texts against documents."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    name = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    chunks = docs.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("lang").alias("entity_type"),
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("entity_id"), name.alias("name_zh"), name.alias("name_en"),
+        F.array("source").alias("aliases"), F.col("source").alias("title"), "text", F.lit("1").alias("game_version"),
+        F.lit("table").alias("source_type"), F.lit(False).alias("stale"),
+    )
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+    index = ix.build_keyword_index(chunks)
+    index = ix.KeywordIndex(
+        stage(index.chunks, "chunks"), stage(index.aliases, "aliases"), stage(index.fields, "fields"), None, None
+    )
+    vectors = ix.build_vectors(index.chunks, hashed_words)
+    embedded = ix.embed(asked, hashed_words, "query_id", F.col("query"))
+    hits = rt.hybrid_search(asked, index, vectors=vectors, query_vectors=embedded)
+    return hits.select(
+        F.col("query_id").alias("item_id"), "rank", "chunk_id", F.array_join("methods", ",").alias("methods"), "score"
+    )

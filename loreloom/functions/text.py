@@ -101,10 +101,6 @@ def norm_block(c: Column) -> Column:
     return strip(joined)
 
 
-def simhash_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit(SIMHASH_TOKEN), F.lit(0))
-
-
 def _accent_table() -> tuple[str, str]:
     """Latin letters whose canonical decomposition starts with an ASCII letter."""
     source, target = [], []

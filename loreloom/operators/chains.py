@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.operators.scan import by_span, running
+from loreloom.session import python_groups
 
 CHUNK = "_chunk"
 
@@ -58,7 +59,7 @@ def throttle(df: DataFrame, keys: Sequence[str], frame: str, gap: int, span: int
         out["leave"] = [f[leave[:entries]].tolist()]
         return out
 
-    summaries = rows.groupBy(*keys, CHUNK).applyInPandas(
+    summaries = python_groups(rows, *keys, CHUNK).groupBy(*keys, CHUNK).applyInPandas(
         enter, _schema(df, keys, chunk_field, T.StructField("entry", longs), T.StructField("leave", longs))
     )
 
@@ -76,7 +77,7 @@ def throttle(df: DataFrame, keys: Sequence[str], frame: str, gap: int, span: int
         out["first"] = pd.array(chosen, dtype="Int64")
         return out[out["first"].notna()]
 
-    firsts = summaries.groupBy(*keys).applyInPandas(
+    firsts = python_groups(summaries, *keys).groupBy(*keys).applyInPandas(
         walk, _schema(df, keys, chunk_field, T.StructField("first", T.LongType()))
     )
 
@@ -91,7 +92,7 @@ def throttle(df: DataFrame, keys: Sequence[str], frame: str, gap: int, span: int
         out[frame] = f[chosen]
         return out
 
-    return rows.join(firsts, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(
+    return python_groups(rows.join(firsts, [*keys, CHUNK]), *keys, CHUNK).groupBy(*keys, CHUNK).applyInPandas(
         mark, _schema(df, keys, T.StructField(frame, T.LongType()))
     )
 
@@ -173,7 +174,7 @@ def rotate_sessions(
         T.StructField("used", doubles), T.StructField("open_s", doubles), T.StructField("open_turns", longs),
         T.StructField("open_audio", doubles), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
     ]
-    summaries = slim.groupBy(*keys, CHUNK).applyInPandas(enter, _schema(turns, keys, *fields))
+    summaries = python_groups(slim, *keys, CHUNK).groupBy(*keys, CHUNK).applyInPandas(enter, _schema(turns, keys, *fields))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values(CHUNK)
@@ -197,7 +198,7 @@ def rotate_sessions(
         out["first"] = pd.array(chosen, dtype="Int64")
         return out[out["first"].notna()]
 
-    firsts = summaries.groupBy(*keys).applyInPandas(
+    firsts = python_groups(summaries, *keys).groupBy(*keys).applyInPandas(
         walk, _schema(turns, keys, T.StructField(CHUNK, T.LongType()), T.StructField("first", T.LongType()))
     )
 
@@ -211,7 +212,7 @@ def rotate_sessions(
         out[order] = o[chosen]
         return out
 
-    starts = slim.join(firsts, [*keys, CHUNK]).groupBy(*keys, CHUNK).applyInPandas(
+    starts = python_groups(slim.join(firsts, [*keys, CHUNK]), *keys, CHUNK).groupBy(*keys, CHUNK).applyInPandas(
         mark, _schema(turns, keys, T.StructField(order, T.LongType()))
     ).withColumn("_opens", F.lit(1))
     joined = turns.join(starts, [*keys, order], "left")

@@ -7,6 +7,7 @@ outcome only depends on the order column, never on partitioning.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 from hashlib import sha256
@@ -23,26 +24,31 @@ from loreloom.session import stage
 
 MAX_HAMMING = 3
 MIN_LENGTH_RATIO = 0.92
-_BITS = np.arange(64, dtype=np.uint64)
+_TOKEN = re.compile(tx.SIMHASH_TOKEN)
 
 
 @F.pandas_udf(T.LongType())
-def simhash64(tokens: pd.Series) -> pd.Series:
-    """Token vote per bit; a tie sets the bit. Stored as a signed 64-bit value."""
+def _simhash64(folded: pd.Series) -> pd.Series:
     known: dict[str, int] = {}
-    result = np.empty(len(tokens), dtype=np.uint64)
-    for at, words in enumerate(tokens):
-        votes = Counter(words)
-        for word in votes.keys() - known.keys():
-            known[word] = int.from_bytes(sha256(word.encode("utf-8")).digest()[:8], "big")
+    result = np.empty(len(folded), dtype=np.uint64)
+    for at, text in enumerate(folded):
+        votes = Counter(_TOKEN.findall(text))
+        for word in votes:
+            if word not in known:
+                known[word] = int.from_bytes(sha256(word.encode("utf-8")).digest()[:8], "big")
         hashes = np.fromiter((known[w] for w in votes), np.uint64, len(votes))
         counts = np.fromiter(votes.values(), np.float64, len(votes))
-        ones = ((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.float64)
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits = 2 * (counts @ ones) >= counts.sum()
-        result[at] = np.bitwise_or.reduce(np.where(set_bits, np.uint64(1) << _BITS, np.uint64(0)))
+        result[at] = np.packbits(set_bits, bitorder="little").view(np.uint64)[0]
     return pd.Series(result.view(np.int64))
 
 
+def simhash64(text: Column) -> Column:
+    """Token vote per bit; a tie sets the bit. Stored as a signed 64-bit value."""
+    return _simhash64(tx.fold(text))
+
+
 def band(simhash: Column, number: int) -> Column:
     """16-bit band of a signature, lowest bits first."""
     return F.shiftrightunsigned(simhash, 16 * number).bitwiseAND(F.lit(65535)).cast("int")
@@ -52,7 +58,7 @@ def signatures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``checksum``, ``simhash`` and ``text_length`` to rows of normalised text."""
     return (
         df.withColumn("checksum", F.sha2(tx.dedupe_key(F.col(text)), 256))
-        .withColumn("simhash", simhash64(tx.simhash_tokens(F.col(text))))
+        .withColumn("simhash", simhash64(F.col(text)))
         .withColumn("text_length", F.length(text))
     )
 
@@ -117,11 +123,12 @@ def near_pairs(
     """
     if max_hamming > MAX_HAMMING or min_ratio < MIN_LENGTH_RATIO:
         raise ValueError("blocking keys only guarantee pairs within the standard limits")
-    folded = sigs.groupBy("simhash", "text_length").agg(
-        F.min(row_id).alias("first_id"), F.count("*").alias("copies")
+    folded = stage(
+        sigs.groupBy("simhash", "text_length").agg(F.min(row_id).alias("first_id"), F.count("*").alias("copies")),
+        "signature-classes",
     )
     keyed = folded.withColumn(
-        "key", F.explode(F.array_distinct(blocking_keys(F.col("simhash"), F.col("text_length"), blocks)))
+        "key", F.explode_outer(F.array_distinct(blocking_keys(F.col("simhash"), F.col("text_length"), blocks)))
     )
     left, right = keyed.alias("l"), keyed.alias("r")
     return (
@@ -180,7 +187,7 @@ def greedy_dedup(
         keys = blocking_keys(F.col("simhash"), F.col("text_length"), blocks)
         keyed = undecided.withColumn(
             "bucket", F.array_distinct(F.concat(keys, F.array(F.xxhash64(F.lit(-1), "checksum"))))
-        ).withColumn("buckets", F.size("bucket")).withColumn("bucket", F.explode("bucket"))
+        ).withColumn("buckets", F.size("bucket")).withColumn("bucket", F.explode_outer("bucket"))
         spot = Window.partitionBy("bucket").orderBy("ord")
         front = stage(
             keyed.withColumn("place", F.row_number().over(spot)).where(F.col("place") <= window),

@@ -23,14 +23,14 @@ class KeywordIndex:
 
     ``chunks`` payload columns plus the filter columns; ``aliases`` one row per
     (normalized, chunk_id); ``fields`` the searchable text and its length;
-    ``postings`` (term, chunk_id, tf) and ``term_stats`` (term, df).
+    ``postings`` (term, chunk_id, dl, tf) and ``term_stats`` (term, df).
     """
 
     chunks: DataFrame
     aliases: DataFrame
     fields: DataFrame
-    postings: DataFrame
-    term_stats: DataFrame
+    postings: DataFrame | None = None
+    term_stats: DataFrame | None = None
 
 
 def index_aliases() -> Column:
@@ -79,9 +79,18 @@ def body_tokens(body: Column) -> Column:
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf). The counts are combined before the shuffle."""
-    tokens = fields.select("chunk_id", F.explode(body_tokens(F.col("body"))).alias("term"))
-    return tokens.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """(term, chunk_id, dl, tf). The counts are combined before the shuffle.
+
+    The length travels with the posting, so scoring does not join the texts.
+    """
+    return tokens(fields).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def tokens(fields: DataFrame) -> DataFrame:
+    """One row per token. The outer form keeps Spark from splitting the text a second
+    time for a filter it would otherwise infer."""
+    rows = fields.select("chunk_id", "dl", F.explode_outer(body_tokens(F.col("body"))).alias("term"))
+    return rows.where("term IS NOT NULL")
 
 
 def term_stats(post: DataFrame) -> DataFrame:

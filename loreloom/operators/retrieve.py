@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.functions import text as tx
-from loreloom.operators.index import FILTER_COLUMNS, KeywordIndex, body_tokens
+from loreloom.operators.index import FILTER_COLUMNS, KeywordIndex, tokens
 from loreloom.operators.scan import top_per
+from loreloom.session import stage
 
 # Ranking constants that define the scores.
 BM25_K1 = 1.2
@@ -93,7 +94,7 @@ def contained_candidates(
     keyed = queries.withColumn("whole", tx.alias_key(F.col("query"))).where(
         (F.length("whole") >= 3) & ~F.col("whole").rlike("^[0-9]+$") & ~tx.is_exact_id(F.col("query"))
     )
-    keyed = keyed.withColumn("key", F.explode(tx.contained_keys(F.col("query"))))
+    keyed = keyed.withColumn("key", F.explode_outer(tx.contained_keys(F.col("query"))))
     names = aliases.where((F.length("normalized") >= 2) & ~F.col("normalized").rlike("^[0-9]"))
     found = (
         keyed.alias("f")
@@ -112,39 +113,32 @@ def contained_candidates(
 
 
 def phrase_counts(fields: DataFrame, phrases: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(phrase, chunk_id, tf) for a table of distinct ``phrase`` values.
+    """(phrase, chunk_id, dl, tf) for a table of distinct ``phrase`` values.
 
     One-token phrases come from the postings, or from the tokens of the text
     when there are none. Longer phrases are looked up by their longest token
     first and only those rows are compared with the text.
     """
-    tokens = F.split(F.trim("phrase"), " ")
-    split = phrases.withColumn("words", tokens).withColumn(
-        "term",
-        F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"],
-    ).withColumn("single", F.size("words") == 1).select("phrase", "term", "single")
+    words = F.split(F.trim("phrase"), " ")
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    anchors = phrases.withColumn("words", words).select(
+        "phrase", longest["w"].alias("term"), (F.size("words") == 1).alias("single")
+    )
     if postings is None:
-        occurrences = fields.select("chunk_id", F.explode(body_tokens(F.col("body"))).alias("term"))
-        hits = (
-            occurrences.join(split, "term")
-            .groupBy("phrase", "single", "chunk_id")
-            .agg(F.count("*").alias("tf"))
+        hits = tokens(fields).join(anchors, "term").groupBy("phrase", "single", "chunk_id", "dl").agg(
+            F.count("*").alias("tf")
         )
     else:
-        hits = postings.join(split, "term").select("phrase", "single", "chunk_id", "tf")
-    single = hits.where("single").select("phrase", "chunk_id", "tf")
-    longer = (
-        hits.where("NOT single")
-        .select("phrase", "chunk_id")
-        .join(fields.select("chunk_id", "body"), "chunk_id")
-        .where(F.contains("body", F.col("phrase")))
-        .select(
-            "phrase",
-            "chunk_id",
-            F.regexp_count("body", F.concat(F.lit("(?="), "phrase", F.lit(")"))).cast("long").alias("tf"),
-        )
+        hits = postings.join(anchors, "term").select("phrase", "single", "chunk_id", "dl", "tf")
+    hits = stage(hits, "phrase-hits")
+    texts = hits.where("NOT single").select("phrase", "chunk_id", "dl").join(
+        fields.select("chunk_id", "body"), "chunk_id"
+    )
+    longer = texts.where(F.contains("body", F.col("phrase"))).select(
+        "phrase", "chunk_id", "dl",
+        F.regexp_count("body", F.concat(F.lit("(?="), "phrase", F.lit(")"))).cast("long").alias("tf"),
     )
-    return single.unionByName(longer)
+    return hits.where("single").select("phrase", "chunk_id", "dl", "tf").unionByName(longer)
 
 
 def bm25_scores(queries: DataFrame, fields: DataFrame, postings: DataFrame | None = None) -> DataFrame:
@@ -152,25 +146,23 @@ def bm25_scores(queries: DataFrame, fields: DataFrame, postings: DataFrame | Non
     terms = queries.select(
         "query_id", F.posexplode(tx.query_terms(F.col("query"))).alias("term_no", "term")
     ).withColumn("phrase", tx.search_text(F.col("term"))).where("phrase <> ''")
-    counts = phrase_counts(fields, terms.select("phrase").distinct(), postings)
+    terms = stage(terms.select("query_id", "phrase"), "query-phrases")
+    counts = stage(phrase_counts(fields, terms.select("phrase").distinct(), postings), "phrase-counts")
     stats = fields.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, df = stats.select("n").scalar(), F.col("df")
-    idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+    n, df = F.col("n"), F.col("df")
+    idf = F.log((n - df + 0.5) / (df + 0.5))
     weights = (
         counts.groupBy("phrase")
         .agg(F.count("*").alias("df"))
-        .withColumn("n", n)
+        .withColumn("n", stats.select("n").scalar())
         .withColumn("avgdl", stats.select("avgdl").scalar())
         .select("phrase", "avgdl", F.when(idf > 0, idf).otherwise(F.lit(BM25_MIN_IDF)).alias("idf"))
     )
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + norm)
-    return (
-        terms.join(weights, "phrase")
-        .join(counts, "phrase")
-        .join(fields.select("chunk_id", "dl"), "chunk_id")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(part), 9).alias("score"))
+    weighted = counts.join(weights, "phrase").select("phrase", "chunk_id", part.alias("part"))
+    return weighted.join(terms, "phrase").groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("part"), 9).alias("score")
     )
 
 

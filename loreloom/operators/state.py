@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreloom.operators.events import ROOM_FIELDS, payload_int, visits
 from loreloom.operators.scan import top_per
+from loreloom.session import stage
 
 # Event types by their effect on the state, and labels for display.
 PLAYER_LIST_TYPES = ("run_started", "state_snapshot")
@@ -72,17 +73,23 @@ def players(events: DataFrame) -> DataFrame:
     )
 
 
-def room_items(events: DataFrame, span: int = 100_000) -> DataFrame:
-    """Items of every room visit: (run_id, visit, item_no, collectible_id, init_seed, taken).
+def room_visits(events: DataFrame, span: int = 100_000) -> DataFrame:
+    """Accepted events with their room visit; announcing a version is not part of any room."""
+    stateful = events.where(F.col("type") != VERSION_ONLY).select(
+        "run_id", "seq", "type", "payload", *[F.col(f"context.{c}").alias(c) for c in ROOM_FIELDS]
+    )
+    return visits(stateful, "run_id", "seq", ROOM_FIELDS, span)
+
+
+def visit_items(visited: DataFrame) -> DataFrame:
+    """Items per visit: (run_id, visit, item_no, collectible_id, init_seed, taken).
 
     A spawn with a known ``init_seed`` updates that item in place. A take marks
     every item that carried its id at that moment.
     """
-    stateful = events.where(F.col("type") != VERSION_ONLY).withColumns(
-        {c: F.col(f"context.{c}") for c in ROOM_FIELDS}
+    staged = visited.where(F.col("type").isin(SPAWNED, TAKEN)).withColumn(
+        "collectible_id", payload_int("collectible_id")
     )
-    staged = visits(stateful, "run_id", "seq", ROOM_FIELDS, span).where(F.col("type").isin(SPAWNED, TAKEN))
-    staged = staged.withColumn("collectible_id", payload_int("collectible_id"))
     spawned = staged.where((F.col("type") == SPAWNED) & (F.col("collectible_id") >= 1)).withColumn(
         "init_seed", F.get_json_object("payload", "$.init_seed")
     ).withColumn(
@@ -114,15 +121,16 @@ def room_items(events: DataFrame, span: int = 100_000) -> DataFrame:
     )
 
 
+def room_items(events: DataFrame, span: int = 100_000) -> DataFrame:
+    """Items of every room visit."""
+    return visit_items(stage(room_visits(events, span), "visits"))
+
+
 def current_items(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Items of each run's latest visit only."""
-    stateful = events.where(F.col("type") != VERSION_ONLY).withColumns(
-        {c: F.col(f"context.{c}") for c in ROOM_FIELDS}
-    )
-    last = visits(stateful, "run_id", "seq", ROOM_FIELDS, span).groupBy("run_id").agg(
-        F.max("visit").alias("visit")
-    )
-    return room_items(events, span).join(last, ["run_id", "visit"], "left_semi")
+    visited = stage(room_visits(events, span), "visits")
+    last = visited.groupBy("run_id").agg(F.max("visit").alias("visit"))
+    return visit_items(visited.join(last, ["run_id", "visit"], "left_semi"))
 
 
 def bridge_versions(events: DataFrame) -> DataFrame:
@@ -135,10 +143,11 @@ def bridge_versions(events: DataFrame) -> DataFrame:
 
 def rebuild_state(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Head state per run with the number of open and taken items in the current room."""
-    items = current_items(events, span).groupBy("run_id").agg(
+    slim = stage(events.select("run_id", "seq", "type", "game_frame", "context", "payload"), "state-events")
+    items = current_items(slim, span).groupBy("run_id").agg(
         F.count("*").alias("room_items"), F.count_if("taken").alias("taken_items")
     )
-    return run_heads(events).join(items, "run_id", "left").fillna(0, ["room_items", "taken_items"])
+    return run_heads(slim).join(items, "run_id", "left").fillna(0, ["room_items", "taken_items"])
 
 
 def latest_untaken(items: DataFrame) -> DataFrame:

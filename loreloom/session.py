@@ -68,3 +68,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def python_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning for a grouped Python step.
+
+    A fixed partition count is not merged at run time, so small but costly groups
+    stay spread over the cores; the grouping after it needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
