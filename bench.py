@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from loreloom.catalog import load_all
-from loreloom.session import local_session
+from loreloom.session import drop_stages, local_session
 
 HEADLINE = (
     "bm25_topk", "alias_contained", "vector_knn", "diversified_topk", "retrieval_eval", "term_stats",
@@ -34,6 +34,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr)
+        drop_stages(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -303,9 +303,10 @@ def id_mismatch(spark, sf_dir):
 
 @registry.add(
     """
-    WITH g AS (SELECT substr(c, 1, 4) AS g, sha256(string_agg(c, '' ORDER BY c)) AS h
-               FROM (SELECT sha256(doc_id || ':' || text) AS c FROM documents) GROUP BY ALL)
-    SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY g)) AS corpus_checksum, (SELECT count(*) FROM documents) AS rows FROM g
+    WITH a AS (SELECT substr(c, 1, 8) AS g, sha256(string_agg(c, '' ORDER BY c)) AS h
+               FROM (SELECT sha256(doc_id || ':' || text) AS c FROM documents) GROUP BY ALL),
+    b AS (SELECT substr(g, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY g)) AS h FROM a GROUP BY ALL)
+    SELECT 'sha256:' || sha256(string_agg(h, '' ORDER BY k)) AS corpus_checksum, (SELECT count(*) FROM documents) AS rows FROM b
     """
 )
 def corpus_publish(spark, sf_dir):

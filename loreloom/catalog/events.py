@@ -143,7 +143,7 @@ def run_sessions(spark, sf_dir):
 )
 def liveness_gaps(spark, sf_dir):
     rows = ev.liveness_gaps(
-        _events(spark, sf_dir).select("user_id", "ts", "event_id"), "user_id", "ts", ["ts", "event_id"], 86400, by_hours("ts", 24)
+        _events(spark, sf_dir).select("user_id", "ts", "event_id"), "user_id", "ts", ["ts", "event_id"], 86400, by_hours("ts", 1)
     )
     return rows.select(
         "user_id", F.unix_micros("silent_from").alias("from_us"), F.unix_micros("silent_to").alias("to_us"),
@@ -276,7 +276,7 @@ def stale_results(spark, sf_dir):
         F.when(F.col("k") % 2 == 0, "click").otherwise("view").alias("token_event_type"),
     )
     live = e.where("event_type <> 'error'").select("user_id", "ts", "seq", "event_type")
-    marked = ev.mark_stale(asked, live, "user_id", "ts", "seq", ["event_type"], by_hours("ts", 24))
+    marked = ev.mark_stale(asked, live, "user_id", "ts", "seq", ["event_type"], by_hours("ts", 1))
     return marked.select("result_id", "state_seq", "current")
 
 

@@ -262,20 +262,22 @@ def suppress_stale(marked: DataFrame) -> DataFrame:
     return marked.where("current")
 
 
-def drop_paused(events: DataFrame, pauses: DataFrame, ts: str, chunk_seconds: int = 3600) -> DataFrame:
-    """Drop events inside a pause [paused_at, resumed_at). Pauses meet events by time bucket."""
-    def bucket(c):
-        return F.floor(F.unix_seconds(c) / chunk_seconds)
-    spread = pauses.withColumn(
-        "_b", F.explode(F.sequence(bucket(F.col("paused_at")), bucket(F.col("resumed_at"))))
-    )
-    keyed = events.withColumn("_b", bucket(F.col(ts)))
-    inside = (
-        (F.col("e._b") == F.col("p._b"))
-        & (F.col(f"e.{ts}") >= F.col("p.paused_at"))
-        & (F.col(f"e.{ts}") < F.col("p.resumed_at"))
+def drop_paused(events: DataFrame, pauses: DataFrame, ts: str, chunk_seconds: int = 60) -> DataFrame:
+    """Drop events inside a pause [paused_at, resumed_at).
+
+    Pause edges are put between the events in time order and counted, so no event
+    is compared with any pause.
+    """
+    def edges(column: str, step: int) -> DataFrame:
+        return pauses.select(F.col(column).alias(ts), F.lit(0).alias("_kind"), F.lit(step).cast("long").alias("_step"))
+
+    rows = events.withColumn("_kind", F.lit(1)).withColumn("_step", F.lit(0).cast("long"))
+    both = rows.unionByName(edges("paused_at", 1), allowMissingColumns=True).unionByName(
+        edges("resumed_at", -1), allowMissingColumns=True
     )
-    return keyed.alias("e").join(spread.alias("p"), inside, "left_anti").drop("_b")
+    chunk = F.floor(F.unix_seconds(ts) / chunk_seconds).cast("long")
+    counted = running(both, [], [ts, "_kind"], chunk, {"_open": ("sum", F.col("_step"))}, inclusive=True)
+    return counted.where((F.col("_kind") == 1) & (F.col("_open") <= 0)).select(*events.columns)
 
 
 def advice_triggers(events: DataFrame, known: DataFrame) -> DataFrame:

@@ -15,17 +15,19 @@ POINTER = "CURRENT"
 def table_checksum(rows: DataFrame, checksum: Column | str) -> str:
     """Checksum of a set of row checksums, the same for any partitioning.
 
-    Rows are grouped by the first four hex digits, each group is hashed in
-    sorted order, and the at most 65,536 group hashes are hashed again.
+    Checksums are hashed in sorted order within groups that share eight hex
+    digits, the group hashes within groups of four, and those once more. A group
+    has about rows / 2^32 members at the first level and at most 65,536 later.
     """
-    hexed = rows.select(F.regexp_replace(checksum, "^sha256:", "").alias("c"))
-    groups = hexed.groupBy(F.substring("c", 1, 4).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("c")), ""), 256).alias("h")
+    level = rows.select(F.regexp_replace(checksum, "^sha256:", "").alias("c")).select(
+        F.substring("c", 1, 8).alias("g"), F.col("c").alias("h")
     )
-    total = groups.agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda s: s["h"]), ""), 256).alias("c")
-    )
-    return "sha256:" + total.first()["c"]
+    for width in (8, 4, 0):
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda s: s["h"])
+        level = level.groupBy(F.substring("g", 1, width).alias("k")).agg(
+            F.sha2(F.array_join(ordered, ""), 256).alias("h")
+        ).select(F.col("k").alias("g"), "h")
+    return "sha256:" + level.first()["h"]
 
 
 def _file_system(spark: SparkSession, path: str):

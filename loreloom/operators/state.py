@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.operators.events import ROOM_FIELDS, payload_int, visits
-from loreloom.operators.scan import top_per
+from loreloom.operators.scan import by_span, running, top_per
 from loreloom.session import stage
 
 # Event types by their effect on the state, and labels for display.
@@ -81,44 +81,34 @@ def room_visits(events: DataFrame, span: int = 100_000) -> DataFrame:
     return visits(stateful, "run_id", "seq", ROOM_FIELDS, span)
 
 
-def visit_items(visited: DataFrame) -> DataFrame:
+def visit_items(visited: DataFrame, span: int = 100_000) -> DataFrame:
     """Items per visit: (run_id, visit, item_no, collectible_id, init_seed, taken).
 
     A spawn with a known ``init_seed`` updates that item in place. A take marks
-    every item that carried its id at that moment.
+    every item that carried its id at that moment: the first take of the id after
+    a spawn counts when it comes before the item is spawned again.
     """
-    staged = visited.where(F.col("type").isin(SPAWNED, TAKEN)).withColumn(
-        "collectible_id", payload_int("collectible_id")
-    )
-    spawned = staged.where((F.col("type") == SPAWNED) & (F.col("collectible_id") >= 1)).withColumn(
-        "init_seed", F.get_json_object("payload", "$.init_seed")
-    ).withColumn(
+    staged = visited.where(F.col("type").isin(SPAWNED, TAKEN)).select(
+        "run_id", "visit", "seq", (-F.col("seq")).alias("back"), (F.col("type") == TAKEN).alias("is_take"),
+        payload_int("collectible_id").alias("collectible_id"), F.get_json_object("payload", "$.init_seed").alias("init_seed"),
+    ).where(F.col("collectible_id").isNotNull() & (F.col("is_take") | (F.col("collectible_id") >= 1)))
+    takes = running(
+        staged, ["run_id", "visit", "collectible_id"], ["back"], by_span("back", span),
+        {"next_take": ("last", F.when(F.col("is_take"), F.col("seq")))},
+    )
+    spawned = takes.where(~F.col("is_take")).withColumn(
         "item_key", F.coalesce("init_seed", F.concat(F.lit("seq "), F.col("seq").cast("string")))
-    ).select("run_id", "visit", "seq", "collectible_id", "init_seed", "item_key")
-    # One item is respawned a handful of times within a visit, so this group is small.
-    versions = spawned.withColumn(
-        "until", F.lead("seq").over(Window.partitionBy("run_id", "visit", "item_key").orderBy("seq"))
     )
-    takes = staged.where(F.col("type") == TAKEN).select("run_id", "visit", "seq", "collectible_id")
-    hit = (
-        (F.col("s.run_id") == F.col("t.run_id"))
-        & (F.col("s.visit") == F.col("t.visit"))
-        & (F.col("s.collectible_id") == F.col("t.collectible_id"))
-        & (F.col("s.seq") < F.col("t.seq"))
-        & (F.col("s.until").isNull() | (F.col("t.seq") < F.col("s.until")))
+    versions = running(
+        spawned, ["run_id", "visit", "item_key"], ["back"], by_span("back", span), {"until": ("prev", F.col("seq"))}
     )
-    taken = versions.alias("s").join(takes.alias("t"), hit, "left_semi").select(
-        "run_id", "visit", "item_key", F.lit(True).alias("was_taken")
-    ).distinct()
-    items = spawned.groupBy("run_id", "visit", "item_key").agg(
+    taken = F.col("next_take").isNotNull() & (F.col("until").isNull() | (F.col("next_take") < F.col("until")))
+    return versions.groupBy("run_id", "visit", "item_key").agg(
         F.min("seq").alias("item_no"),
         F.max_by("collectible_id", "seq").alias("collectible_id"),
         F.max_by("init_seed", "seq").alias("init_seed"),
-    )
-    return items.join(taken, ["run_id", "visit", "item_key"], "left").select(
-        "run_id", "visit", "item_no", "collectible_id", "init_seed",
-        F.coalesce("was_taken", F.lit(False)).alias("taken"),
-    )
+        F.max(taken).alias("taken"),
+    ).drop("item_key")
 
 
 def room_items(events: DataFrame, span: int = 100_000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_STAGED: list[str] = []
 
 
 def local_session(app: str = "loreloom", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -53,6 +54,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "loreloom", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,3 +79,13 @@ def python_groups(df: DataFrame, *keys: str) -> DataFrame:
     stay spread over the cores; the grouping after it needs no further shuffle.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables staged so far; call it once the results are written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    dropped = 0
+    while _STAGED:
+        target = hadoop.Path(_STAGED.pop())
+        dropped += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return dropped
