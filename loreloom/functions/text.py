@@ -45,9 +45,12 @@ def fold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -161,6 +161,53 @@ def missing_required_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return missing(required, pages, ["title"])
 
 
+def dependency_audit(uses: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per finding: (finding, name). Empty means every dependency is present."""
+    required = missing_required_pages(pages.sparkSession, pages).select(
+        F.concat(F.lit("missing required "), "kind").alias("finding"), F.col("title").alias("name")
+    )
+    modules = unresolved_modules(uses, pages).select(F.lit("unresolved module").alias("finding"), "name")
+    data = missing_data_pages(uses, pages).select(F.lit("missing data page").alias("finding"), "name")
+    return required.unionByName(modules).unionByName(data)
+
+
+# Header of a file manifest.
+HEADER_TEXT = (
+    "pack_id", "display_name", "game", "game_version", "content_version", "created_at", "embedding_model_id",
+)
+# End of fixed values.
+
+
+def header_violations(manifest: DataFrame, version_key: str, running: tuple[int, int, int], column: str = "value") -> DataFrame:
+    """Broken rules of manifest headers (JSON text in ``column``).
+
+    ``version_key`` names the field with the lowest program version that can read
+    the pack; ``running`` is the version at hand.
+    """
+    schema = "schema_version bigint, vector_dimension bigint, files array<string>, " + ", ".join(
+        f"{name} string" for name in (*HEADER_TEXT, version_key)
+    )
+    keys = F.array_sort(F.json_object_keys(column))
+    names = sorted((*HEADER_TEXT, version_key, "schema_version", "vector_dimension", "files"))
+    h = F.from_json(column, schema)
+    parts = F.transform(F.split(h[version_key], r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), x.cast("int")))
+    readable = (F.size(parts) == 3) & F.forall(parts, lambda x: x.isNotNull()) & (
+        parts <= F.array(*[F.lit(n) for n in running])
+    )
+    rules = {
+        "keys": keys == F.array(*[F.lit(n) for n in names]),
+        "schema_version": h["schema_version"] == 1,
+        **{name: F.trim(h[name]) != "" for name in HEADER_TEXT},
+        "pack_id_form": h["pack_id"].rlike(r"^[\p{L}\p{N}._-]+$"),
+        "created_at_form": F.try_to_timestamp(h["created_at"]).isNotNull(),
+        "version": readable,
+        "vector_dimension": h["vector_dimension"] > 0,
+        "files": F.size(h["files"]) > 0,
+    }
+    marks = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
+    return manifest.select(F.explode(F.array_compact(F.array(*marks))).alias("rule"))
+
+
 def audit_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Compare stored files with their manifest: one row per broken rule.
 

@@ -209,6 +209,8 @@ def manifest_totals(corpus: Corpus) -> dict:
         F.count_if(F.col("normalization") == DATA_NORMALIZATION).alias("data_chunks"),
         F.count_if(F.col("source_material_type") == ROOM_MATERIAL).alias("rooms"),
     ).first()
+    pages = va.content_pages(corpus.pages)
+    cut = corpus.decisions.where("group_no = 0").select(F.col("order_1").alias("title_key")).distinct()
     tables = corpus.pages.where(
         (F.col("namespace") == va.DATA_NAMESPACE) & F.col("title").isin(ITEM_TABLE, KEYWORD_TABLE, ENTITY_TABLE)
     ).count()
@@ -219,6 +221,7 @@ def manifest_totals(corpus: Corpus) -> dict:
         "redirect_broken": status.get("broken", 0), "exact_duplicates": removed.get("exact", 0),
         "near_duplicates": removed.get("near", 0), "data_chunk_count": chunk["data_chunks"],
         "room_layout_count": chunk["rooms"], "fact_count": corpus.facts.count(),
+        "pages_without_chunks": pages.join(cut, "title_key", "left_anti").count(),
         "skipped_data_pages": max(0, counts[f"namespace_{va.DATA_NAMESPACE}"] - chunk["rooms"] - tables),
     }
 

@@ -321,6 +321,22 @@ def advice_stream(accepted: DataFrame, known: DataFrame) -> DataFrame:
     return advice_triggers(accepted, known)
 
 
+def drop_paused_stream(events: DataFrame, pauses: DataFrame, ts: str, bucket_seconds: int = 3600) -> DataFrame:
+    """Drop streamed events inside a pause of the static control table.
+
+    ``pauses``: paused_at, resumed_at; an open pause ends in the future.
+    """
+    def bucket(c):
+        return F.floor(F.unix_seconds(c) / bucket_seconds)
+
+    control = pauses.select(
+        "paused_at", "resumed_at", F.explode(F.sequence(bucket(F.col("paused_at")), bucket(F.col("resumed_at")))).alias("_b")
+    ).withColumn("_hit", F.lit(True))
+    keyed = events.withColumn("_b", bucket(F.col(ts)))
+    inside = (keyed["_b"] == control["_b"]) & (F.col(ts) >= F.col("paused_at")) & (F.col(ts) < F.col("resumed_at"))
+    return keyed.join(control, inside, "left").where("_hit IS NULL").select(*events.columns)
+
+
 def dedupe_calls_stream(calls: DataFrame, ts: str, delay: str = "1 hour", key: str = "call_id") -> DataFrame:
     """First call per id. The watermark only bounds how long ids are remembered."""
     return calls.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
