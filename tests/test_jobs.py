@@ -1,6 +1,7 @@
 """The jobs end to end, and the streams that need a clock or a second input."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,11 +63,22 @@ def test_stale_and_pause_streams(spark, tmp_path):
     assert once.count() == 1
 
 
-def test_liveness_reports_first_events(spark, tmp_path):
+def test_liveness_reports_live_then_waiting(spark, tmp_path):
     spark.createDataFrame([("r",), ("r",), ("s",)], "run string").coalesce(1).write.json(str(tmp_path / "live"))
     stream = spark.readStream.schema("run string").json(str(tmp_path / "live"))
-    rows = se.run_to_table(se.liveness_stream(stream, "run", 600), "live").where("status = 'live'").collect()
-    assert {r["run_id"]: r["events"] for r in rows} == {"r": 2, "s": 1}
+    query = se.liveness_stream(stream, "run", 1.0).writeStream.format("memory").queryName("liveness").outputMode(
+        "update"
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        seen = set()
+        for _ in range(60):
+            time.sleep(1)
+            seen = {tuple(r) for r in spark.sql("SELECT run_id, status, events FROM liveness").collect()}
+            if len(seen) == 4:
+                break
+    finally:
+        query.stop()
+    assert seen == {("r", "live", 2), ("s", "live", 1), ("r", "waiting", 0), ("s", "waiting", 0)}
 
 
 def test_manifest_header_and_references(spark):
