@@ -259,17 +259,18 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     limit = 1 - percent / 100 + 1e-9
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> pa.Table:
+        one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         frame = {c: table.column(c).to_numpy() for c in ("node", "component", "n", "block")}
         hub = table.column("hub").fill_null(-1).to_numpy()
-        far = table.column("far").fill_null(np.inf).to_numpy()
+        far = table.column("far").fill_null(9.0).to_numpy()
         x = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
-        left = np.flatnonzero(frame["block"] == key[1].as_py())
-        right = np.flatnonzero(frame["block"] == key[2].as_py())
+        left = np.flatnonzero(frame["block"] == one)
+        right = np.flatnonzero(frame["block"] == two)
         a, b = [], []
         for i in left:
             j = right[frame["component"][right] != frame["component"][i]]
-            if key[1] == key[2]:
+            if one == two:
                 j = j[frame["node"][j] < frame["node"][i]]
             n, m = np.full(len(j), frame["n"][i]), frame["n"][j]
             j = j[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]

@@ -71,7 +71,7 @@ def op4_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(
     r"""
     WITH words AS (
-      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     total AS (SELECT sum(len(w)) AS n FROM words),
     flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
     known AS (SELECT word FROM flat GROUP BY word HAVING count(*) * (1048576 - 1) >= (SELECT n FROM total)),

@@ -83,7 +83,7 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     """Bit array of the benchmark's seeds, at most ``MAX_BITS`` bits whatever the benchmark's size."""
     count = found.count()
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (1024 * max(count, 1) - 1).bit_length()))
-    slots = found.select((F.explode(F.array(*_slots(bits))) + 1).alias("slot"))  # buckets count from 1
+    slots = found.select(F.explode(F.array(*[s + 1 for s in _slots(bits)])).alias("slot"))  # buckets count from 1
     packed = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     ).toArrow()
