@@ -190,7 +190,7 @@ def term_stats(spark, sf_dir):
     """Document frequency of every term of the keyword index over documents."""
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
     fields = ix.with_length(docs.select("chunk_id", tx.search_text(F.col("text")).alias("body")))
-    return ix.term_stats(ix.postings(fields))
+    return ix.field_term_stats(fields)
 
 
 @registry.add(

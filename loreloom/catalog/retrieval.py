@@ -77,7 +77,8 @@ def bm25_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    scores = rt.bm25_scores(asked, document_fields(spark, sf_dir))
+    fields = document_fields(spark, sf_dir)
+    scores = rt.bm25_scores(asked, fields, stage(ix.postings(fields), "postings"))
     best = top_per(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], rt.candidate_limit(5))
     return best.select(
         F.col("query_id").alias("item_id"),
@@ -353,8 +354,9 @@ def hybrid_search(spark, sf_dir):
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
     index = ix.build_keyword_index(chunks)
+    fields = stage(index.fields, "fields")
     index = ix.KeywordIndex(
-        stage(index.chunks, "chunks"), stage(index.aliases, "aliases"), stage(index.fields, "fields"), None, None
+        stage(index.chunks, "chunks"), stage(index.aliases, "aliases"), fields, stage(ix.postings(fields), "postings")
     )
     vectors = ix.build_vectors(index.chunks, hashed_words)
     embedded = ix.embed(asked, hashed_words, "query_id", F.col("query"))

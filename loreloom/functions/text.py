@@ -138,12 +138,13 @@ def search_tokens(normal: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def query_terms(c: Column, limit: int = 8) -> Column:
-    """The cleaned query first, then its Latin/number and CJK runs, distinct."""
+def query_terms(c: Column, limit: int | None = 8) -> Column:
+    """The cleaned query first, then its Latin/number and CJK runs, distinct; ``limit`` None keeps all."""
     cleaned = strip(F.regexp_replace(fold(c), QUERY_STRIP, " "))
     runs = F.regexp_extract_all(cleaned, F.lit(QUERY_TOKEN), F.lit(0))
     terms = F.filter(F.concat(F.array(cleaned), runs), lambda x: x != "")
-    return F.slice(F.array_distinct(terms), 1, limit)
+    distinct = F.array_distinct(terms)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def is_exact_id(c: Column) -> Column:

@@ -23,7 +23,7 @@ class KeywordIndex:
 
     ``chunks`` payload columns plus the filter columns; ``aliases`` one row per
     (normalized, chunk_id); ``fields`` the searchable text and its length;
-    ``postings`` (term, chunk_id, dl, tf) and ``term_stats`` (term, df).
+    ``postings`` (term, chunk_id, dl, tf, positions) and ``term_stats`` (term, df).
     """
 
     chunks: DataFrame
@@ -79,24 +79,36 @@ def body_tokens(body: Column) -> Column:
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """(term, chunk_id, dl, tf). The counts are combined before the shuffle.
+    """(term, chunk_id, dl, tf, positions). The lists are combined before the shuffle.
 
-    The length travels with the posting, so scoring does not join the texts.
+    The length travels with the posting, so scoring does not join the texts. A field mark takes a
+    position of its own, so a phrase cannot run from one field into the next.
     """
-    return tokens(fields).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    return tokens(fields).groupBy("term", "chunk_id", "dl").agg(
+        F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
+    )
 
 
 def tokens(fields: DataFrame) -> DataFrame:
     """One row per token. The outer form keeps Spark from splitting the text a second
     time for a filter it would otherwise infer."""
-    rows = fields.select("chunk_id", "dl", F.explode_outer(body_tokens(F.col("body"))).alias("term"))
-    return rows.where("term IS NOT NULL")
+    spaced = F.replace("body", F.lit(FIELD_MARK), F.lit(f" {FIELD_MARK} "))
+    marked = F.filter(F.split(spaced, " +"), lambda t: t != "")
+    rows = fields.select("chunk_id", "dl", F.posexplode_outer(marked).alias("position", "term"))
+    return rows.where(F.col("term") != FIELD_MARK)
 
 
 def term_stats(post: DataFrame) -> DataFrame:
+    """(term, df): a posting is one chunk of one term, so rows are counted and nothing is made distinct."""
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def field_term_stats(fields: DataFrame) -> DataFrame:
+    """(term, df) straight from the texts: distinct tokens per row, one count by term."""
+    terms = F.array_distinct(body_tokens(F.col("body")))
+    return fields.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build_keyword_index(chunks: DataFrame) -> KeywordIndex:
     fields = search_fields(chunks)
     post = postings(fields)

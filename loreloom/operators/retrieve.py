@@ -6,7 +6,6 @@ tables share the columns (query_id, chunk_id, method, value).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.functions import text as tx
-from loreloom.operators.index import FILTER_COLUMNS, KeywordIndex, tokens
+from loreloom.operators.index import FILTER_COLUMNS, KeywordIndex
+from loreloom.operators.index import postings as index_postings
 from loreloom.operators.scan import top_per
 from loreloom.session import stage
 
@@ -31,6 +31,7 @@ MIN_SCORE = 0.12
 MIN_SIMILARITY = 0.52
 PER_ENTITY = 2
 ALIAS_CAP = 100
+MAX_TERMS = 8
 METHODS = ("exact", "bm25", "vector")
 # End of fixed values.
 
@@ -87,10 +88,13 @@ def exact_candidates(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def contained_candidates(
-    queries: DataFrame, aliases: DataFrame, cap: int = ALIAS_CAP,
+    queries: DataFrame, aliases: DataFrame, cap: int | None = ALIAS_CAP,
     generic: Sequence[str] = tx.GENERIC_ALIASES,
 ) -> DataFrame:
-    """Aliases that occur inside the query. Call it with queries that had no exact hit."""
+    """Aliases that occur inside the query. Call it with queries that had no exact hit.
+
+    ``cap`` is the number of aliases per query that are considered, longest first; None considers all.
+    """
     keyed = queries.withColumn("whole", tx.alias_key(F.col("query"))).where(
         (F.length("whole") >= 3) & ~F.col("whole").rlike("^[0-9]+$") & ~tx.is_exact_id(F.col("query"))
     )
@@ -102,7 +106,8 @@ def contained_candidates(
         .select("f.query_id", "c.chunk_id", "c.normalized", F.length("f.whole").alias("whole"))
     )
     size = F.length("normalized")
-    first = top_per(found, ["query_id"], [size.desc(), F.col("chunk_id"), F.col("normalized")], cap)
+    order = [size.desc(), F.col("chunk_id"), F.col("normalized")]
+    first = found if cap is None else top_per(found, ["query_id"], order, cap)
     quality = F.least(F.lit(0.99), F.lit(0.80) + F.lit(0.19) * size / F.col("whole"))
     return (
         first.where(~F.col("normalized").isin(list(generic)))
@@ -112,42 +117,53 @@ def contained_candidates(
     )
 
 
-def phrase_counts(fields: DataFrame, phrases: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(phrase, chunk_id, dl, tf) for a table of distinct ``phrase`` values.
+def phrase_counts(postings: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, chunk_id, dl, tf) for a table of distinct ``phrase`` values, from postings alone.
 
-    One-token phrases come from the postings, or from the tokens of the text
-    when there are none. Longer phrases are looked up by their longest token
-    first and only those rows are compared with the text.
+    The rarest term of a phrase gives the chunks and the places where the phrase may start; the other
+    terms are looked up by (term, chunk) and a place counts when every term confirms it. A frequent
+    term is therefore never a join key by itself unless the phrase has no other.
     """
-    words = F.split(F.trim("phrase"), " ")
-    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    anchors = phrases.withColumn("words", words).select(
-        "phrase", longest["w"].alias("term"), (F.size("words") == 1).alias("single")
+    listed = F.filter(F.split(F.trim("phrase"), " +"), lambda w: w != "")
+    words = phrases.select("phrase", listed.alias("words")).where(F.size("words") > 0)
+    words = words.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("k", "term"))
+    used = postings.join(words.select("term").distinct(), "term", "left_semi")
+    known = words.join(used.groupBy("term").agg(F.count("*").alias("df")), "term")
+    anchors = stage(
+        known.groupBy("phrase", "size").agg(
+            F.min(F.struct("df", "k", "term")).alias("a"), F.count("*").alias("present")
+        ).where("present = size").select("phrase", "size", F.col("a.k").alias("anchor"), F.col("a.term").alias("term")),
+        "phrase-anchors",
     )
-    if postings is None:
-        hits = tokens(fields).join(anchors, "term").groupBy("phrase", "single", "chunk_id", "dl").agg(
-            F.count("*").alias("tf")
-        )
-    else:
-        hits = postings.join(anchors, "term").select("phrase", "single", "chunk_id", "dl", "tf")
-    hits = stage(hits, "phrase-hits")
-    texts = hits.where("NOT single").select("phrase", "chunk_id", "dl").join(
-        fields.select("chunk_id", "body"), "chunk_id"
+    starts = F.transform("positions", lambda p: p - F.col("anchor"))
+    found = anchors.join(used, "term").select("phrase", "size", "anchor", "chunk_id", "dl", starts.alias("starts"))
+    found = stage(found, "phrase-starts")
+    single = found.where("size = 1").select("phrase", "chunk_id", "dl", F.size("starts").cast("long").alias("tf"))
+    others = found.where("size > 1").join(words.select("phrase", "k", "term"), "phrase").where("k <> anchor")
+    confirmed = others.join(used.select("term", "chunk_id", "positions"), ["term", "chunk_id"]).select(
+        "phrase", "size", "chunk_id", "dl",
+        F.explode(F.array_intersect("starts", F.transform("positions", lambda p: p - F.col("k")))).alias("start"),
     )
-    longer = texts.where(F.contains("body", F.col("phrase"))).select(
-        "phrase", "chunk_id", "dl",
-        F.regexp_count("body", F.concat(F.lit("(?="), "phrase", F.lit(")"))).cast("long").alias("tf"),
-    )
-    return hits.where("single").select("phrase", "chunk_id", "dl", "tf").unionByName(longer)
+    whole = confirmed.groupBy("phrase", "size", "chunk_id", "dl", "start").agg(F.count("*").alias("n")).where("n = size - 1")
+    longer = whole.groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    return single.unionByName(longer.select("phrase", "chunk_id", "dl", "tf"))
 
 
-def bm25_scores(queries: DataFrame, fields: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) for every chunk that matches any query phrase."""
+def bm25_scores(
+    queries: DataFrame, fields: DataFrame, postings: DataFrame | None = None, max_terms: int | None = MAX_TERMS
+) -> DataFrame:
+    """(query_id, chunk_id, score) for every chunk that matches any query phrase.
+
+    ``fields`` gives the number and mean length of the chunks. ``max_terms`` is the number of phrases a
+    query may have, None for all of them.
+    """
+    if postings is None:
+        postings = stage(index_postings(fields), "postings")
     terms = queries.select(
-        "query_id", F.posexplode(tx.query_terms(F.col("query"))).alias("term_no", "term")
+        "query_id", F.posexplode(tx.query_terms(F.col("query"), max_terms)).alias("term_no", "term")
     ).withColumn("phrase", tx.search_text(F.col("term"))).where("phrase <> ''")
     terms = stage(terms.select("query_id", "phrase"), "query-phrases")
-    counts = stage(phrase_counts(fields, terms.select("phrase").distinct(), postings), "phrase-counts")
+    counts = stage(phrase_counts(postings, terms.select("phrase").distinct()), "phrase-counts")
     stats = fields.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     n, df = F.col("n"), F.col("df")
     idf = F.log((n - df + 0.5) / (df + 0.5))
@@ -167,14 +183,14 @@ def bm25_scores(queries: DataFrame, fields: DataFrame, postings: DataFrame | Non
 
 
 def bm25_candidates(
-    queries: DataFrame, fields: DataFrame, limit: int, postings: DataFrame | None = None
+    queries: DataFrame, fields: DataFrame, limit: int, postings: DataFrame | None = None, max_terms: int | None = MAX_TERMS
 ) -> DataFrame:
     """Best ``limit`` chunks per query as reciprocal ranks.
 
     A query without any filter also lets stale chunks take places here; they
     are removed later, when the hits are fused.
     """
-    scores = bm25_scores(queries, fields, postings)
+    scores = bm25_scores(queries, fields, postings, max_terms)
     kept = (
         scores.join(queries, "query_id").alias("f")
         .join(fields.select("chunk_id", *FILTER_COLUMNS).alias("c"), "chunk_id")
@@ -188,25 +204,46 @@ def bm25_candidates(
 
 
 def vector_candidates(
-    queries: DataFrame, vectors: DataFrame, limit: int, block_rows: int = 4096
+    queries: DataFrame, vectors: DataFrame, limit: int, shards: int | None = None, pack_rows: int = 1024
 ) -> DataFrame:
     """Exact cosine top ``limit`` per query, similarity clamped to [0, 1].
 
-    Query vectors are shipped to the tasks in blocks of about ``block_rows``; a
-    larger query set takes several passes over the vectors, so neither the
-    driver nor a task ever holds more than one block. Each task keeps only its
-    running best per query.
+    Both sides are packed into rows of at most ``pack_rows`` vectors. Vector packs are dealt to ``shards``, query
+    packs are sent to every shard, and a task scores one pair of packs at a time, so neither the driver nor a
+    task holds more than two packs and its best rows. The best of each pair are merged per query.
     """
-    blocks = max(1, math.ceil(queries.count() / block_rows))
-    result: DataFrame | None = None
-    for number in range(blocks):
-        block = queries
-        if blocks > 1:
-            block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        part = _search_block(block.select("query_id", "embedding"), vectors, limit)
-        result = part if result is None else result.unionByName(part)
-    order = [F.col("value").desc(), F.col("chunk_id")]
-    return top_per(result, ["query_id"], order, limit).select(
+    shards = shards or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _packed(queries, "query_id", pack_rows).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    searched = _packed(vectors, "chunk_id", pack_rows).withColumn(
+        "shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")
+    )
+    pairs = searched.select("shard", "chunk_id", F.col("matrix").alias("right")).join(
+        asked.select("shard", "query_id", F.col("matrix").alias("left")), "shard"
+    )
+    query_type, chunk_type = (df.schema[c].dataType for df, c in ((queries, "query_id"), (vectors, "chunk_id")))
+    schema = T.StructType([
+        T.StructField("query_id", query_type), T.StructField("chunk_id", chunk_type), T.StructField("value", T.DoubleType()),
+    ])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for names, right, ids, left in frame.itertuples(index=False):
+                names, ids = np.asarray(names), np.asarray(ids)
+                if not len(names) or not len(ids):
+                    continue
+                other = np.frombuffer(right).reshape(len(names), -1)
+                similarity = np.round(other @ np.frombuffer(left).reshape(len(ids), -1).T, 9)
+                if len(names) > limit:
+                    floor = np.partition(similarity, len(names) - limit, axis=0)[len(names) - limit]
+                else:
+                    floor = np.full(len(ids), -np.inf)
+                rows, columns = np.nonzero(similarity >= floor)
+                found = pd.DataFrame({"query_id": ids[columns], "chunk_id": names[rows], "value": similarity[rows, columns]})
+                found = found.sort_values(["value", "chunk_id"], ascending=[False, True]).groupby("query_id", sort=False).head(limit)
+                yield found.assign(value=found["value"].clip(0.0, 1.0))
+
+    scored = pairs.select("chunk_id", "right", "query_id", "left").mapInPandas(run, schema)
+    return top_per(scored, ["query_id"], [F.col("value").desc(), F.col("chunk_id")], limit).select(
         "query_id", "chunk_id", F.lit("vector").alias("method"), "value"
     )
 
@@ -217,47 +254,17 @@ def _unit_rows(series: pd.Series) -> np.ndarray:
     return matrix / np.where(norms == 0, 1, norms)
 
 
-def _search_block(block: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("query_id", block.schema["query_id"].dataType),
-            T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
-            T.StructField("value", T.DoubleType()),
-        ]
-    )
-    frame = block.toPandas()
-    if frame.empty:
-        return block.sparkSession.createDataFrame([], schema)
-    shipped = block.sparkSession.sparkContext.broadcast(
-        (frame["query_id"].to_numpy(), _unit_rows(frame["embedding"]))
-    )
+def _packed(vectors: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key: array of ids, matrix: their unit vectors) in packs of at most ``rows``."""
+    schema = T.StructType([T.StructField(key, T.ArrayType(vectors.schema[key].dataType)), T.StructField("matrix", T.BinaryType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shipped.value
-        best: pd.DataFrame | None = None
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if frame.empty:
-                continue
-            similarity = np.round(_unit_rows(frame["embedding"]) @ matrix.T, 9)
-            if len(frame) > limit:
-                floor = np.partition(similarity, len(frame) - limit, axis=0)[len(frame) - limit]
-            else:
-                floor = np.full(len(ids), -np.inf)
-            rows, columns = np.nonzero(similarity >= floor)
-            found = pd.DataFrame(
-                {
-                    "query_id": ids[columns],
-                    "chunk_id": frame["chunk_id"].to_numpy()[rows],
-                    "value": similarity[rows, columns],
-                }
-            )
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["value", "chunk_id"], ascending=[False, True])
-            best = best.groupby("query_id", sort=False).head(limit)
-        if best is not None:
-            yield best.assign(value=best["value"].clip(0.0, 1.0))
-
-    return vectors.select("chunk_id", "embedding").mapInPandas(run, schema)
+            for start in range(0, len(frame), rows):
+                part = frame.iloc[start : start + rows]
+                yield pd.DataFrame({key: [part[key].tolist()], "matrix": [_unit_rows(part["embedding"]).tobytes()]})
+
+    return vectors.select(key, "embedding").mapInPandas(pack, schema)
 
 
 def fuse(candidates: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -307,23 +314,28 @@ def hybrid_search(
     query_vectors: DataFrame | None = None,
     min_similarity: float = MIN_SIMILARITY,
     prefilter: bool = False,
+    alias_cap: int | None = ALIAS_CAP,
+    max_terms: int | None = MAX_TERMS,
+    candidates_per_method: int | None = None,
 ) -> DataFrame:
     """Ranked, diversified hits. Queries without a row in the result have no answer.
 
     An exact hit skips the other methods, and so does an explicit id. Vector
     candidates are filtered after their top list is cut; ``prefilter`` restricts
-    the vectors to non-stale chunks first.
+    the vectors to non-stale chunks first. The queries and their alias hits are
+    written once and read by every branch.
     """
-    asked = prepare_queries(queries)
-    limit = candidate_limit(top_k)
-    exact = exact_candidates(asked, index.aliases)
+    asked = stage(prepare_queries(queries), "asked")
+    limit = candidates_per_method or candidate_limit(top_k)
+    exact = stage(exact_candidates(asked, index.aliases), "exact-hits")
     no_exact = asked.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    contained = contained_candidates(no_exact, index.aliases)
+    contained = stage(contained_candidates(no_exact, index.aliases, alias_cap), "contained-hits")
     open_ = no_exact.join(contained.select("query_id").distinct(), "query_id", "left_anti").where(
         ~tx.is_exact_id(F.col("query"))
     )
+    open_ = stage(open_, "open-queries")
     candidates = exact.unionByName(contained).unionByName(
-        bm25_candidates(open_, index.fields, limit, index.postings)
+        bm25_candidates(open_, index.fields, limit, index.postings, max_terms)
     )
     if vectors is not None and query_vectors is not None:
         searched = vectors

@@ -31,13 +31,16 @@ SUBJECT_PHRASES = (
 
 
 def run_heads(events: DataFrame) -> DataFrame:
-    """Latest scalar state per run: sequence, frame, context, type and activity."""
-    stateful = events.where(F.col("type") != VERSION_ONLY)
+    """Latest scalar state per run: sequence, frame, context, type and activity.
+
+    A version event is the latest type like any other, but moves neither sequence nor room.
+    """
     toggles = F.when(F.col("type").isin("run_started", "run_ended"), F.col("seq"))
-    return stateful.groupBy("run_id").agg(
-        F.max("seq").alias("last_seq"),
-        F.max_by("game_frame", "seq").alias("game_frame"),
-        F.max_by("context", "seq").alias("context"),
+    moves = F.when(F.col("type") != VERSION_ONLY, F.col("seq"))
+    return events.groupBy("run_id").agg(
+        F.coalesce(F.max(moves), F.lit(0)).alias("last_seq"),
+        F.coalesce(F.max_by("game_frame", moves), F.lit(0)).alias("game_frame"),
+        F.max_by("context", moves).alias("context"),
         F.max_by("type", "seq").alias("last_event_type"),
         F.coalesce(F.max_by(F.col("type") == "run_started", toggles), F.lit(False)).alias("active"),
     )

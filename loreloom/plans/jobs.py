@@ -2,46 +2,77 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.operators import answers as an, evaluate as ev, events as el, index as ix, retrieve as rt, state as st
-from loreloom.operators.publish import read_published
+from loreloom.operators import publish as pb
 from loreloom.operators.scan import by_span
 from loreloom.plans import corpus as co
 from loreloom.sources import files as fl
 
 
-def import_corpus(spark: SparkSession, snapshots: list[str], out: str, overrides: str | None = None, **options) -> dict:
-    """Snapshots to a published corpus; returns the manifest."""
+def import_corpus(
+    spark: SparkSession, snapshots: list[str], out: str, overrides: str | None = None, force: bool = False, **options
+) -> dict:
+    """Snapshots to a published corpus; returns the manifest.
+
+    The checksum of the sources and options is stored; an import of the same sources is skipped unless forced.
+    """
+    sources = pb.source_checksum(spark, [*snapshots, *([overrides] if overrides else [])])
+    if options:
+        sources += ":" + ",".join(f"{k}={v}" for k, v in sorted(options.items()))
+    if not force and not pb.needs_build(spark, out, sources):
+        return pb.read_manifest(spark, out)
     entries = fl.read_overrides(spark, overrides) if overrides else None
-    return co.publish(co.build_corpus(fl.read_pages(spark, snapshots), entries, **options), out)
+    return co.publish(co.build_corpus(fl.read_pages(spark, snapshots), entries, **options), out, source_checksum=sources)
+
+
+INDEX = "INDEX"
+INDEX_TABLES = ("index_chunks", "aliases", "fields", "postings", "term_stats")
 
 
 def build_index(spark: SparkSession, out: str, encoder: ix.Encoder | None = None) -> tuple[ix.KeywordIndex, DataFrame | None]:
     """Keyword tables, and vectors when there is an encoder, of the published corpus.
 
-    Tables are written next to the corpus version, so searches read stored tables.
+    The index belongs to the corpus version and is written into a new folder under it. The version's index
+    pointer is switched last, after the ids of vectors and chunks were compared.
     """
-    chunks = read_published(spark, out, "chunks")
+    version = pb.current_folder(spark, out)
+    folder = os.path.join(version, f"index-{uuid.uuid4().hex[:16]}")
+    chunks = spark.read.parquet(os.path.join(version, "chunks"))
     built = ix.build_keyword_index(chunks)
-    parts = {"index_chunks": built.chunks, "aliases": built.aliases, "fields": built.fields, "postings": built.postings}
-    stored = {}
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{out}/index/{name}")
-        stored[name] = spark.read.parquet(f"{out}/index/{name}")
-    index = ix.KeywordIndex(
-        stored["index_chunks"], stored["aliases"], stored["fields"], stored["postings"], ix.term_stats(stored["postings"])
-    )
-    if encoder is None:
-        return index, None
-    ix.build_vectors(chunks, encoder).write.mode("overwrite").parquet(f"{out}/index/vectors")
-    vectors = spark.read.parquet(f"{out}/index/vectors")
-    if not ix.id_mismatch(chunks, vectors).isEmpty():
-        raise RuntimeError("vectors and chunks do not cover the same ids")
-    return index, vectors
+    for name, df in zip(INDEX_TABLES, (built.chunks, built.aliases, built.fields, built.postings)):
+        df.write.parquet(os.path.join(folder, name))
+    ix.term_stats(spark.read.parquet(os.path.join(folder, "postings"))).write.parquet(os.path.join(folder, "term_stats"))
+    if encoder is not None:
+        ix.build_vectors(chunks, encoder).write.parquet(os.path.join(folder, "vectors"))
+        if not ix.id_mismatch(chunks, spark.read.parquet(os.path.join(folder, "vectors"))).isEmpty():
+            raise RuntimeError("vectors and chunks do not cover the same ids")
+    pb.write_pointer(spark, os.path.join(version, INDEX), os.path.basename(folder))
+    return open_index(spark, out)
+
+
+def open_index(spark: SparkSession, out: str) -> tuple[ix.KeywordIndex, DataFrame | None]:
+    """The published version's current index."""
+    version = pb.current_folder(spark, out)
+    name = pb.read_pointer(spark, os.path.join(version, INDEX))
+    if name is None:
+        raise FileNotFoundError(f"{version} has no index")
+    folder = os.path.join(version, name)
+    index = ix.KeywordIndex(*[spark.read.parquet(os.path.join(folder, table)) for table in INDEX_TABLES])
+    vectors = os.path.join(folder, "vectors")
+    return index, spark.read.parquet(vectors) if pb.exists(spark, vectors) else None
+
+
+def convert_index_vectors(spark: SparkSession, source: str, target: str, dimension: int, expected: int | None = None) -> DataFrame:
+    """Vector tables of another store, checked and normalised, written into a new folder."""
+    ix.convert_vectors(spark.read.parquet(source), dimension, expected).write.parquet(target)
+    return spark.read.parquet(target)
 
 
 def evaluate_suite(

@@ -153,7 +153,7 @@ def test_vector_search_matches_numpy_in_blocks(spark):
     sims = (data32 / np.linalg.norm(data32, axis=1, keepdims=True)) @ (asked32 / np.linalg.norm(asked32, axis=1, keepdims=True)).T
     for block in (4096, 4):
         got = {}
-        for r in rt.vector_candidates(q, vectors, 7, block).collect():
+        for r in rt.vector_candidates(q, vectors, 7, pack_rows=block).collect():
             got.setdefault(r["query_id"], set()).add(r["chunk_id"])
         for j in range(len(asked)):
             assert got[j] == set(np.argsort(-sims[:, j])[:7].tolist())
