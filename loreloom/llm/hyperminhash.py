@@ -11,9 +11,11 @@ How it runs:
    bits of it (the mantissa). Documents with equal sets become one vertex, so copies cost one row each;
 2. ``BANDS`` keys of ``ROWS`` registers; vertices that share a key are compared with the smallest vertex of
    that bucket, first by the estimate (corrected for registers that agree by chance), then by whole sets;
-3. in buckets whose vertices still lie in several components, the remaining pairs across components are
-   compared in blocks, again by estimate and then by whole sets. A bucket that is one component needs no
-   further pair: links inside it cannot change the answer. Nothing is capped or sampled.
+3. a bucket that is one component needs no further pair: links inside it cannot change the answer. For the vertices of the
+   other buckets the shingles that nobody else there has are counted. They bound every intersection exactly, so most members of a family
+   of edited copies turn out to have no partner at all; the rest are compared with the vertex that has the fewest such shingles;
+4. pairs across components that the bounds and the triangle inequality still allow are compared in blocks, by estimate and
+   then by whole sets. Nothing is capped or sampled.
 
 With 48 bands of 6 registers a pair of similarity 0.8 misses every band with probability 5e-7.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loreloom.llm.components import components
 from loreloom.llm.tables import stage
-from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows
+from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -206,7 +208,7 @@ def near_duplicates(
 
     # 2: buckets of two vertices or more, each compared with the bucket's smallest
     entries = vertices.select(F.explode(_band_keys()).alias("key"), "node")
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high"))
     shared, _ = stage(entries.join(hubs.where("hub < high").drop("high"), "key"), "buckets")
     node = vertices.select("node", "n", "regs")
     stars = shared.where("node <> hub").select("node", "hub").distinct()
@@ -221,19 +223,42 @@ def near_duplicates(
     tried = tried.select("a", "b", "s.common", "s.total")
     first = _links(tried, percent)
 
-    # 3: pairs across components in the buckets that are not yet one component
+    # 3: buckets that are not one component yet, compared with their most ordinary vertex
+    texts = (docs, id_col, text_col, words)
     label = components(first.unionByName(repeated))
-    placed = shared.select("key", "size", "node").join(label, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+    open_, _ = stage(_open(shared.select("key", "node"), label), "open-buckets")
+    alone = _alone_counts(open_.select("node").distinct(), *texts)
+    # an id of several texts is no single set: nothing counts as its own
+    alone = alone.join(several.select(F.col("id").alias("node"), F.lit(0).alias("none")), "node", "left").select(
+        "node", F.coalesce("none", "alone").alias("alone")
     )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    distance = tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("far"))
-    rest = placed.join(open_keys.select("key"), "key", "left_semi").join(node, "node").join(
-        distance.groupBy("node").agg(F.max_by("hub", -F.col("far")).alias("hub"), F.min("far").alias("far")), "node", "left"
+    known_size = vertices.select("node", "n").join(alone, "node").select("node", "n", (F.col("n") - F.col("alone")).alias("shared"))
+    open_, _ = stage(_linkable(open_.join(known_size, "node"), percent), "linkable")
+    lightest = open_.groupBy("key").agg(
+        F.min_by(F.struct("node", "n", "shared", "component"), F.struct(-F.col("shared") / F.col("n"), "node")).alias("h")
     )
-    across, _ = stage(_across(rest, percent).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    second = _links(confirmed(across, docs, id_col, text_col, words, percent), percent)
-    links, _ = stage(first.unionByName(repeated).unionByName(second), "all-links")
+    second = open_.join(lightest, "key").where(F.col("component") != F.col("h.component")).where(
+        _bound(F.col("n"), F.col("shared"), F.col("h.n"), F.col("h.shared"), percent)
+    ).select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b"), "node").distinct()
+    second = second.join(node.select(F.col("node").alias("a"), "n", F.col("regs").alias("x")), "a").join(
+        node.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y")), "b"
+    )
+    likely = _estimated(second.select("a", "b", "n", "m", "x", "y"), percent).distinct()
+    likely, _ = stage(likely.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "second-stars")
+    again, _ = stage(confirmed(likely, *texts, percent), "second-tried")
+    again = again.groupBy("a", "b").agg(F.max_by(F.struct("common", "total"), F.col("common") / F.col("total")).alias("s"))
+    again = again.select("a", "b", "s.common", "s.total")
+    linked = first.unionByName(_links(again, percent)).unionByName(repeated)
+
+    # 4: what is left in buckets of several components, pair by pair in blocks
+    rest = _linkable(_open(open_.select("key", "node"), components(linked)).join(known_size, "node"), percent)
+    both = tried.unionByName(again)
+    distance = both.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("far"))
+    distance = distance.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub"), F.min("far").alias("far"))
+    rest = rest.join(node.select("node", "regs"), "node").join(distance, "node", "left")
+    across, _ = stage(_across(rest, percent).distinct().join(both.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    third = _links(confirmed(across, *texts, percent), percent)
+    links, _ = stage(linked.unionByName(third), "all-links")
     final = components(links).withColumnsRenamed({"node": "node_", "component": "component_"})
 
     own = drawn.select("id", "n", "digest").join(vertices.select("digest", "node"), "digest", "left")
@@ -246,6 +271,47 @@ def near_duplicates(
     )
 
 
+def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, component) of the buckets whose vertices lie in several components."""
+    placed = entries.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(several.select("key"), "key")
+
+
+def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, alone): how many shingles of each vertex no other of ``nodes`` has."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, windows = WordHashes(), Windows()
+        for batch, texts in rows(in_bounds(batches, limit=1 << 20)):
+            each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(signed(np.concatenate(each)))], names=["node", "shingle"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, shingle long")
+    single = drawn.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    counts = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return nodes.join(counts, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _bound(n: Column, shared: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether two sets can be linked: their intersection lies within what each shares with anyone."""
+    return (100 + percent) * F.least(shared, other) >= percent * (n + m)
+
+
+def _linkable(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries that can have a partner in their bucket; exact.
+
+    A partner of A has at least ``percent`` of A's size, and at least the smallest size in the bucket, and the intersection is at
+    most what A shares with anyone. A vertex with many shingles of its own has no partner, however large its family is.
+    """
+    smallest = entries.groupBy("key").agg(F.min("n").alias("smallest"))
+    joined = entries.join(smallest, "key")
+    least = F.greatest(percent / 100 * F.col("n"), F.col("smallest"))
+    return joined.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + least) - 1e-6).drop("smallest")
+
+
 def _across(rest: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of vertices of one bucket in different components.
 
@@ -253,15 +319,15 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     exact distances to the same hub differ by more than the largest distance of a link are left out: the
     Jaccard distance is a metric, so they cannot be linked.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     limit = 1 - percent / 100 + 1e-9
 
     def compare(table: pa.Table) -> pa.Table:
         one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        frame = {c: table.column(c).to_numpy() for c in ("node", "component", "n", "block")}
+        frame = {c: table.column(c).to_numpy() for c in ("node", "component", "n", "shared", "block")}
         hub = table.column("hub").fill_null(-1).to_numpy()
         far = table.column("far").fill_null(9.0).to_numpy()
         x = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
@@ -272,8 +338,8 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
             j = right[frame["component"][right] != frame["component"][i]]
             if one == two:
                 j = j[frame["node"][j] < frame["node"][i]]
-            n, m = np.full(len(j), frame["n"][i]), frame["n"][j]
-            j = j[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
+            m, most = frame["n"][j], np.minimum(frame["shared"][j], frame["shared"][i])
+            j = j[(100 + percent) * most >= percent * (m + frame["n"][i])]
             j = j[~((hub[j] == hub[i]) & (hub[i] >= 0) & (np.abs(far[j] - far[i]) > limit))]
             if not len(j):
                 continue
@@ -285,5 +351,5 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         whole = [np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b)]
         return pa.table({"a": whole[0], "b": whole[1]})
 
-    columns = ["key", "i", "j", "block", "node", "component", "n", "regs", "hub", "far"]
+    columns = ["key", "i", "j", "block", "node", "component", "n", "shared", "regs", "hub", "far"]
     return cells.select(*columns).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")

@@ -134,12 +134,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Matches, start and end of the best stretch of aligned words."""
+    """Matches, start and end of the best stretch of aligned words, the longest of equal ones."""
     gain = np.where(same, 1, -MISMATCH)
     run = np.concatenate([[0], np.cumsum(gain)])
     low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[-1])
+    rise = run - low
+    end = int(np.flatnonzero(rise == rise.max())[-1])
+    start = int(np.flatnonzero(run[: end + 1] == low[end])[0])
     return int(same[start:end].sum()), start, end
 
 
