@@ -140,7 +140,21 @@ def corrected_terms(spark, sf_dir):
     return an.correct_terms(turns, "text", TERMS).withColumn("text", F.md5("text"))
 
 
-@registry.add()
+@registry.add(
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'),
+             '(?i)\b(?:chunk|entity|request|state)[-_ ]?id\b[^，。；]*', '', 'g'), '\s+', ' ', 'g')) AS t FROM conversations),
+    s AS (
+      SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) AS i
+      FROM (SELECT *, regexp_extract_all(t, '[^。！？；]*[。！？；]|[^。！？；]+$') AS l FROM c)),
+    p AS (
+      SELECT conv_id, turn, i, unnest(l) AS p, generate_subscripts(l, 1) AS j
+      FROM (SELECT *, regexp_extract_all(trim(s), '(?s)\s*(.{1,120}$|.{60,119}[，、]|.{1,120})', 1) AS l FROM s))
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) - 1 AS segment_no, trim(p) AS segment
+    FROM p WHERE trim(p) <> ''
+    """
+)
 def text_segments(spark, sf_dir):
     """Every turn cut into pieces of at most 120 characters."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -268,17 +268,21 @@ def item_evidence(triggers: DataFrame, hits: DataFrame, items: DataFrame | None
 AnswerFn = Callable[[pd.DataFrame], pd.Series]
 
 
-def answer_batch(questions: DataFrame, hits: DataFrame, answer_fn: AnswerFn) -> DataFrame:
+def answer_batch(questions: DataFrame, hits: DataFrame, answer_fn: AnswerFn, max_question: int | None = 300) -> DataFrame:
     """Answer questions with a user function and guard the drafts.
 
     ``questions``: query_id, question, state_seq, role_name, active_item_name.
     ``hits``: at most top-k rows per query with rank, text and source. The
     function gets a frame with question, evidence and allowed_sources and returns
-    draft JSON. A draft that fails a check is replaced by the best evidence.
+    draft JSON. A draft that fails a check is replaced by the best evidence. An empty question, or one longer than
+    ``max_question`` (None for no limit), is not asked and gets a row with the error and no answer.
     """
     ordered = F.sort_array(F.collect_list(F.struct("rank", F.col("source.id").alias("id"), "text")))
     evidence = hits.groupBy("query_id").agg(ordered.alias("_hits"))
-    asked = questions.where(F.length(tx.strip(F.col("question"))).between(1, 300)).join(evidence, "query_id", "left")
+    size = F.length(F.coalesce(tx.strip(F.col("question")), F.lit("")))
+    refused = F.when(size == 0, "empty question").when(F.lit(max_question is not None) & (size > (max_question or 0)), "question too long")
+    errors = questions.where(refused.isNotNull()).select("query_id", "question", "state_seq", refused.alias("refused"))
+    asked = questions.where(refused.isNull()).join(evidence, "query_id", "left")
     asked = asked.withColumn(
         "allowed_sources",
         F.coalesce(F.array_distinct(F.transform("_hits", lambda h: h["id"])), F.array().cast("array<string>")),
@@ -294,7 +298,7 @@ def answer_batch(questions: DataFrame, hits: DataFrame, answer_fn: AnswerFn) ->
     drafts = asked.mapInPandas(run, schema).withColumn("expected_seq", F.col("state_seq")).drop("state_seq")
     checked = guard_claims(guard_answers(drafts))
     good = F.col("valid") & F.col("claims_ok")
-    return checked.select(
+    answered = checked.select(
         "query_id", "question",
         F.when(good, F.col("advice")).otherwise(F.col("fallback")).alias("answer"),
         F.when(good, F.col("sources")).otherwise(F.slice("allowed_sources", 1, 1)).alias("sources"),
@@ -302,6 +306,11 @@ def answer_batch(questions: DataFrame, hits: DataFrame, answer_fn: AnswerFn) ->
         F.when(good, F.lit(None).cast("string")).when(F.col("valid"), "state claim").otherwise("format or source").alias("replaced_because"),
         "broken_rules",
     )
+    return answered.unionByName(errors.select(
+        "query_id", "question", F.lit(None).cast("string").alias("answer"), F.array().cast("array<string>").alias("sources"),
+        F.col("state_seq").cast(answered.schema["state_seq"].dataType).alias("state_seq"), F.col("refused").alias("replaced_because"),
+        F.array().cast(answered.schema["broken_rules"].dataType).alias("broken_rules"),
+    ))
 
 
 def carry_summary(turns: DataFrame, session: str, order: str, utterance: Column, last: int = 12, max_chars: int = 600) -> DataFrame:
@@ -352,26 +361,16 @@ SENTENCE_END = "(?<=[。！？；])"
 # End of fixed values.
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _hard_cut(sentences: pd.Series, limits: pd.Series) -> pd.Series:
-    def pieces(sentence: str, limit: int) -> Iterator[str]:
-        rest = sentence.strip()
-        while len(rest) > limit:
-            comma = max(rest.rfind(mark, 0, limit) for mark in "，、")
-            end = limit if comma < limit // 2 else comma + 1
-            yield rest[:end].strip()
-            rest = rest[end:].strip()
-        if rest:
-            yield rest
-
-    return pd.Series(
-        [[p for s in group for p in pieces(s, int(n))] for group, n in zip(sentences, limits)]
-    )
+def piece_pattern(max_chars: int) -> str:
+    """What one piece matches: the rest if it fits, else up to the last comma in the second half, else ``max_chars``."""
+    return rf"(?s)\s*(.{{1,{max_chars}}}$|.{{{max_chars // 2},{max_chars - 1}}}[，、]|.{{1,{max_chars}}})"
 
 
 def segment_text(df: DataFrame, column: str, max_chars: int) -> DataFrame:
     """Short segments: whole sentences, long ones cut at a comma or hard at the limit."""
     clean = F.regexp_replace(F.regexp_replace(F.col(column), SPOKEN_URL, ""), SPOKEN_ID, "")
     sentences = F.filter(F.split(tx.squeeze(clean), SENTENCE_END), lambda s: s != "")
-    cut = _hard_cut(sentences, F.lit(max_chars))
+    trimmed = F.filter(F.transform(sentences, tx.strip), lambda s: s != "")
+    pieces = F.flatten(F.transform(trimmed, lambda s: F.regexp_extract_all(s, F.lit(piece_pattern(max_chars)), F.lit(1))))
+    cut = F.filter(F.transform(pieces, tx.strip), lambda s: s != "")
     return df.select("*", F.posexplode(cut).alias("segment_no", "segment"))

@@ -36,15 +36,18 @@ DETAIL_TRIM = " “\"'”"
 # End of fixed values.
 
 
-def extract_candidates(turns: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> DataFrame:
+def extract_candidates(
+    turns: DataFrame, patterns: Sequence[tuple] = PATTERNS, max_turn: int | None = MAX_TURN
+) -> DataFrame:
     """Preference candidates out of user turns; all columns of ``turns`` are kept.
 
+    Turns longer than ``max_turn`` characters state no preference; None reads them all.
+
     Each pattern is (regex with one group, kind, topic key or None, content prefix).
     """
     value = tx.squeeze(F.col("text"))
-    clean = turns.withColumn("_v", value).where(
-        (F.col("_v") != "") & (F.length("_v") <= MAX_TURN) & ~tx.looks_unsafe(F.col("_v"))
-    )
+    short = F.lit(True) if max_turn is None else F.length("_v") <= max_turn
+    clean = turns.withColumn("_v", value).where((F.col("_v") != "") & short & ~tx.looks_unsafe(F.col("_v")))
     options = []
     for number, (regex, kind, topic, prefix) in enumerate(patterns):
         detail = F.btrim(F.regexp_extract("_v", regex, 1), F.lit(DETAIL_TRIM))
@@ -135,16 +138,17 @@ def memory_versions(
 
 
 def recall(
-    queries: DataFrame, memories: DataFrame, owner: str, max_items: int = 3, max_chars: int = 360
+    queries: DataFrame, memories: DataFrame, owner: str, max_items: int = 3, max_chars: int = 360, newest_only: int | None = NEWEST
 ) -> DataFrame:
     """Memories each query may use: (query_id, item_no, id, content, kind, score).
 
-    Only the newest 100 active memories of an owner take part, so the list that
-    travels with a query has a fixed bound. In score order an item is taken when
+    Only the ``newest_only`` newest active memories of an owner take part, so the list that
+    travels with a query has a fixed bound; None lets all take part. In score order an item is taken when
     it fits the characters left; one that does not fit is skipped.
     """
     active = memories.where("status = 'active'")
-    newest = top_per(active, [owner], [F.col("updated_at").desc(), F.col("id").desc()], NEWEST)
+    order = [F.col("updated_at").desc(), F.col("id").desc()]
+    newest = active if newest_only is None else top_per(active, [owner], order, newest_only)
     packed = newest.groupBy(owner).agg(
         F.collect_list(
             F.struct("updated_at", "id", "kind", "content", tx.bigrams(tx.memory_key(F.col("content"))).alias("pairs"))

@@ -65,6 +65,18 @@ def bad_tables(pages: DataFrame, content: str = "wikitext") -> DataFrame:
     return pages.where(~F.coalesce(fine, F.lit(False)))
 
 
+def table_violations(pages: DataFrame, rows: DataFrame, content: str = "wikitext") -> DataFrame:
+    """(title, row_no, rule) of pages that are no table, and of their rows with another number of values."""
+    broken_pages = bad_tables(pages, content).select("title", F.lit(None).cast("int").alias("row_no"), F.lit("table").alias("rule"))
+    return broken_pages.unionByName(rows.where("NOT arity_ok").select("title", "row_no", F.lit("arity").alias("rule")))
+
+
+def identity_violations(rows: DataFrame, key: Column, rule: str) -> DataFrame:
+    """(title, row_no, rule) of rows without a usable identity."""
+    number = F.col("row_no") if "row_no" in rows.columns else F.lit(None).cast("int")
+    return rows.where(key.isNull()).select("title", number.alias("row_no"), F.lit(rule).alias("rule"))
+
+
 def field(name: str) -> Column:
     return tx.clean_scalar(F.try_element_at("fields", F.lit(name)))
 
@@ -166,6 +178,15 @@ def render_entities(rows: DataFrame) -> DataFrame:
     )
 
 
+def bad_rooms(pages: DataFrame, content: str = "wikitext") -> DataFrame:
+    """(title, row_no, rule) of room pages that are not JSON objects."""
+    named = pages.where(F.startswith("title", F.lit(ROOM_PREFIX)))
+    parsed = F.schema_of_variant(F.try_parse_json(content))
+    return named.where(~F.coalesce(F.startswith(parsed, F.lit("OBJECT")), F.lit(False))).select(
+        "title", F.lit(None).cast("int").alias("row_no"), F.lit("room json").alias("rule")
+    )
+
+
 def read_rooms(pages: DataFrame, content: str = "wikitext") -> DataFrame:
     """Room-layout pages with the parsed record in ``room``."""
     named = pages.where(F.startswith("title", F.lit(ROOM_PREFIX)))

@@ -44,6 +44,8 @@ class Corpus:
     dependencies: DataFrame
     pages: DataFrame
     decisions: DataFrame
+    #: (rule, title, row_no): every record, page or row that is not in the corpus because it breaks a rule.
+    violations: DataFrame
 
 
 def chunk_columns(content_version: str, game_version: str, material: Column, normalization: Column) -> list[Column]:
@@ -143,15 +145,63 @@ def structured_rows(pages: DataFrame, id_prefix: str) -> DataFrame:
 ORDER = ["group_no", "order_1", "order_2", "order_3", "chunk_id"]
 
 
+def _violation(rule: Column, title: Column, row_no: Column | None = None) -> list[Column]:
+    return [rule.alias("rule"), title.cast("string").alias("title"), (F.lit(None) if row_no is None else row_no).cast("int").alias("row_no")]
+
+
+def structured_violations(pages: DataFrame) -> DataFrame:
+    """What ``structured_rows`` cannot render: broken tables, rows, codes, identities and rooms."""
+    data = pages.where(F.col("namespace") == va.DATA_NAMESPACE)
+    tables = data.where(F.col("title").isin(ITEM_TABLE, KEYWORD_TABLE, ENTITY_TABLE))
+    rows = sd.explode_tabular(tables)
+    fine = rows.where("arity_ok")
+    page_key = F.trim(F.coalesce(F.try_element_at("fields", F.lit("page")), F.lit("")))
+    found = (
+        sd.table_violations(tables, rows)
+        .unionByName(sd.identity_violations(fine.where(F.col("title") == ITEM_TABLE), sd.item_identity(page_key)[1], "item code"))
+        .unionByName(sd.identity_violations(fine.where(F.col("title") == ENTITY_TABLE), sd.entity_key(), "entity identity"))
+        .unionByName(sd.bad_rooms(data))
+        .unionByName(sd.identity_violations(sd.read_rooms(data), sd.room_key(), "room identity"))
+    )
+    return found.select(*_violation(F.col("rule"), F.col("title"), F.col("row_no")))
+
+
+def first_of_repeated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One page per (page_id, revision_id) and per title key, and the pages left out with their rule.
+
+    Of equal pairs the row with the smallest hash stays; of equal titles the newest revision.
+    """
+    row = F.struct(*[F.col(c) for c in pages.columns])
+    keys = ["page_id", "revision_id"]
+    pair = pages.groupBy(*keys).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("p"), F.count("*").alias("n"))
+    repeated = pair.where("n > 1").select(*_violation(F.lit("page_revision"), F.col("p.title")))
+    single = pair.select("p.*")
+    newest = single.groupBy("title_key").agg(F.max(F.struct("revision_id", "page_id")).alias("last"))
+    marked = single.join(newest, "title_key")
+    last = (F.col("revision_id") == F.col("last.revision_id")) & (F.col("page_id") == F.col("last.page_id"))
+    older = marked.where(~last).select(*_violation(F.lit("title_key"), F.col("title")))
+    return marked.where(last).select(*pages.columns), repeated.unionByName(older)
+
+
 def build_corpus(
     raw: DataFrame, overrides: DataFrame | None = None, content_version: str = "1", game_version: str = "1",
     id_prefix: str = "wiki", strict: bool = True,
 ) -> Corpus:
-    """Validate, close redirects, cut and render, remove duplicates, merge entities."""
-    pages, _ = va.validate_pages(raw, strict)
-    if strict and not va.page_key_violations(pages).isEmpty():
-        raise va.RuleError("repeated page revision or title")
+    """Validate, close redirects, cut and render, remove duplicates, merge entities.
+
+    Nothing is left out silently: ``violations`` has a row for each record, page or row that breaks a rule, and
+    ``strict`` raises when there is any.
+    """
+    pages, rejected = va.validate_pages(raw)
+    pages, repeated = first_of_repeated(stage(pages, "valid-pages"))
     pages = stage(pages, "pages")
+    violations = stage(
+        rejected.select(F.explode("violations").alias("rule"), "title").select(*_violation(F.col("rule"), F.col("title")))
+        .unionByName(repeated).unionByName(structured_violations(pages)), "violations",
+    )
+    if strict and not violations.isEmpty():
+        found = [tuple(r) for r in violations.limit(3).collect()]
+        raise va.RuleError(f"records break rules, for example {found}")
     closed = rd.close_redirects(rd.redirect_map(pages), pages.select("title_key"))
     prose = prose_blocks(pages, closed, overrides, id_prefix)
     both = prose.select(*structured_columns(prose)).unionByName(structured_rows(pages, id_prefix))
@@ -173,7 +223,7 @@ def build_corpus(
     ).where((F.col("kind") != "data") | F.col("namespace").isin(10, 828))
     return Corpus(
         chunks.drop(*internal), en.merge_entities(rows), en.entity_aliases(rows), en.entity_documents(rows),
-        rd.redirect_report(closed, pages), facts, uses, pages, decisions,
+        rd.redirect_report(closed, pages), facts, uses, pages, decisions, violations,
     )
 
 
@@ -222,6 +272,7 @@ def manifest_totals(corpus: Corpus) -> dict:
         "near_duplicates": removed.get("near", 0), "data_chunk_count": chunk["data_chunks"],
         "room_layout_count": chunk["rooms"], "fact_count": corpus.facts.count(),
         "pages_without_chunks": pages.join(cut, "title_key", "left_anti").count(),
+        "violations": corpus.violations.count(),
         "skipped_data_pages": max(0, counts[f"namespace_{va.DATA_NAMESPACE}"] - chunk["rooms"] - tables),
     }
 
@@ -231,7 +282,7 @@ def publish(corpus: Corpus, out: str, **totals) -> dict:
     tables = {
         "chunks": corpus.chunks, "entities": corpus.entities, "entity_aliases": corpus.entity_aliases,
         "entity_documents": corpus.entity_documents, "redirects": corpus.redirects, "facts": corpus.facts,
-        "dependencies": corpus.dependencies,
+        "dependencies": corpus.dependencies, "violations": corpus.violations,
     }
     order = {
         "chunks": ["chunk_id"], "entities": ["entity_type", "entity_id"], "redirects": ["source_key"],

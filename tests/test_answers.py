@@ -58,7 +58,8 @@ def test_answer_batch_replaces_bad_drafts(spark):
         return pd.Series([draft(advice=q, sources=picks[q]) for q in frame["query_id"]], index=frame.index)
 
     got = {r["query_id"]: r for r in an.answer_batch(questions, hits, answer).collect()}
-    assert set(got) == {"good", "forged", "none"}
+    assert set(got) == {"good", "forged", "none", "long"}
+    assert got["long"]["answer"] is None and got["long"]["replaced_because"] == "question too long"
     assert got["good"]["answer"] == "good" and got["good"]["sources"] == ["s2"] and got["good"]["replaced_because"] is None
     assert got["forged"]["answer"] == "fallback text" and got["forged"]["replaced_because"] == "format or source"
     assert got["none"]["answer"] == "none" and got["none"]["sources"] == []

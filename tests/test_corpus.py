@@ -1,5 +1,6 @@
 """End-to-end corpus build on a small snapshot, and its single steps."""
 
+import dataclasses
 import json
 from hashlib import sha256
 
@@ -133,6 +134,49 @@ def test_publish_twice_gives_equal_checksum(spark, raw, built, tmp_path):
     assert pb.needs_build(spark, str(tmp_path / "none"), "s1")
 
 
+def test_publish_leaves_open_readers_alone(spark, built, tmp_path):
+    """Equal chunks with another side table give a new version; who opened the old one still reads it."""
+    out = str(tmp_path / "out")
+    first = co.publish(built, out)
+    reader = pb.read_published(spark, out, "entities")
+    before = reader.count()
+    changed = dataclasses.replace(built, entities=built.entities.limit(1))
+    second = co.publish(changed, out)
+    assert second["corpus_checksum"] == first["corpus_checksum"] and second["content_checksum"] != first["content_checksum"]
+    assert second["version"] != first["version"] and pb.current_version(spark, out) == second["version"]
+    assert reader.count() == before and pb.read_published(spark, out, "entities").count() == 1
+
+    def refuse(folder):
+        raise ValueError(folder)
+
+    with pytest.raises(ValueError):
+        pb.publish_corpus({"chunks": built.chunks}, out, {}, check=refuse)
+    assert pb.current_version(spark, out) == second["version"]
+
+
+def test_nothing_is_lost_silently(spark, tmp_path):
+    item = ["page", "namezh", "nameen"]
+    rows = [
+        page(1, "A", "some text that is long enough"), page(2, "B", "x", schema_version=2),
+        page(3, "C", "first long enough text here"), page(4, "c", "second long enough text here"),
+        page(5, "Data:Item.tabx", tabular(item, [["C118", "a", "b"], ["X1", "a", "b"], ["C7", "a"]]), namespace=3500),
+        page(6, "Data:Entity.tabx", tabular(["type", "variant", "subtype", "namezh"], [["1", "2", "x", "n"], ["1", "2", "3", "n"]]), namespace=3500),
+        page(7, "Data:Rooms/a.json", "{broken", namespace=3500), page(8, "Data:Rooms/b.json", '{"_type":"ROOM_STB","type":"1"}', namespace=3500),
+        page(9, "Data:ItemKeywords.tabx", "{}", namespace=3500),
+    ]
+    path = tmp_path / "pages.jsonl"
+    path.write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    raw = fl.read_pages(spark, str(path))
+    found = {tuple(r) for r in co.build_corpus(raw, strict=False).violations.select("rule", "title", "row_no").collect()}
+    assert found == {
+        ("schema_version", "B", None), ("title_key", "C", None), ("item code", "Data:Item.tabx", 2), ("arity", "Data:Item.tabx", 3),
+        ("entity identity", "Data:Entity.tabx", 1), ("room json", "Data:Rooms/a.json", None), ("room identity", "Data:Rooms/b.json", None),
+        ("table", "Data:ItemKeywords.tabx", None),
+    }
+    with pytest.raises(va.RuleError):
+        co.build_corpus(raw, strict=True)
+
+
 def test_search_the_built_corpus(spark, built):
     index = ix.build_keyword_index(built.chunks)
     asked = spark.createDataFrame([("a", "C118"), ("b", "C118 为什么"), ("c", "Brim")], "query_id string, query string")
