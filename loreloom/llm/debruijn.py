@@ -109,8 +109,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, mark, start, end): word intervals covered by windows that also start in a document with a smaller id."""
     spark = docs.sparkSession
     cut, whole = stage(super_kmers(docs, id_col, text_col, size), "super-kmers")
+    # written, so that a join on a frequent anchor meets plain tables and can be split at run time
     anchors = cut.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    kept, _ = stage(cut.join(anchors.where("low < high").select("anchor"), "anchor"), "shared-kmers")
+    anchors, _ = stage(anchors.where("low < high").select("anchor"), "shared-anchors")
+    kept, _ = stage(cut.join(anchors, "anchor"), "shared-kmers")
     drop(spark, whole)
 
     content = kept.groupBy("anchor", "c1", "c2").agg(
@@ -119,7 +121,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     content, _ = stage(content, "contents")
     many = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("branching"))
-    known = content.join(many, "anchor", "left")
+    many, _ = stage(many, "branching")
+    known, _ = stage(content.join(many, "anchor", "left"), "known-contents")
     at = kept.join(known, ["anchor", "c1", "c2"]).select(
         "id", "mark", "start", "windows", "low", F.coalesce("branching", F.lit(False)).alias("branching"), "one_before", "one_after",
     )
@@ -138,6 +141,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = at.where("branching and low = id").select("id", "mark", "start", "windows")
     single, _ = stage(window_hashes(open_, docs, id_col, text_col, size), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low")
+    least, _ = stage(least, "least")
     again = single.join(least, ["w1", "w2"]).where("low < id").select("id", "mark", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
     found = paths.unionByName(again)
     return found.select("id", "mark", "start", (F.col("end") + size - 1).alias("end"))
