@@ -45,8 +45,7 @@ def exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.sha2(tx.dedupe_key(F.col("text")), 256).alias("checksum")
     )
-    first = docs.groupBy("checksum").agg(F.min("doc_id").alias("doc_id"))
-    first = first.select("doc_id", F.lit("kept").alias("status"))
+    first = dedup.drop_exact(docs, ["doc_id"], "doc_id").select("doc_id", F.lit("kept").alias("status"))
     return docs.join(first, "doc_id", "left").select(
         "doc_id", F.coalesce("status", F.lit("exact")).alias("status")
     )
@@ -87,7 +86,27 @@ def near_pairs(spark, sf_dir):
     return dedup.near_pairs(dedup.signatures(docs), "doc_id")
 
 
-@registry.add()
+@registry.add(
+    f"""
+    WITH RECURSIVE {SIGNATURES},
+    n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM signed),
+    adj AS (
+      SELECT b.i, list(a.i) AS earlier FROM n b JOIN n a ON a.i < b.i AND (a.checksum = b.checksum OR (
+             least(a.text_length, b.text_length) / greatest(a.text_length, b.text_length) >= 0.92
+             AND bit_count(xor(a.b0, b.b0)) + bit_count(xor(a.b1, b.b1)) + bit_count(xor(a.b2, b.b2)) + bit_count(xor(a.b3, b.b3)) <= 3))
+      GROUP BY b.i),
+    r AS (SELECT n.i, coalesce(earlier, []::BIGINT[]) AS earlier FROM n LEFT JOIN adj USING (i)),
+    walk AS (
+      SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+      UNION ALL
+      SELECT r.i, CASE WHEN list_has_any(kept, r.earlier) THEN kept ELSE list_append(kept, r.i) END
+      FROM walk JOIN r ON r.i = walk.i + 1),
+    kept AS (SELECT unnest(kept) AS i FROM walk WHERE i = (SELECT count(*) FROM n)),
+    sums AS (SELECT checksum, min(i) AS first FROM n WHERE i IN (SELECT i FROM kept) GROUP BY checksum)
+    SELECT doc_id, CASE WHEN i IN (SELECT i FROM kept) THEN 'kept' WHEN first < i THEN 'exact' ELSE 'near' END AS status
+    FROM n LEFT JOIN sums USING (checksum)
+    """
+)
 def greedy_dedup(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup.greedy_dedup(dedup.signatures(docs), "doc_id", ["doc_id"]).drop("checksum")
