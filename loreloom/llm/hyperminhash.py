@@ -134,9 +134,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, n, m, x, y) to the plausible (a, b, est)."""
 
     def compare(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for i in (4, 5))
             est, used = estimate(x, y, n, m)
@@ -153,7 +151,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     def confirm(batches):
         cache, windows = WordHashes(), Windows()
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             a, b, common, total = [], [], [], []
             left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
             for i, (s, t) in enumerate(zip(left, right)):
@@ -233,6 +231,7 @@ def near_duplicates(
         "node", F.coalesce("none", "alone").alias("alone")
     )
     known_size = vertices.select("node", "n").join(alone, "node").select("node", "n", (F.col("n") - F.col("alone")).alias("shared"))
+    known_size, _ = stage(known_size, "shared-sizes")
     open_, _ = stage(_linkable(open_.join(known_size, "node"), percent), "linkable")
     lightest = open_.groupBy("key").agg(
         F.min_by(F.struct("node", "n", "shared", "component"), F.struct(-F.col("shared") / F.col("n"), "node")).alias("h")

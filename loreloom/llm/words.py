@@ -20,7 +20,7 @@ BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
 class WordHashes(dict):
     """Word to hash. Emptied when full, so its size is bounded; it only saves work."""
 
-    limit = 1_000_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
