@@ -82,6 +82,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    # written, so that the rows of a large group meet a plain table and can be split at run time
+    groups, _ = stage(groups, "copy-groups")
     copies = again.join(groups, "digest").select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest"
     )
