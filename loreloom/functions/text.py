@@ -38,7 +38,7 @@ UNSAFE_MARKERS = (
 PLAIN_TRIM = " \n|;："
 # End of fixed values.
 
-_LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+LINE_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
 def fold(c: Column) -> Column:
@@ -96,7 +96,7 @@ def norm_plain(c: Column) -> Column:
 
 def norm_block(c: Column) -> Column:
     """Strip list markers per line, squeeze, and keep single blank separators."""
-    lines = F.split(F.regexp_replace(c, _LINE_BREAKS, "\n"), "\n")
+    lines = F.split(F.regexp_replace(c, LINE_BREAKS, "\n"), "\n")
     cleaned = F.transform(
         lines, lambda x: squeeze(F.regexp_replace(x, r"(?U)^\s*[#*:;]+\s*", ""))
     )

@@ -244,9 +244,13 @@ def test_snapshot_audit(raw):
     assert good.count() == 5 and bad.count() == 10
 
 
-def test_markup_rendering():
+def test_markup_rendering(spark):
+    def tree_of(text, title="T"):
+        page = spark.createDataFrame([(text, title)], "markup string, title string")
+        return sc.sections(page, F.col("markup"), F.col("title")).orderBy("section_no", "block_no").collect()
+
     def blocks(text, title="T"):
-        return [b for s in sc.sections_of(text, title) for b in s["blocks"]]
+        return [r["block"] for r in tree_of(text, title)]
 
     assert blocks("{{n}} is {{item|Bomb|2}} and {{unknown|short}} {{quote|a}} {{dif|a|dlc=late|x}}") == ["T is Bomb and short late"]
     assert blocks("[[A|b]] [[C#d]] [https://x.y label] '''bold''' <span>s</span>&amp;") == ["b C label bold s &"]
@@ -255,9 +259,9 @@ def test_markup_rendering():
     assert blocks("{{Infobox room|名称=房|other=1|id=5}}") == ["名称：房；id：5"]
     many = "".join("{{item|w%d}} " % i for i in range(45))
     assert blocks(many)[0].split() == [f"w{i}" for i in range(40)]
-    tree = sc.sections_of("lead text\n== A ==\none\n=== B ===\ntwo\n== Trivia ==\n=== C ===\nthree", "T")
-    assert [s["path"] for s in tree] == [[], ["A"], ["A", "B"]]
-    assert sc.sections_of("a\n\n" + "b" * 1000 + "\n\n" + "c" * 1000, "T")[0]["blocks"] == ["a\n" + "b" * 1000, "c" * 1000]
+    tree = tree_of("lead text\n== A ==\none\n=== B ===\ntwo\n== Trivia ==\n=== C ===\nthree", "T")
+    assert [s["section_path"] for s in tree] == [[], ["A"], ["A", "B"]]
+    assert blocks("a\n\n" + "b" * 1000 + "\n\n" + "c" * 1000) == ["a\n" + "b" * 1000, "c" * 1000]
     long = "。".join("字" * 500 for _ in range(9)) + "。"
     assert [len(b) for b in blocks(long)] == [1503, 1503, 1503]
 
