@@ -14,8 +14,8 @@ How it runs:
 3. a bucket that is one component needs no further pair: links inside it cannot change the answer. For the vertices of the
    other buckets the shingles that nobody else there has are counted. They bound every intersection exactly, so most members of a family
    of edited copies turn out to have no partner at all; the rest are compared with the vertex that has the fewest such shingles;
-4. pairs across components that the bounds and the triangle inequality still allow are compared in blocks, by estimate and
-   then by whole sets. Nothing is capped or sampled.
+4. pairs across components that the bounds and the triangle inequality still allow are compared in blocks, by 16-bit marks of
+   all shingles (which bound the intersection from above), by estimate, and then by whole sets. Nothing is capped or sampled.
 
 With 48 bands of 6 registers a pair of similarity 0.8 misses every band with probability 5e-7.
 
@@ -45,6 +45,8 @@ EMPTY = 255
 SIGMAS = 6
 #: Vertices of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Shingles of a set whose 16-bit marks are compared before its estimate.
+SMALL = 2000
 
 
 def shingles(words: list[bytes], size: int, cache: WordHashes, windows: Windows) -> np.ndarray:
@@ -254,7 +256,9 @@ def near_duplicates(
     both = tried.unionByName(again)
     distance = both.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("far"))
     distance = distance.groupBy("node").agg(F.min_by("hub", F.struct("far", "hub")).alias("hub"), F.min("far").alias("far"))
-    rest = rest.join(node.select("node", "regs"), "node").join(distance, "node", "left")
+    rest, _ = stage(rest, "rest")
+    marks = _marks(rest.select("node").distinct().join(several.select(F.col("id").alias("node")), "node", "left_anti"), *texts)
+    rest = rest.join(node.select("node", "regs"), "node").join(distance, "node", "left").join(marks, "node", "left")
     across, _ = stage(_across(rest, percent).distinct().join(both.select("a", "b"), ["a", "b"], "left_anti"), "across")
     third = _links(confirmed(across, *texts, percent), percent)
     links, _ = stage(linked.unionByName(third), "all-links")
@@ -294,6 +298,21 @@ def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return nodes.join(counts, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
+def _marks(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(node, marks): the distinct low 16 bits of a vertex's shingles, for sets of up to ``SMALL`` shingles."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, windows = WordHashes(), Windows()
+        for batch, texts in rows(in_bounds(batches)):
+            each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
+            marks = [np.unique(e.astype(np.uint16)).tobytes() if len(e) <= SMALL else None for e in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, marks binary")
+    return drawn.groupBy("node").agg(F.first("marks").alias("marks"))
+
+
 def _bound(n: Column, shared: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether two sets can be linked: their intersection lies within what each shares with anyone."""
     return (100 + percent) * F.least(shared, other) >= percent * (n + m)
@@ -316,7 +335,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
     A bucket is cut into blocks of about ``BLOCK`` vertices and each task compares two blocks. Pairs whose
     exact distances to the same hub differ by more than the largest distance of a link are left out: the
-    Jaccard distance is a metric, so they cannot be linked.
+    Jaccard distance is a metric, so they cannot be linked. Marks leave out pairs exactly, too.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -330,6 +349,10 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         hub = table.column("hub").fill_null(-1).to_numpy()
         far = table.column("far").fill_null(9.0).to_numpy()
         x = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+        marks = [None if v is None else np.frombuffer(v, dtype=np.uint16) for v in table.column("marks").to_pylist()]
+        known = np.array([m is not None for m in marks])
+        lost = np.array([0 if m is None else k - len(m) for m, k in zip(marks, frame["n"])])
+        member = np.zeros(1 << 16, dtype=bool)
         left = np.flatnonzero(frame["block"] == one)
         right = np.flatnonzero(frame["block"] == two)
         a, b = [], []
@@ -340,6 +363,16 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
             m, most = frame["n"][j], np.minimum(frame["shared"][j], frame["shared"][i])
             j = j[(100 + percent) * most >= percent * (m + frame["n"][i])]
             j = j[~((hub[j] == hub[i]) & (hub[i] >= 0) & (np.abs(far[j] - far[i]) > limit))]
+            if known[i] and len(j) and known[j].any():
+                # equal shingles have equal marks, so common marks and what either lost to collisions bound the intersection
+                member[marks[i]] = True
+                some = j[known[j]]
+                sizes = [len(marks[k]) for k in some]
+                met = np.add.reduceat(member[np.concatenate([marks[k] for k in some])], np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+                member[marks[i]] = False
+                met += np.minimum(lost[some], lost[i])
+                possible = (100 + percent) * met >= percent * (frame["n"][some] + frame["n"][i])
+                j = np.concatenate([some[possible], j[~known[j]]])
             if not len(j):
                 continue
             n, m = np.full(len(j), frame["n"][i]), frame["n"][j]
@@ -350,5 +383,5 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         whole = [np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (a, b)]
         return pa.table({"a": whole[0], "b": whole[1]})
 
-    columns = ["key", "i", "j", "block", "node", "component", "n", "shared", "regs", "hub", "far"]
+    columns = ["key", "i", "j", "block", "node", "component", "n", "shared", "regs", "hub", "far", "marks"]
     return cells.select(*columns).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
