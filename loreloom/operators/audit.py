@@ -78,7 +78,6 @@ def audit_snapshot(raw: DataFrame, requirements: Mapping) -> dict:
     Only counters and the watched titles come back to the caller; the pages stay
     where they are.
     """
-    spark = raw.sparkSession
     prefix = requirements["room_title_prefix"]
     profile = snapshot_profile(raw, prefix).first().asDict()
     watched = list(requirements["required_exact_titles"]) + list(requirements["expected_dependency_titles"])
@@ -116,7 +115,6 @@ def audit_snapshot(raw: DataFrame, requirements: Mapping) -> dict:
         ),
         "coverage_failures": failures,
         "status": "incomplete" if absent or failures else "ready",
-        "spark_version": spark.version,
     }
 
 

@@ -305,11 +305,10 @@ def recent_events(events: DataFrame, run: str, seq: str, type_: str, n: int) ->
 
 
 def dedupe_calls(calls: DataFrame, key: str = "call_id", order: str | None = None) -> DataFrame:
-    """First call per id; a repeated id is rejected."""
-    if order is None:
-        return calls.dropDuplicates([key])
-    first = calls.groupBy(key).agg(F.min(order).alias(order))
-    return calls.join(first, [key, order], "left_semi")
+    """First call per id by ``order`` (of equal ones the smallest row hash); a repeated id is rejected."""
+    row = F.struct(*[F.col(f"`{c}`") for c in calls.columns])
+    place = F.struct(*([F.col(order)] if order else []), F.xxhash64(F.to_json(row)))
+    return calls.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, place).alias("_row")).select("_row.*")
 
 
 def transcript_marks(transcripts: DataFrame, request: str, ts: str) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _STAGED: list[str] = []
@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_DIR, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
         raise RuntimeError(f"{CHECKPOINT_DIR} must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_DIR, folder)
@@ -58,11 +58,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work when the input has fewer splits than cores.
 

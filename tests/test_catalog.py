@@ -9,6 +9,8 @@ from tests import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 REGISTRY = load_all()
+#: Beyond SQL: greedy text packing, and an encoder in Python.
+WITHOUT_SQL = {"sectioned_pages", "hybrid_search"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def db():
 @pytest.mark.parametrize("name", sorted(REGISTRY.queries))
 def test_query(spark, db, name):
     verdict, _, rows = oracle.compare(spark, SF_DIR, REGISTRY.queries[name], REGISTRY.sql.get(name), db)
-    assert verdict in ("ok", "rows-only")
+    assert verdict == ("rows-only" if name in WITHOUT_SQL else "ok")
     assert rows > 0 or name in REGISTRY.sql
 
 
