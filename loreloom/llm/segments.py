@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
 BUCKETS = 1 << 20
@@ -170,6 +171,7 @@ def fit(
     if not model.trained:
         return model
     sample = train.select("label", "text", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).drop("h")
+    sample, _ = stage(sample.repartition(64), "calibration")
     share = _background(sample, model)
     model.lam, model.k = _extreme_value(share)
     drawn = score(sample.select(F.col("label").alias("doc_id"), "text"), model).select("doc_id", "evidence").toArrow()
