@@ -31,63 +31,66 @@ from loreloom.llm.words import in_bounds, rows
 END = 1
 
 
-class Encoder:
-    """``Tokenizer.encode(text, add_special_tokens=False).ids``, with a bounded memory of encoded words.
+class Encoder(dict):
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian 32-bit numbers.
 
-    White space separates tokens and yields none, so ids are concatenated over white-space-separated parts.
-    A part of letters only is one pre-token; where ``probe`` finds that the vocabulary works that way, such parts
-    go straight to the merge model.
+    White space separates tokens and yields none, so ids are concatenated over white-space-separated parts, and the
+    dict remembers the parts seen so far, ``limit`` of them at most. A part of letters only is one pre-token; where
+    ``probe`` finds that the vocabulary works that way, such parts go straight to the merge model.
     """
 
-    limit = 400_000
+    limit = 1_000_000
     probe = ("word", "Straße", "Éñçà", "été", "don't", "x1y2", "ΑΣ", "naïve,", "日本語")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
         self.direct = True
-        self.direct = all(self._part(p.encode()) == self._whole(p) for p in self.probe)
+        self.direct = all(self[p.encode()] == self._whole(p) for p in self.probe)
+        self.clear()
 
-    def _whole(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _letters(self, word: str) -> tuple[int, ...]:
-        mapped = word.lower().encode().decode("latin-1").translate(self.table)
-        return tuple(token.id for token in self.tokenizer.model.tokenize(mapped))
+    def __missing__(self, part: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[part] = self._encoded(part)
+        return value
 
-    def _part(self, part: bytes) -> tuple[int, ...]:
+    def _encoded(self, part: bytes) -> bytes:
         text = part.decode()
-        if self.direct and "Σ" not in text and unicodedata.is_normalized("NFC", text):
-            tail = text[-1:] if text[-1:] in ".,;:!?" else ""
-            stem = text[: len(text) - len(tail)]
-            if stem.isalpha():
-                return self._get(stem.lower().encode(), self._letters, stem) + (
-                    self._get(tail.encode(), self._whole, tail) if tail else ()
-                )
+        if not self.direct:
+            return self._whole(text)
+        if text.isalpha():
+            if "Σ" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                return self._whole(text)
+            low = text.lower()
+            if low != text:
+                return self[low.encode()]
+            mapped = part.decode("latin-1").translate(self.table)
+            return np.array([token.id for token in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self[part[:-1]] + self[part[-1:]]
         return self._whole(text)
 
-    def _get(self, key: bytes, how, text: str) -> tuple[int, ...]:
-        ids = self.known.get(key)
-        if ids is None:
-            ids = self.known[key] = how(text)
-        return ids
-
-    def encode(self, text: bytes) -> list[int]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        out: list[int] = []
-        known = self.known
-        for part in text.split():
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self._part(part)
-            out += ids
-        return out
+    def encode(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype="<u4")
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The Python worker's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:
@@ -196,12 +199,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     fields = "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part, seen = TaskContext.get().partitionId(), {}
         for batch, texts in rows(in_bounds(batches)):
             out: list[list] = [[] for _ in range(8)]
             for key, text in zip(batch.column(0).to_pylist(), texts):
-                ids = np.array([*encoder.encode(text or b""), END], dtype="<u4")
+                ids = np.append(encoder.encode(text or b""), np.uint32(END)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     rank = seen.get(len(own), 0)
