@@ -376,3 +376,75 @@ def top_two_parts(spark, sf_dir):
     best = top_per(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_extendedprice").desc(), F.col("l_linenumber")], 2)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "l_partkey"))), lambda s: s["l_partkey"].cast("string"))
     return best.groupBy("l_orderkey").agg(F.array_join(listed, ",").alias("best"))
+
+
+@registry.add(
+    """
+    WITH p AS (
+      SELECT *, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE 'a' END AS ref, CASE WHEN page_id % 11 = 0 THEN 0 ELSE 3500 END AS namespace,
+             CASE WHEN page_id % 13 = 0 THEN NULL ELSE false END AS stale, CASE WHEN page_id % 17 = 0 THEN 2 ELSE 1 END AS version,
+             CASE WHEN page_id % 3 = 0 THEN url ELSE 'Data:' || url END AS title,
+             CASE WHEN page_id % 5 = 0 THEN md5(html) ELSE sha256(html) END AS sum FROM pages)
+    SELECT page_id, array_to_string(list_filter([
+      CASE WHEN version <> 1 THEN 'schema_version' END, CASE WHEN namespace <> 3500 THEN 'namespace' END,
+      CASE WHEN stale IS NULL THEN 'booleans' END, CASE WHEN sum <> sha256(html) THEN 'checksum' END,
+      CASE WHEN NOT starts_with(title, 'Data:') THEN 'title' END, CASE WHEN NOT starts_with(url, 'https://') THEN 'https' END,
+      CASE WHEN trim(ref) = '' THEN 'authorization_ref' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM p
+    """
+)
+def snapshot_rules(spark, sf_dir):
+    """Pages as snapshot records, some with a wrong field, and the rules they break."""
+    from loreloom.operators import validate as va
+
+    p = F.col("page_id")
+    text = lambda value, name: F.lit(value).alias(name)
+    rows = table(spark, sf_dir, "pages").select(
+        F.lit(None).cast("string").alias("_corrupt_record"), "page_id", p.alias("revision_id"),
+        F.when(p % 7 == 0, " ").otherwise("a").alias("authorization_ref"),
+        F.concat(F.lit("sha256:"), F.when(p % 5 == 0, F.md5("html")).otherwise(F.sha2("html", 256))).alias("content_checksum"),
+        text("wikitext", "content_model"), F.concat(F.lit("p"), p.cast("string")).alias("document_id"), text("l", "license_note"),
+        text("t", "retrieved_at"), text("s", "revision_sha1"), text("t", "revision_timestamp"), F.col("url").alias("revision_url"),
+        text("w", "source_title"), text("w", "source_type"), F.col("url").alias("source_url"),
+        F.when(p % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("Data:"), "url")).alias("title"), F.col("html").alias("wikitext"),
+        F.when(p % 11 == 0, 0).otherwise(3500).alias("namespace"), F.lit(False).alias("redirect"),
+        F.when(p % 13 != 0, False).alias("stale"), F.when(p % 17 == 0, 2).otherwise(1).alias("schema_version"),
+    )
+    good, bad = va.validate_snapshot(rows, 3500)
+    none = good.select("page_id", F.lit("").alias("violations"))
+    return none.unionByName(bad.select("page_id", F.array_join("violations", ",").alias("violations")))
+
+
+@registry.add(
+    r"""
+    WITH d AS (
+      SELECT doc_id, lang, source, CASE WHEN doc_id % 6 = 0 THEN 'bad id ' || doc_id ELSE 'd' || doc_id END AS document_id,
+             CASE WHEN doc_id % 4 = 0 THEN 'http' ELSE 'https' END || '://x/' || doc_id AS url,
+             CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE left(text, 20) END AS title, CASE WHEN doc_id % 8 = 0 THEN '' ELSE 'b' END AS alias FROM documents)
+    SELECT doc_id, array_to_string(list_filter([
+      CASE WHEN NOT regexp_full_match(document_id, '[A-Za-z0-9_./:+-]+') THEN 'document_id' END,
+      CASE WHEN trim(title, E' \n\r\t') = '' THEN 'title' END, CASE WHEN alias = '' THEN 'aliases' END,
+      CASE WHEN NOT starts_with(url, 'https://') THEN 'https' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM d
+    """
+)
+def curated_rules(spark, sf_dir):
+    """Documents as curated records, some with a wrong field, and the rules they break."""
+    from loreloom.operators import validate as va
+
+    d = F.col("doc_id")
+    key = d.cast("string")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(d % 6 == 0, F.concat(F.lit("bad id "), key)).otherwise(F.concat(F.lit("d"), key)).alias("document_id"),
+        F.col("lang").alias("entity_type"), F.col("source").alias("entity_id"), F.col("source").alias("name_zh"), F.col("lang").alias("name_en"),
+        F.when(d % 9 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("title"), "text", F.lit("2026").alias("acquired_on"),
+        F.lit("1").alias("game_version"), F.lit("l").alias("license_note"), F.lit("1").alias("content_version"),
+        F.array(F.lit("a"), F.when(d % 8 == 0, "").otherwise("b")).alias("aliases"),
+        F.struct(
+            F.col("source").alias("id"), F.col("lang").alias("type"), F.col("source").alias("title"),
+            F.concat(F.when(d % 4 == 0, "http").otherwise("https"), F.lit("://x/"), key).alias("url"),
+        ).alias("source"), F.lit(False).alias("stale"),
+    )
+    good, bad = va.validate_curated(rows, strict=False)
+    none = good.select("doc_id", F.lit("").alias("violations"))
+    return none.unionByName(bad.select("doc_id", F.array_join("violations", ",").alias("violations")))
