@@ -262,22 +262,26 @@ def suppress_stale(marked: DataFrame) -> DataFrame:
     return marked.where("current")
 
 
-def drop_paused(events: DataFrame, pauses: DataFrame, ts: str, chunk_seconds: int = 60) -> DataFrame:
+def drop_paused(events: DataFrame, pauses: DataFrame, ts: str, bucket_seconds: int = 3600) -> DataFrame:
     """Drop events inside a pause [paused_at, resumed_at).
 
-    Pause edges are put between the events in time order and counted, so no event
-    is compared with any pause.
+    Pauses are cut into time buckets, where those that cover a whole bucket are one row, and events meet them by
+    bucket: nothing is ordered, and a busy bucket is an ordinary join key. A pause without an end, or
+    one that ends in the future, ends with the events.
     """
-    def edges(column: str, step: int) -> DataFrame:
-        return pauses.select(F.col(column).alias(ts), F.lit(0).alias("_kind"), F.lit(step).cast("long").alias("_step"))
-
-    rows = events.withColumn("_kind", F.lit(1)).withColumn("_step", F.lit(0).cast("long"))
-    both = rows.unionByName(edges("paused_at", 1), allowMissingColumns=True).unionByName(
-        edges("resumed_at", -1), allowMissingColumns=True
-    )
-    chunk = F.floor(F.unix_seconds(ts) / chunk_seconds).cast("long")
-    counted = running(both, [], [ts, "_kind"], chunk, {"_open": ("sum", F.col("_step"))}, inclusive=True)
-    return counted.where((F.col("_kind") == 1) & (F.col("_open") <= 0)).select(*events.columns)
+    step = bucket_seconds * 1_000_000
+    last = events.agg((F.unix_micros(F.max(ts)) + 1).alias("m")).select("m").scalar()
+    start = F.unix_micros("paused_at")
+    spans = pauses.withColumn("_last", last).select(
+        start.alias("_from"), F.least(F.coalesce(F.unix_micros("resumed_at"), "_last"), "_last").alias("_to")
+    ).where("_from < _to")
+    buckets = F.sequence(F.floor(F.col("_from") / step), F.floor((F.col("_to") - 1) / step))
+    clipped = spans.select("_from", "_to", F.explode(buckets).alias("_bucket")).select(
+        "_bucket", F.greatest("_from", F.col("_bucket") * step).alias("_from"), F.least("_to", (F.col("_bucket") + 1) * step).alias("_to")
+    ).distinct()
+    at = F.unix_micros(F.col(ts))
+    met = (F.floor(at / step) == F.col("_bucket")) & (at >= F.col("_from")) & (at < F.col("_to"))
+    return events.join(clipped, met, "left_anti")
 
 
 def advice_triggers(events: DataFrame, known: DataFrame) -> DataFrame:
