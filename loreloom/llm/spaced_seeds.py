@@ -94,7 +94,10 @@ def seed_filter(found: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, at, hash): seeds of the documents that the filter lets through; ``mark`` hashes the text."""
+    """(id, mark, text, at, hash): documents with seeds that the filter lets through; ``mark`` hashes the text.
+
+    The text goes along, so that no other text of the corpus is moved afterwards.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(seed_filter(found))
     short = sorted(r["n"] for r in found.where("n > 0").select("n").distinct().collect())  # below SPAN, so a few
 
@@ -111,19 +114,21 @@ def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
             return out
 
         for batch, texts in rows(in_bounds(batches), 1):
-            keys, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out: list[list] = [[], [], [], []]
+            row, at, hashes = [], [], []
             for i, text in enumerate(texts):
                 h = words_of(text, cache)
                 drawn = [seeds(h, m) for m in range(len(MASKS))] + [windows.of(h, n) for n in short]
-                for values in drawn:
-                    at = inside(values)
-                    for p, value in zip(at.tolist(), signed(values[at]).tolist()):
-                        for column, v in zip(out, (keys[i], marks[i], p, value)):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["id", "mark", "at", "hash"])
+                found_at = [inside(values) for values in drawn]
+                if any(map(len, found_at)):
+                    row.append(i)
+                    at.append(np.concatenate(found_at))
+                    hashes.append(signed(np.concatenate([v[p] for v, p in zip(drawn, found_at)])))
+            own, lists = batch.take(pa.array(row, pa.int64())), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(2), own.column(1), pa.array(at, lists), pa.array(hashes, lists)], names=["id", "mark", "text", "at", "hash"]
+            )
 
-    return _marked(docs, id_col, text_col).mapInArrow(seek, "id long, mark long, at long, hash long")
+    return _marked(docs, id_col, text_col).mapInArrow(seek, "id long, mark long, text string, at array<long>, hash array<long>")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,11 +157,12 @@ def overlaps(
     drawn, _ = stage(item_seeds(items, item_id, item_text), "item-seeds")
     met, _ = stage(hits(docs, drawn, id_col, text_col), "hits")
     seed = drawn.select("hash", F.col("at").alias("q"), "item")
-    diagonals = met.join(seed, "hash").select("id", "mark", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
-    texts = _marked(docs, id_col, text_col)
+    flat = met.select("id", "mark", F.explode(F.arrays_zip("at", "hash")).alias("h")).select("id", "mark", "h.*")
+    diagonals = flat.join(seed, "hash").select("id", "mark", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
+    texts = met.select("id", "mark", "text").dropDuplicates(["id", "mark"])
     want = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("want")).distinct()
     per_text = diagonals.groupBy("id", "mark", "item").agg(F.collect_set("shift").alias("shifts"))  # bounded by one text
-    joined = per_text.join(texts.distinct(), per_text["id"].eqNullSafe(texts["id"]) & (per_text["mark"] == texts["mark"])).select(
+    joined = per_text.join(texts, per_text["id"].eqNullSafe(texts["id"]) & (per_text["mark"] == texts["mark"])).select(
         per_text["id"], per_text["mark"], "item", "shifts", "text"
     ).join(want, "item")
 
