@@ -42,6 +42,14 @@ def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
     )
 
 
+def member_filter(digests: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bitmap) of the slots that any row hits; for ``maybe_repeated`` on other rows."""
+    slots = digests.select(F.explode(F.array(*_slots(F.col("digest"), bits))).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
+    )
+
+
 def filter_bits(rows: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm import bloom_dedup
 from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
@@ -41,26 +43,40 @@ PRIOR = 50.0
 WORD = re.compile(r"[^\W_]+")
 
 
-def features(word: str) -> list[int]:
+def bucket_of(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode()) % BUCKETS
+
+
+class Memo(dict):
+    """A function of a string, remembered for up to ``limit`` strings."""
+
+    def __init__(self, function, limit: int = 600_000) -> None:
+        super().__init__()
+        self.function, self.limit = function, limit
+
+    def __missing__(self, key: str):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
+def features(word: str, grams: Memo) -> list:
+    """What ``grams`` has for the word and for each of its character 5-grams."""
     marked = f"^{word}$"
-    grams = {marked, *(marked[i : i + 5] for i in range(len(marked) - 4))}
-    return [xxhash.xxh3_64_intdigest(g.encode()) % BUCKETS for g in grams]
+    return [grams.function(marked), *(grams[marked[i : i + 5]] for i in range(len(marked) - 4))]
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (bucket, toxic documents, other documents), summed over the task."""
-    known: dict[str, list[int]] = {}
+    grams = Memo(bucket_of)
+    known = Memo(lambda word: features(word, grams), 200_000)
     totals = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch, texts in rows(batches):
         for label, text in zip(batch.column(0).to_pylist(), texts):
             hit: set[int] = set()
             for word in set(WORD.findall((text or b"").decode().lower())):
-                found = known.get(word)
-                if found is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    found = known[word] = features(word)
-                hit.update(found)
+                hit.update(known[word])
             if hit:
                 totals[1 if label else 0, np.fromiter(hit, dtype=np.int64)] += 1
     used = np.flatnonzero(totals.any(axis=0))
@@ -108,30 +124,34 @@ def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tup
     return [(r - left, first, end) for left, r, first, end, _ in open_]
 
 
+_SCORERS: dict[str, Memo] = {}
+
+
 class Model:
     """Weights and calibration; its size is fixed by ``BUCKETS``."""
 
     def __init__(self, weights: np.ndarray, lam: float = 1.0, k: float = 1.0, slope: float = 0.0, shift: float = 0.0) -> None:
         self.weights, self.lam, self.k, self.slope, self.shift = weights, lam, k, slope, shift
         self.trained = bool(weights.any())
+        self.name = uuid.uuid4().hex
+
+    def scorer(self) -> Memo:
+        """The word scores of this model, kept by the Python worker from task to task."""
+        if self.name not in _SCORERS:
+            _SCORERS.clear()
+            grams = Memo(lambda gram: float(self.weights[bucket_of(gram)]))
+            _SCORERS[self.name] = Memo(lambda word: max(features(word, grams)))
+        return _SCORERS[self.name]
 
-    def word_scores(self, words: list[str], known: dict[str, float]) -> np.ndarray:
-        if len(known) > 500_000:
-            known.clear()
-        out = np.empty(len(words), dtype=np.float32)
-        for i, word in enumerate(words):
-            score = known.get(word)
-            if score is None:
-                score = known[word] = float(self.weights[features(word)].max())
-            out[i] = score
-        return out
-
-    def passages(self, text: bytes | None, known: dict[str, float]) -> tuple[int, list[tuple[float, float, int, int]]]:
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.scorer().__getitem__, words), dtype=np.float32, count=len(words))
+
+    def passages(self, text: bytes | None) -> tuple[int, list[tuple[float, float, int, int]]]:
         """Number of words, and (evidence, score, first word, word after) of every significant passage."""
         words = WORD.findall((text or b"").decode().lower())
         if not words or not self.trained:
             return len(words), []
-        gain = self.word_scores(words, known)
+        gain = self.word_scores(words)
         at = np.flatnonzero(gain > 0)
         if not len(at):
             return len(words), []
@@ -146,11 +166,18 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held: int) -> DataFrame:
-    """(label, text) of the labelled documents outside the held-out fifth."""
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("label is not null").distinct()
-    own = own.where(F.crc32(F.col("id").cast("string").cast("binary")) % held != 0)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.join(texts, "id").select("id", F.col("label").cast("int").alias("label"), "text")
+    """(id, label, text) of the labelled documents outside the held-out fifth, written once.
+
+    A Bloom filter of the labelled ids, of bounded size, keeps the other texts out of the join's shuffle.
+    """
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").distinct()
+    own, _ = stage(own.where(F.crc32(F.col("id").cast("string").cast("binary")) % held != 0), "labels")
+    bits = bloom_dedup.filter_bits(own.count())
+    bitmaps, _ = stage(bloom_dedup.member_filter(own.select(F.xxhash64("id").alias("digest")), bits), "label-filter")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("digest"))
+    met = bloom_dedup.maybe_repeated(texts, bitmaps, bits).where("maybe").select("id", "text")
+    train, _ = stage(own.join(met, "id").select("id", "label", "text"), "training")
+    return train
 
 
 def fit(
@@ -187,11 +214,10 @@ def _background(sample: DataFrame, model: Model) -> np.ndarray:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        known: dict[str, float] = {}
         total = np.zeros(steps, dtype=np.int64)
         for _, texts in rows(batches):
             for text in texts:
-                gain = shared.value.word_scores(WORD.findall((text or b"").decode().lower()), known)
+                gain = shared.value.word_scores(WORD.findall((text or b"").decode().lower()))
                 total += np.bincount(np.ceil(gain * 10).astype(np.int64), minlength=steps)[:steps]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps)), pa.array(total)], names=["step", "n"])
 
@@ -240,11 +266,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
         for batch, texts in rows(in_bounds(batches)):
             value, evidence, number, spans = [], [], [], []
             for text in texts:
-                _, found = shared.value.passages(text, known)
+                _, found = shared.value.passages(text)
                 total = math.fsum(f[0] for f in found)
                 evidence.append(total)
                 value.append(shared.value.probability(total))
@@ -268,9 +293,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float
     place = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
         for batch, texts in rows(in_bounds(batches, place), place):
-            clean = [shared.value.probability(math.fsum(f[0] for f in shared.value.passages(t, known)[1])) < at for t in texts]
+            clean = [shared.value.probability(math.fsum(f[0] for f in shared.value.passages(t)[1])) < at for t in texts]
             yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(kept, docs.schema)
