@@ -4,7 +4,7 @@
   documents that hold it are counted by class, and the log-odds ratio with a Dirichlet prior proportional to the
   overall counts gives a weight and its standard error. Features are hashed to ``BUCKETS`` buckets, which bounds
   what reaches the driver and the tasks. A word takes its most significant feature if that is at least ``Z`` standard
-  errors above zero; every other word costs a constant, so an ordinary text drifts down.
+  errors above zero, divided by how often the text has said it; every other word costs a constant, so an ordinary text drifts down.
 * Search: one linear scan finds all maximal scoring segments (disjoint, none extendable).
 * Calibration: under the drift of ordinary text the score of a best segment follows an extreme-value law with parameters
   lambda (solving ``E[exp(lambda * s)] = 1`` for the word scores of training documents that are not toxic) and K. A
@@ -156,7 +156,12 @@ class Model:
         if not len(at):
             return len(words), []
         base = math.log(self.k * len(words))
-        found = maximal_segments(at.tolist(), gain[at].tolist(), DRIFT)
+        seen: dict[str, int] = {}
+        gains = []
+        for i in at.tolist():  # the n-th time a text says the same word counts an n-th
+            seen[words[i]] = seen.get(words[i], 0) + 1
+            gains.append(float(gain[i]) / seen[words[i]])
+        found = maximal_segments(at.tolist(), gains, DRIFT)
         return len(words), [(self.lam * s - base, s, a, b) for s, a, b in found if self.lam * s > base]
 
     def probability(self, evidence: float) -> float:
