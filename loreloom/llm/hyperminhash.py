@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm import bloom_dedup
 from loreloom.llm.components import components
 from loreloom.llm.tables import stage
 from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
@@ -44,7 +45,7 @@ EMPTY = 255
 #: Estimates this many standard deviations below the threshold are dropped unconfirmed.
 SIGMAS = 6
 #: Vertices of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 #: Shingles of a set whose 16-bit marks are compared before its estimate.
 SMALL = 2000
 
@@ -147,6 +148,16 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long, est double")
 
 
+def _texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the documents in ``nodes``, and a few others: a Bloom filter of bounded size keeps most out of the joins after it."""
+    keys, _ = stage(nodes.select(F.xxhash64("node").alias("digest")), "text-keys")
+    bits = bloom_dedup.filter_bits(keys.count())
+    bitmaps, _ = stage(bloom_dedup.member_filter(keys, bits), "text-filter")
+    node = F.col(id_col).cast("long")
+    texts = docs.select(node.alias("node"), F.col(text_col).cast("string").alias("text"), F.xxhash64(node).alias("digest"))
+    return bloom_dedup.maybe_repeated(texts, bitmaps, bits).where("maybe").select("node", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(a, b) to (a, b, common, total) from the whole texts; ``common`` over ``total`` is the similarity."""
 
@@ -169,7 +180,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
                 [pa.array(v, pa.int64()) for v in (a, b, common, total)], names=["a", "b", "common", "total"]
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts_of(ends, docs, id_col, text_col).select(F.col("node").alias("id"), "text")
     left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
     found = both.select("a", "b", "s", "t").mapInArrow(confirm, "a long, b long, common long, total long")
@@ -291,7 +303,7 @@ def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
             owner = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(signed(np.concatenate(each)))], names=["node", "shingle"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts_of(nodes, docs, id_col, text_col)
     drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, shingle long")
     single = drawn.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     counts = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
@@ -308,7 +320,7 @@ def _marks(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
             marks = [np.unique(e.astype(np.uint16)).tobytes() if len(e) <= SMALL else None for e in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts_of(nodes, docs, id_col, text_col)
     drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, marks binary")
     return drawn.groupBy("node").agg(F.first("marks").alias("marks"))
 
