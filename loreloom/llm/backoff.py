@@ -3,13 +3,14 @@
 For a pair of consecutive words (v, w) the score is ``c(v w) / c(v)`` if the pair occurs in another document, else
 ``alpha * c(w) / N``; the first word of a document scores ``c(w) / N``. A document's own occurrences are subtracted from
 every count (pairs, words and N), so its text does not vouch for itself; a word that occurs nowhere else counts 1. Words are runs
-without ASCII white space, unchanged. Words rarer than one in ``VOCABULARY`` of all words are one unknown word, so the vocabulary has at most
-``VOCABULARY`` words at any corpus size, and a pair of word numbers is an exact key.
+without ASCII white space, unchanged. Every word and every pair is counted as itself, however rare and at any corpus size.
 
-Relationally: the documents' pairs are exploded and summed per block of documents, the sums are dealt to shards by
-the hash of the pair, each shard is a count table that answers every block with the totals of its pairs, and the answers are joined
-to their block, where each document's pairs are looked up and summed. A pair appears once per block however often the block
-holds it, so frequent pairs do not make a heavy shard. Keys travel sorted and packed, 5 bytes each.
+A block of documents numbers its words and pairs exactly and asks for their totals by key: a 64-bit hash, in a shard that further
+bits of a pair's hash choose. Two of 10**9 words meet with a chance of 3 %, two of 2 * 10**9 pairs in 1,000 shards with 0.01 %; they
+would share a count. Each block's words and pairs are summed, the sums are dealt to the shards, each shard is a count
+table that answers every block with the totals of its keys, and the answers are joined to their block, where each document's
+words and pairs are looked up and summed. A key appears once per block however often the block holds it, so frequent ones
+do not make a heavy shard. Keys travel sorted and packed.
 
 Null and empty texts have no words and a null score. Every row is a document of its own, also one that repeats an id.
 """
@@ -24,34 +25,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.tables import drop, stage
-from loreloom.llm.words import WordHashes, in_bounds, rows, signed
+from loreloom.llm.tables import stage
+from loreloom.llm.words import BASES, WordHashes, in_bounds, mix, rows
 
-#: Words in the vocabulary at most; a power of two.
-VOCABULARY = 1 << 20
+#: Words of the longest counted run.
+ORDER = 2
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
-#: Bytes of a pair key.
-WIDTH = 5
-#: Pairs that one shard counts, about; the number of shards follows the corpus.
-SHARD_PAIRS = 4 << 20
-
-
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word hash, n) over all documents; each task sums its blocks first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for _, texts in rows(in_bounds(batches, 0, BLOCK_BYTES), 0):
-            words, n = np.unique(cache.of([w for t in texts if t for w in t.split()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(words)), pa.array(n)], names=["word", "n"])
-
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word long, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+#: Words of the corpus per shard; the number of shards follows the corpus.
+SHARD_WORDS = 4 << 20
 
 
 class Vocabulary:
-    """Sorted word hashes with their counts; number 0 is the unknown word."""
+    """Sorted word hashes with their counts; number 0 is any word that is not among them."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int) -> None:
         order = np.argsort(words)
@@ -65,20 +51,6 @@ class Vocabulary:
         return np.where(self.words[at] == h, at + 1, 0)
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    counts, path = stage(word_counts(docs, text_col), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a share of 1 / VOCABULARY or more: fewer than VOCABULARY words, whatever the corpus
-    common = counts.where(F.col("n") * (VOCABULARY - 1) >= total).toArrow()
-    drop(docs.sparkSession, path)
-    return Vocabulary(common.column("word").to_numpy().view(np.uint64), common.column("n").to_numpy(), total)
-
-
-def pairs(numbers: np.ndarray) -> np.ndarray:
-    """A key per consecutive pair of word numbers."""
-    return numbers[:-1] * VOCABULARY + numbers[1:]
-
-
 def planes(values: np.ndarray, width: int) -> bytes:
     """The values' ``width`` low bytes, byte by byte over all values, which is how the shuffle compresses them best."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
@@ -93,76 +65,108 @@ def from_planes(data: bytes, n: int) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-
-
-def blocks(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, numbers): the documents of a block as one row of word numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; only one of them, a whole block, is a Python value at a time."""
+    return (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows))
+
+
+class Grams:
+    """The runs of 1 to ``ORDER`` words of a block, numbered exactly, with the keys of the distinct ones.
+
+    ``at[m]`` are the places in the block where a run of ``m + 1`` words of one document ends, ``number[m]`` has a run's number at
+    each place that ends one, ``keys`` and ``shard`` are those of the distinct runs, shortest first, ``start[m]`` is where those of a length begin.
+    """
+
+    def __init__(self, sizes: list[int], words: bytes, numbers: bytes, shards: int) -> None:
+        length = np.asarray(sizes, dtype=np.int64)
+        word = from_planes(numbers, int(length.sum()))
+        self.owner = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
+        h = np.frombuffer(words, dtype="<u8")
+        self.words, self.at, self.number, self.start = h, [np.arange(len(word))], [word], [0]
+        keys, second = [mix(h, 1)], [mix(h, 2)]
+        for m in range(1, ORDER):
+            at = np.flatnonzero(place >= m)
+            distinct, which = np.unique((self.number[-1][at - 1] << 32) | word[at], return_inverse=True)
+            number = np.zeros(len(word), dtype=np.int64)
+            number[at] = which
+            before, last = distinct >> 32, h[distinct & 0xFFFFFFFF]
+            self.at.append(at)
+            self.number.append(number)
+            self.start.append(self.start[-1] + len(keys[-1]))
+            one = keys[-1][before] * np.uint64(BASES[0]) + last
+            two = second[-1][before] * np.uint64(BASES[1]) + last
+            keys.append(mix(one, 3))
+            second.append(mix(two, 4))
+        self.sizes = [len(k) for k in keys]
+        self.keys = np.concatenate(keys)
+        self.shard = ((np.concatenate(second) >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
+        #: The order in which the distinct runs are asked for.
+        self.order = np.lexsort((self.keys, self.shard))
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, ids, sizes, words, numbers): a block of documents as one row: its distinct word hashes, and each word's number among them."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, block = WordHashes(), TaskContext.get().partitionId() << 32
         for batch, texts in rows(in_bounds(batches, 1, BLOCK_BYTES)):
             each = [(t or b"").split() for t in texts]
-            h = cache.of([w for words in each for w in words])
-            numbers = shared.value.numbers(h).astype("<u4")
+            words, numbers = np.unique(cache.of([w for words in each for w in words]), return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(w) for w in each]], pa.list_(pa.int32())), pa.array([numbers.tobytes()], pa.binary()),
+                    pa.array([[len(w) for w in each]], pa.list_(pa.int32())),
+                    pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([planes(numbers, 4)], pa.binary()),
                 ],
-                names=["block", "ids", "sizes", "numbers"],
+                names=["block", "ids", "sizes", "words", "numbers"],
             )
             block += 1
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(number, "block long, ids array<long>, sizes array<int>, numbers binary")
-
-
-def _pairs_of(sizes: list[int], numbers: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pair keys of a block with their document index, and the word numbers with theirs."""
-    words = np.frombuffer(numbers, dtype="<u4").astype(np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    inside = owner[1:] == owner[:-1]
-    return pairs(words)[inside], owner[1:][inside], words, owner
+    return source.mapInArrow(number, "block long, ids array<long>, sizes array<int>, words binary, numbers binary")
 
 
 def requests(placed: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, n, keys, counts): the distinct pairs of each block, dealt by hash."""
+    """(shard, block, n, keys, counts): the distinct words and pairs of each block, dealt by hash."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, numbers in zip(*(c.to_pylist() for c in batch.columns)):
-                keys, counts = np.unique(_pairs_of(sizes, numbers)[0], return_counts=True)
-                shard = shard_of(keys, shards)
-                order = np.argsort(shard, kind="stable")
-                keys, counts, shard = keys[order], counts[order], shard[order]
+            for block, sizes, words, numbers in one_by_one(batch):
+                grams = Grams(sizes, words, numbers, shards)
+                counts = np.concatenate([np.bincount(n[at], minlength=k) for n, at, k in zip(grams.number, grams.at, grams.sizes)])
+                keys, counts, shard = grams.keys[grams.order], counts[grams.order], grams.shard[grams.order]
                 start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.zeros(0, dtype=int)
                 stop = np.append(start[1:], len(keys)) if len(keys) else start
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard[start], pa.int64()), pa.array(np.full(len(start), block), pa.int64()), pa.array(stop - start, pa.int64()),
-                        pa.array([planes(keys[a:b], WIDTH) for a, b in zip(start, stop)], pa.binary()),
+                        pa.array([planes(keys[a:b], 8) for a, b in zip(start, stop)], pa.binary()),
                         pa.array([planes(counts[a:b], 4) for a, b in zip(start, stop)], pa.binary()),
                     ],
                     names=["shard", "block", "n", "keys", "counts"],
                 )
 
-    return placed.select("block", "sizes", "numbers").mapInArrow(ask, "shard long, block long, n long, keys binary, counts binary")
+    asked = placed.select("block", "sizes", "words", "numbers")
+    return asked.mapInArrow(ask, "shard long, block long, n long, keys binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(block, shard, totals): each shard sums its pairs over all blocks and answers in the order asked."""
+    """(block, shard, totals): each shard sums its keys over all blocks and answers in the order asked."""
 
     def total(table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
-        keys = np.concatenate([from_planes(d, n) for d, n in zip(table.column("keys").to_pylist(), sizes)])
-        counts = np.concatenate([from_planes(d, n) for d, n in zip(table.column("counts").to_pylist(), sizes)])
-        distinct, which = np.unique(keys, return_inverse=True)
-        sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)[which]
         ends = np.cumsum(sizes)
+        keys, counts = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1], dtype=np.uint32)
+        for data, many, n, e in zip(table.column("keys"), table.column("counts"), sizes, ends):
+            keys[e - n : e], counts[e - n : e] = from_planes(data.as_py(), n), from_planes(many.as_py(), n)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        del keys
+        totals = np.add.reduceat(counts[order], first, dtype=np.int64)
+        sums = np.empty(len(order), dtype=np.int64)
+        sums[order] = np.repeat(totals, np.diff(np.append(first, len(order))))
         return pa.table({
             "block": table.column("block"), "shard": table.column("shard"),
             "totals": pa.array([planes(sums[e - n : e], 8) for n, e in zip(sizes, ends)], pa.binary()),
@@ -175,25 +179,23 @@ def scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, shards: int | None = None
 ) -> DataFrame:
     """Per row: id, n_words, n_seen (pairs found elsewhere), log_score (sum of natural logarithms), mean_log_score."""
-    spark = docs.sparkSession
-    words = vocabulary(docs, text_col)
-    placed, _ = stage(blocks(docs, words, id_col, text_col), "blocks")
-    shards = shards or -(-max(words.total, 1) // SHARD_PAIRS)
+    placed, _ = stage(blocks(docs, id_col, text_col), "blocks")
+    sizes = placed.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = shards or -(-max(total, 1) // SHARD_WORDS)
     met = answers(requests(placed, shards)).groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("answers"))
     joined = placed.join(met, "block", "left")
-    shared = spark.sparkContext.broadcast(words)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
         for batch in batches:
-            for ids, sizes, numbers, answer in zip(*(c.to_pylist() for c in batch.columns)):
-                out = _scored(vocab, sizes, numbers, answer or [], shards, alpha)
+            for ids, sizes, words, numbers, answer in one_by_one(batch):
+                out = _scored(Grams(sizes, words, numbers, shards), sizes, answer or [], total, alpha)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64())],
                     names=["id", "n_words", "n_seen", "log_score"],
                 )
 
-    found = joined.select("ids", "sizes", "numbers", "answers").mapInArrow(sum_up, "id long, n_words long, n_seen long, log_score double")
+    found = joined.select("ids", "sizes", "words", "numbers", "answers").mapInArrow(sum_up, "id long, n_words long, n_seen long, log_score double")
     score = F.when(F.col("n_words") > 0, F.col("log_score"))
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_seen", score.alias("log_score"), (score / F.col("n_words")).alias("mean_log_score")
@@ -213,28 +215,24 @@ def _own_counts(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(vocab: Vocabulary, sizes: list[int], numbers: bytes, answer: list, shards: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    keys, pair_owner, words, owner = _pairs_of(sizes, numbers)
-    length = np.asarray(sizes, dtype=np.int64)
+def _scored(grams: Grams, sizes: list[int], answer: list, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    length, owner = np.asarray(sizes, dtype=np.int64), grams.owner
     n_seen, log_score = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes))
-    if not len(words):
+    if not len(owner):
         return n_seen, log_score
-    own_word = _own_counts(words, owner)
-    word_left = np.maximum(vocab.counts[words] - own_word, 0)
-    rest = np.maximum(vocab.total - length[owner], 1)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    single = np.log(np.maximum(word_left, 1) / rest)
-    value = np.where(first, single, np.log(alpha) + single)
-    if len(keys):
-        distinct, which = np.unique(keys, return_inverse=True)
-        shard = shard_of(distinct, shards)
-        totals = np.zeros(len(distinct), dtype=np.int64)
-        for a in answer:
-            mine = np.flatnonzero(shard == a["shard"])
-            totals[mine] = from_planes(a["totals"], len(mine))
-        pair_left = totals[which] - _own_counts(keys, pair_owner)
-        before = np.flatnonzero(~first) - 1
-        seen = pair_left > 0
-        value[~first] = np.where(seen, np.log(np.maximum(pair_left, 1) / np.maximum(word_left[before], 1)), value[~first])
-        n_seen = np.bincount(pair_owner[seen], minlength=len(sizes))
+    told = {a["shard"]: a["totals"] for a in answer}
+    shard = grams.shard[grams.order]
+    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    totals = np.empty(len(shard), dtype=np.int64)
+    totals[grams.order] = np.concatenate([from_planes(told[int(shard[a])], b - a) for a, b in zip(start, [*start[1:], len(shard)])])
+    vocab = Vocabulary(grams.words, totals[: len(grams.words)], total)
+    left = np.maximum(vocab.counts[grams.number[0] + 1] - _own_counts(grams.number[0], owner), 0)
+    value = np.log(np.maximum(left, 1) / np.maximum(vocab.total - length[owner], 1))
+    for at, number, first in zip(grams.at[1:], grams.number[1:], grams.start[1:]):
+        own = totals[first + number[at]] - _own_counts(number[at], owner[at])
+        seen = own > 0
+        value[at] = np.where(seen, np.log(np.maximum(own, 1) / np.maximum(left[at - 1], 1)), np.log(alpha) + value[at])
+        left = np.zeros(len(owner), dtype=np.int64)
+        left[at] = own
+        n_seen = np.bincount(owner[at[seen]], minlength=len(sizes))
     return n_seen, np.bincount(owner, weights=value, minlength=len(sizes))

@@ -213,6 +213,18 @@ def test_rare_words_are_one_word(monkeypatch):
     assert words.counts.tolist() == [2, 5, 3]
 
 
+def test_backoff_counts_rare_words_of_a_large_corpus(spark):
+    """Words below one in 2**20 of all words are counted as themselves, and so are their pairs."""
+    n = 3_500_000
+    docs = [(1, "a " * n), (2, "rare one"), (3, "one rare"), (4, "odd rare one")]
+    got = {r.doc_id: r for r in backoff.scores(frame(spark, docs)).collect()}
+    total = n + 7
+    assert [got[i].n_seen for i in (2, 3, 4)] == [1, 0, 1]
+    assert got[2].log_score == pytest.approx(np.log(2 / (total - 2)) + np.log(1 / 2))
+    assert got[3].log_score == pytest.approx(2 * np.log(2 / (total - 2)) + np.log(0.4))
+    assert got[4].log_score == pytest.approx(np.log(1 / (total - 3)) + np.log(0.4) + np.log(2 / (total - 3)) + np.log(1 / 2))
+
+
 def test_spaced_seeds(spark):
     rng, vocab = random.Random(8), vocabulary(500)
     prose = lambda k: [rng.choice(vocab) for _ in range(k)]
