@@ -2,11 +2,11 @@
 
 Words are runs of letters and digits, lower-cased. A mask selects some of ``SPAN`` consecutive words; the hash of the
 selected words is a seed, so a substitution at an ignored position leaves it unchanged. Seeds of the benchmark and of the
-documents are joined; around each hit the whole item is laid against the document along the hit's diagonal, and the
-best stretch of it (match +1, mismatch ``-MISMATCH``) must hold at least ``min(overlap, words of the item)`` matching words less the tolerated
-share of substitutions.
+documents are joined; around each hit the whole item is laid against the document along the hit's diagonal, and every window
+of ``min(overlap, words of the item)`` or more aligned words is tested: ``PERCENT`` of them must match, wherever the others are.
+The window with the most matches is reported, without mismatched words at its ends as far as it stays long enough.
 
-Items of fewer than ``SPAN`` words are sought as one exact seed of all their words; items under ``SHORTEST`` words, null or
+Items of fewer than ``SPAN`` words are sought as one exact seed of all their words, all of which must match; items under ``SHORTEST`` words, null or
 empty, say too little and match nothing. A Bloom filter of the benchmark's seeds, at most ``MAX_BITS`` bits, keeps other
 seeds of the documents from being emitted; its false positives end at the join. Whole texts are read; repeated rows are judged
 alike; a null text holds nothing; rows with a null id are judged like others and reported with a null id.
@@ -29,8 +29,8 @@ from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
 MASKS = ("11111111", "110110110101", "111001011011", "101110011101")
 SPAN, SHORTEST = 12, 5
 MIN_BITS, MAX_BITS = 1 << 18, 1 << 28
-#: With 4, the best stretch is one of at least 80 % matches.
-MISMATCH = 4
+#: Least share of matching words in a window.
+PERCENT = 80
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -138,15 +138,26 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Matches, start and end of the best stretch of aligned words, the longest of equal ones."""
-    gain = np.where(same, 1, -MISMATCH)
-    run = np.concatenate([[0], np.cumsum(gain)])
-    low = np.minimum.accumulate(run)
-    rise = run - low
-    end = int(np.flatnonzero(rise == rise.max())[-1])
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[0])
-    return int(same[start:end].sum()), start, end
+def best_window(same: np.ndarray, least: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """Matches, start and end of the window of ``least`` or more aligned words, ``percent`` of them matching, with the most matches.
+
+    Of equal ones the first, cut at its end and then at its start while the outer word does not match. Zeros if there is none.
+    """
+    matches = np.concatenate([[0], np.cumsum(same, dtype=np.int64)])
+    level = 100 * matches - percent * np.arange(len(matches))
+    low = np.minimum.accumulate(level)
+    # the longest window that ends at a word starts at the first place that lies no higher
+    start = np.searchsorted(-low, -level)
+    long_enough = np.arange(len(matches)) - start >= least
+    if not len(same) or not long_enough.any():
+        return 0, 0, 0
+    end = int(np.argmax(np.where(long_enough, matches - matches[start], -1)))
+    first = int(start[end])
+    while end - first > least and not same[end - 1]:
+        end -= 1
+    while end - first > least and not same[first]:
+        first += 1
+    return int(matches[end] - matches[first]), first, end
 
 
 def overlaps(
@@ -172,14 +183,14 @@ def overlaps(
             out: list[list] = [[] for _ in range(6)]
             for key, mark, item, shifts, text, other in zip(*(c.to_pylist() for c in batch.columns)):
                 h, b = words_of((text or "").encode(), cache), words_of((other or "").encode(), cache)
-                need = min(overlap, len(b)) if len(b) < SPAN else 0.8 * min(overlap, len(b))
-                best = (0, 0, 0, 0)
+                least, percent = max(1, min(overlap, len(b))), 100 if len(b) < SPAN else PERCENT
+                best = (0, 0, 0)
                 for shift in shifts:
                     low, high = max(0, -shift), min(len(b), len(h) - shift)
-                    if high > low:
-                        n, start, end = best_stretch(h[low + shift : high + shift] == b[low:high])
-                        best = max(best, (n, -(low + shift + start), end - start, 0))
-                if best[0] >= max(need, 1) and best[2] >= min(overlap, len(b)):
+                    if high - low >= least:
+                        n, start, end = best_window(h[low + shift : high + shift] == b[low:high], least, percent)
+                        best = max(best, (n, -(low + shift + start), end - start))
+                if best[0]:
                     for column, v in zip(out, (key, mark, item, -best[1], best[2], best[0])):
                         column.append(v)
             yield pa.RecordBatch.from_arrays(

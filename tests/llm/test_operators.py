@@ -248,6 +248,29 @@ def test_spaced_seeds(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7, 8, 77]
 
 
+def test_windows_by_definition():
+    """The best window has as many matches as any window of enough words and matches, wherever the others lie."""
+    rng = random.Random(12)
+    for _ in range(400):
+        same = np.array([rng.random() < rng.choice([0.5, 0.75, 0.9]) for _ in range(rng.randint(0, 40))], dtype=bool)
+        least = rng.choice([1, 12, 13])
+        most = max((int(same[i:j].sum()) for i in range(len(same)) for j in range(i + least, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i)), default=0)
+        n, start, end = spaced_seeds.best_window(same, least)
+        assert n == most == same[start:end].sum()
+        assert not n or (end - start >= least and 5 * n >= 4 * (end - start))
+
+
+def test_spaced_seeds_with_a_substitution_at_every_position(spark):
+    rng, vocab = random.Random(18), vocabulary(500, 9)
+    prose = lambda k: [rng.choice(vocab) for _ in range(k)]
+    item, longer = prose(13), prose(15)
+    docs = [(i, " ".join(["before", *item[:i], "other", *item[i + 1 :], "after"])) for i in range(13)]
+    docs += [(20, " ".join([*longer[:12], "other", *longer[13:]]))]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(longer))], "item_id long, text string")
+    got = {(r.id, r.item): (r.start, r.n_words, r.n_matching) for r in spaced_seeds.overlaps(frame(spark, docs), items).collect()}
+    assert got == {(i, 1): (1, 13, 12) for i in range(13)} | {(20, 2): (0, 15, 14)}
+
+
 def test_maximal_segments_by_definition():
     rng = random.Random(2)
     for _ in range(200):
