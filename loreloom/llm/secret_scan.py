@@ -5,10 +5,13 @@ or more), ``access`` (``AKIA`` and capitals or digits, 16 or more), ``hex`` (32
 all candidates across the corpus, by hash: in how many repositories and by how many owners each occurs. A value of many
 owners is a copied example; one of a single owner looks live. This adds two kinds of span, never inside a base one:
 
-* ``known``: a bare value that is a base value elsewhere in the corpus;
+* ``known``: a bare value, of any characters a value can have, that is a base value elsewhere in the corpus;
 * ``owned``: a bare mixed value (letters and digits, 20 characters or more, 3.5 bits a character or more) that
   occurs with one owner only.
 
+A value is compared, and counted, without ``.``, ``=`` and ``-`` at its end, wherever it stands; base spans keep them. The base values
+are collected first; a Bloom filter of them, of bounded size, keeps other bare runs from being emitted, and a join decides.
+
 Spans count code points, end exclusive, of the whole text; a null text is empty. Rows are kept as they are: repeated
 ids and null ids give a row each; a null owner or repository counts as one of its own.
 """
@@ -21,12 +24,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.spaced_seeds import seed_filter
 from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds
 
@@ -35,14 +40,24 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Bare values: maximal runs with a digit; their other conditions are checked on the match.
-BARE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{8,}")
+#: Bare values: maximal runs.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "known", "owned")
 #: Owners from which on a value is called a copied example.
 EXAMPLE_OWNERS = 3
 
 
+def canonical(value: str) -> str:
+    """What a value is compared by: a sentence's end and padding are no part of it."""
+    return value.rstrip(".=-") or value
+
+
+def digest_of(value: str) -> bytes:
+    return xxhash.xxh3_128_digest(canonical(value).encode())
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind number, end, value) of the base kinds, in order of start and kind."""
     out = []
@@ -61,38 +76,70 @@ def bits_per_character(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def bare_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, bool]]:
-    """(start, end, value, strong) of bare values outside base spans."""
+class Known:
+    """Whether a value may be a base value; remembers the answers for up to ``limit`` short values."""
+
+    limit, longest = 300_000, 64
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.bits, self.last, self.seen = memoryview(table), len(table) * 8 - 1, {}
+
+    def __call__(self, value: str) -> bool:
+        if (found := self.seen.get(value)) is None:
+            h = int.from_bytes(digest_of(value)[:8], "big")
+            found = all(self.bits[slot >> 3] >> (slot & 7) & 1 for slot in (h & self.last, (h >> 32) & self.last))
+            if len(value) <= self.longest:
+                if len(self.seen) >= self.limit:
+                    self.seen.clear()
+                self.seen[value] = found
+        return found
+
+
+def bare_spans(text: str, base: list[tuple[int, int, int, str]], known: Known) -> list[tuple[int, int, str, bool]]:
+    """(start, end, value, strong) of bare values outside base spans that are strong or may be base values."""
     out = []
     for m in BARE.finditer(text):
-        start, end, value = m.start(), m.end(), m[0].rstrip(".=-")
+        start, value = m.start(), m[0].rstrip(".=-")
         end = start + len(value)
-        if len(value) < 8 or any(s < end and start < e for s, _, e, _ in base):
+        if len(value) < 8:
             continue
-        mixed = any(c.isalpha() for c in value)
-        if mixed:
-            out.append((start, end, value, len(value) >= 20 and bits_per_character(value) >= 3.5))
+        strong = len(value) >= 20 and bool(DIGIT.search(value) and LETTER.search(value)) and bits_per_character(value) >= 3.5
+        if (strong or known(value)) and not any(s < end and start < e for s, _, e, _ in base):
+            out.append((start, end, value, strong))
     return out
 
 
+def base_values(docs: DataFrame, text_col: str) -> DataFrame:
+    """(hash): 64 bits of the hash of every base value, once."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_bounds(batches, 0):
+            found = {digest_of(v) for text in batch.column(0).to_pylist() for *_, v in base_spans(text or "")}
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(d[:8], "big", signed=True) for d in found], pa.int64())], names=["hash"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "hash long").distinct()
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """Per row: row, id, repo, owner and found: (start, end, kind or -1 for bare, strong, value hash)."""
+    values, _ = stage(base_values(docs, text_col), "base-values")
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(values))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("strong", pa.bool_()), ("hash", pa.binary())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
+        number, known = TaskContext.get().partitionId() << 40, Known(shared.value)
         for batch in in_bounds(batches):
             found, row = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                own = [(s, e, k, False, v) for s, k, e, v in base] + [(s, e, -1, strong, v) for s, e, v, strong in bare_spans(text, base)]
+                own = [(s, e, k, False, v) for s, k, e, v in base] + [(s, e, -1, strong, v) for s, e, v, strong in bare_spans(text, base, known)]
                 found.append([
-                    {"start": s, "end": e, "kind": k, "strong": strong, "hash": xxhash.xxh3_128_digest(v.encode())} for s, e, k, strong, v in own
+                    {"start": s, "end": e, "kind": k, "strong": strong, "hash": digest_of(v)} for s, e, k, strong, v in own
                 ])
                 row.append(number)
                 number += 1

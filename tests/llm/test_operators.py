@@ -157,6 +157,21 @@ def test_secrets(spark):
     assert all(f"{k}:" in got[i].spans for i, k in ((0, "assign"), (1, "access"), (2, "hex")))
 
 
+def test_one_secret_is_one_value_wherever_it_stands(spark):
+    """Ends of sentences and padding do not split a value, and bare values may be letters or digits only."""
+    texts = [
+        ("token: q8Zt4kLm9w==", "a"), ("it was q8Zt4kLm9w== there", "b"), ("password: q8Zt4kLm9w.", "c"),
+        ("secret=correcthorsebattery", "a"), ("(correcthorsebattery) again", "b"), ("passwd: 1234567890", "a"), ("call 1234567890.", "b"),
+        ("ordinary sentences without anything 87654321", "a"),
+    ]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.secrets(docs)).collect()}
+    assert [got[i].spans for i in range(8)] == [
+        "assign:0:19", "known:7:17", "assign:0:21", "assign:0:26", "known:1:20", "assign:0:18", "known:5:15", "",
+    ]
+    assert [(got[i].n_live, got[i].n_example) for i in range(8)] == [(0, 1)] * 3 + [(0, 0)] * 5
+
+
 def test_ownership_counts(spark):
     value = "password=hunter2hunter2"
     docs = spark.createDataFrame([(i, value, f"r{i % 4}", f"o{i % 3}") for i in range(12)] + [(50, "token: only0nce77", None, None)], "doc_id long, text string, r string, o string")
