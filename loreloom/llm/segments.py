@@ -189,7 +189,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     held: int = 5, fit_rows: int = 20_000,
 ) -> Model:
-    """Counts over all training documents; only the calibration uses a sample of ``fit_rows``."""
+    """Counts, lambda and K over all training documents; only the logistic curve uses a sample of ``fit_rows``."""
     train = training_rows(docs, labels, id_col, text_col, label_col, held)
     sizes = {r["label"]: r["n"] for r in train.groupBy(F.col("label").cast("boolean").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
@@ -204,7 +204,7 @@ def fit(
         return model
     sample = train.select("label", "text", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).drop("h")
     sample, _ = stage(sample.repartition(64), "calibration")
-    share = _background(sample, model)
+    share = _background(train, model)
     model.lam, model.k = _extreme_value(share)
     drawn = score(sample.select(F.col("label").alias("doc_id"), "text"), model).select("doc_id", "evidence").toArrow()
     x = np.log1p(drawn.column("evidence").to_numpy())
@@ -213,10 +213,10 @@ def fit(
     return model
 
 
-def _background(sample: DataFrame, model: Model) -> np.ndarray:
+def _background(train: DataFrame, model: Model) -> np.ndarray:
     """Histogram, in steps of 0.1, of word scores in training documents that are not toxic; the first cell counts the others."""
     steps = int(TOP * 10) + 1
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
         total = np.zeros(steps, dtype=np.int64)
@@ -226,7 +226,7 @@ def _background(sample: DataFrame, model: Model) -> np.ndarray:
                 total += np.bincount(np.ceil(gain * 10).astype(np.int64), minlength=steps)[:steps]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps)), pa.array(total)], names=["step", "n"])
 
-    found = sample.where("label = 0").mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    found = train.select("label", "text").where("label = 0").mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(steps)
     out[found.column("step").to_numpy()] = found.column("n").to_numpy()
     return out

@@ -323,6 +323,14 @@ def test_toxic_passages_are_found(spark):
     assert {r.score for r in segments.score(docs, none).collect()} == {0.0}
 
 
+def test_extreme_value_law_does_not_depend_on_the_sample(spark):
+    rng, vocab = random.Random(14), vocabulary(300)
+    rows = [(i, " ".join([rng.choice(vocab) for _ in range(rng.randint(5, 60))] + ["vileword"] * (i % 3 == 0 or i % 17 == 0))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    few, every = (segments.fit(frame(spark, rows), labels, fit_rows=n) for n in (12, 20_000))
+    assert every.trained and (few.lam, few.k) == (every.lam, every.k)
+
+
 def test_pack(spark, docs):
     docs = docs + [docs[0], (None, "null id"), (500, "don't <b>stop</b>, ok go \x1c x́ Σας " * 700)]
     packed = packing.pack(frame(spark, docs), TOKENIZER, capacity=64, keep_ids=True)
