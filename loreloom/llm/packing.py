@@ -35,11 +35,13 @@ class Encoder(dict):
     """``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian 32-bit numbers.
 
     White space separates tokens and yields none, so ids are concatenated over white-space-separated parts, and the
-    dict remembers the parts seen so far, ``limit`` of them at most. A part of letters only is one pre-token; where
-    ``probe`` finds that the vocabulary works that way, such parts go straight to the merge model.
+    dict remembers parts: once it holds ``limit``, it starts anew and takes over what is asked for again, so at most twice
+    ``limit`` are kept. A part of letters only is one pre-token; where ``probe`` finds that the vocabulary works that way,
+    such parts go straight to the merge model. So do letters before a punctuation mark, if they are letters in normal form, too:
+    a combining mark at their end would be one token run with the punctuation.
     """
 
-    limit = 1_000_000
+    limit = 100_000
     probe = ("word", "Straße", "Éñçà", "été", "don't", "x1y2", "ΑΣ", "naïve,", "日本語")
 
     def __init__(self, path: str) -> None:
@@ -50,6 +52,7 @@ class Encoder(dict):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printable)]
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.older: dict[bytes, bytes] = {}
         self.direct = True
         self.direct = all(self[p.encode()] == self._whole(p) for p in self.probe)
         self.clear()
@@ -58,9 +61,13 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
+        value = self.older.get(part)
+        if value is None:
+            value = self._encoded(part)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[part] = self._encoded(part)
+        self[part] = value
         return value
 
     def _encoded(self, part: bytes) -> bytes:
@@ -75,7 +82,7 @@ class Encoder(dict):
                 return self[low.encode()]
             mapped = part.decode("latin-1").translate(self.table)
             return np.array([token.id for token in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+        if text[-1] in ".,;:!?" and _letters(text[:-1]):
             return self[part[:-1]] + self[part[-1:]]
         return self._whole(text)
 
@@ -83,6 +90,11 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), dtype="<u4")
 
 
+def _letters(stem: str) -> bool:
+    """Letters, and still letters in normal form and lower case."""
+    return stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
