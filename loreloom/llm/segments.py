@@ -13,7 +13,9 @@
   on at most ``fit_rows`` training documents, those with the smallest hashes. Everything else uses all rows.
 
 A null or empty text has no words and evidence zero. Without training rows no word has a weight and every score is 0.
-Rows that repeat an id are scored each for themselves; a null id is never a training row. Labels with a null class are ignored.
+Rows that repeat an id are scored each for themselves; a null id is never a training row. Labels with a null class are ignored;
+an id labelled with both classes counts as a training row of each. Texts are read whole, at any length; documents with the same
+evidence have the same score; columns other than the named ones are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,16 +50,21 @@ def bucket_of(feature: str) -> int:
 
 
 class Memo(dict):
-    """A function of a string, remembered for up to ``limit`` strings."""
+    """A function of a string, remembered for ``limit`` strings, and for as many that were asked for before those."""
 
-    def __init__(self, function, limit: int = 600_000) -> None:
+    def __init__(self, function, limit: int = 75_000) -> None:
         super().__init__()
         self.function, self.limit = function, limit
+        self.older: dict = {}
 
     def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        self[key] = value
         return value
 
 
@@ -70,7 +77,7 @@ def features(word: str, grams: Memo) -> list:
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (bucket, toxic documents, other documents), summed over the task."""
     grams = Memo(bucket_of)
-    known = Memo(lambda word: features(word, grams), 200_000)
+    known = Memo(lambda word: features(word, grams))
     totals = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch, texts in rows(batches):
         for label, text in zip(batch.column(0).to_pylist(), texts):
@@ -202,8 +209,10 @@ def fit(
     model = Model(log_odds(bad, good, n_bad, n_good))
     if not model.trained:
         return model
-    sample = train.select("label", "text", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).drop("h")
-    sample, _ = stage(sample.repartition(64), "calibration")
+    # the last hash of the sample first, from hashes alone; then the texts up to it
+    hashed = train.select("label", "text", F.xxhash64("id").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+    sample, _ = stage(hashed.where(F.col("h") <= F.lit(last)).drop("h").repartition(64), "calibration")
     share = _background(train, model)
     model.lam, model.k = _extreme_value(share)
     drawn = score(sample.select(F.col("label").alias("doc_id"), "text"), model).select("doc_id", "evidence").toArrow()
@@ -227,6 +236,7 @@ def _background(train: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps)), pa.array(total)], names=["step", "n"])
 
     found = train.select("label", "text").where("label = 0").mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(steps)
     out[found.column("step").to_numpy()] = found.column("n").to_numpy()
     return out
