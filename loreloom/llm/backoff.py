@@ -33,22 +33,7 @@ ORDER = 2
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
 #: Words of the corpus per shard; the number of shards follows the corpus.
-SHARD_WORDS = 4 << 20
-
-
-class Vocabulary:
-    """Sorted word hashes with their counts; number 0 is any word that is not among them."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int) -> None:
-        order = np.argsort(words)
-        self.words, self.total = words[order], total
-        self.counts = np.concatenate([[total - counts.sum()], counts[order]]).astype(np.int64)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 1, 0)
+SHARD_WORDS = 1 << 20
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -225,9 +210,8 @@ def _scored(grams: Grams, sizes: list[int], answer: list, total: int, alpha: flo
     start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     totals = np.empty(len(shard), dtype=np.int64)
     totals[grams.order] = np.concatenate([from_planes(told[int(shard[a])], b - a) for a, b in zip(start, [*start[1:], len(shard)])])
-    vocab = Vocabulary(grams.words, totals[: len(grams.words)], total)
-    left = np.maximum(vocab.counts[grams.number[0] + 1] - _own_counts(grams.number[0], owner), 0)
-    value = np.log(np.maximum(left, 1) / np.maximum(vocab.total - length[owner], 1))
+    left = totals[grams.number[0]] - _own_counts(grams.number[0], owner)
+    value = np.log(np.maximum(left, 1) / np.maximum(total - length[owner], 1))
     for at, number, first in zip(grams.at[1:], grams.number[1:], grams.start[1:]):
         own = totals[first + number[at]] - _own_counts(number[at], owner[at])
         seen = own > 0

@@ -74,8 +74,7 @@ def op4_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     total AS (SELECT sum(len(w)) AS n FROM words),
     flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
-    known AS (SELECT word FROM flat GROUP BY word HAVING count(*) * (1048576 - 1) >= (SELECT n FROM total)),
-    t AS (SELECT doc_id, i, CASE WHEN word IN (SELECT word FROM known) THEN 'w' || word ELSE '' END AS w FROM flat),
+    t AS (SELECT doc_id, i, word AS w FROM flat),
     c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
     p AS (SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, w FROM t),
     c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY ALL),
