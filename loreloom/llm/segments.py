@@ -4,7 +4,8 @@
   documents that hold it are counted by class, and the log-odds ratio with a Dirichlet prior proportional to the
   overall counts gives a weight and its standard error. Features are hashed to ``BUCKETS`` buckets, which bounds
   what reaches the driver and the tasks. A word takes its most significant feature if that is at least ``Z`` standard
-  errors above zero, divided by how often the text has said it; every other word costs a constant, so an ordinary text drifts down.
+  errors above ``LEAST``, twice the odds (with enough rows even a slight imbalance of ordinary words is significant),
+  divided by how often the text has said it; every other word costs a constant, so an ordinary text drifts down.
 * Search: one linear scan finds all maximal scoring segments (disjoint, none extendable).
 * Calibration: under the drift of ordinary text the score of a best segment follows an extreme-value law with parameters
   lambda (solving ``E[exp(lambda * s)] = 1`` for the word scores of training documents that are not toxic) and K. A
@@ -39,6 +40,8 @@ BUCKETS = 1 << 20
 Z = 4.0
 #: Cost of a word without a significant feature.
 DRIFT = 0.5
+#: Log-odds ratio that a scoring word exceeds significantly.
+LEAST = math.log(2)
 #: Largest score of one word, so that no single word decides by itself.
 TOP = 6.0
 PRIOR = 50.0
@@ -99,7 +102,7 @@ def log_odds(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.n
     x, y = bad + prior, good + prior
     ratio = np.log((x + 0.01) / (n_bad + PRIOR - x + 0.01)) - np.log((y + 0.01) / (n_good + PRIOR - y + 0.01))
     error = np.sqrt(1 / (x + 0.01) + 1 / (y + 0.01))
-    return np.where(ratio >= Z * error, np.clip(ratio - error, 0, TOP), 0).astype(np.float32)
+    return np.where(ratio - LEAST >= Z * error, np.clip(ratio - error, 0, TOP), 0).astype(np.float32)
 
 
 def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tuple[float, int, int]]:
