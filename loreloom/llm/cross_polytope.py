@@ -308,7 +308,7 @@ def neighbours(
     if not short.isEmpty():  # met too few: compared with every vector, in blocks
         shards = -(-norms["n"] // BLOCK)
         every = reps.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("key"), "id", "raw")
-        asked = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("key"), "id", "raw")
+        asked = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("key"), "id", "raw")
         exact = _members_of(_top(searched(every, asked, dim, k + 1), k + 1), member, k)
         lists = lists.join(exact.select("q"), "q", "left_anti").unionByName(exact)
 

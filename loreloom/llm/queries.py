@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from loreloom.catalog import Registry, table
 from loreloom.llm import (
-    backoff, bloom_dedup, debruijn, hyperminhash, line_spread, packing, secret_scan, segments, spaced_seeds, tool_links,
+    backoff, bloom_dedup, collocations, cross_polytope, debruijn, hyperminhash, line_spread, merkle, packing, secret_scan, segments,
+    spaced_seeds, tool_links,
 )
 
 registry = Registry()
@@ -151,3 +152,94 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registry.add(
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+    grams AS (
+      SELECT lang, w[i : i + size - 1] AS g FROM starts, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE i + size - 1 <= len(w)),
+    counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+    cuts AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM counts WHERE len(g) > 1),
+    scored AS (
+      SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+      FROM cuts c JOIN counts l ON l.lang = c.lang AND l.g = c.g[1 : c.k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[c.k + 1 :]),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    inner_ AS (
+      SELECT lang, h[i : i + size - 1] AS g, max(f) AS longer
+      FROM (SELECT lang, g AS h, f, unnest(range(1, len(g) + 1)) AS i FROM counts WHERE len(g) > 2), (SELECT unnest([2, 3]) AS size)
+      WHERE size < len(h) AND i + size - 1 <= len(h) GROUP BY ALL),
+    left_ AS (
+      SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN inner_ USING (lang, g)
+      WHERE longer IS NULL OR 100 * longer < 80 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM left_ JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """
+)
+def op11_prefix_free_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, contained=80, top=2000)
+
+
+@registry.add(
+    r"""
+    WITH RECURSIVE fields AS (
+      SELECT *, CASE WHEN bits % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_changed
+      FROM (SELECT *, xor(list_reduce(
+              list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda a, b: xor(xor(a, b) // 2, (xor(a, b) % 2) * 3988292384)), 4294967295) AS bits FROM documents)),
+    leaves AS (
+      SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             sha256(head || coalesce(strlen(n_changed::VARCHAR) || ':' || n_changed, '-') || tail) AS claimed
+      FROM (SELECT doc_id, lang, n_chars, n_changed,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM fields)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS j FROM leaves),
+    levels AS (
+      SELECT lang, 0 AS level, list(leaf ORDER BY j) AS h FROM placed GROUP BY lang
+      UNION ALL
+      SELECT lang, level + 1, list_transform(range(0, len(h), 2), lambda k: sha256(h[k + 1] || coalesce(h[k + 2], ''))) FROM levels WHERE len(h) > 1),
+    subroots AS (SELECT lang, h[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS top FROM levels WHERE len(h) = 1),
+    tops AS (
+      SELECT 0 AS level, list(subroot ORDER BY top) AS h FROM subroots
+      UNION ALL
+      SELECT level + 1, list_transform(range(0, len(h), 2), lambda k: sha256(h[k + 1] || coalesce(h[k + 2], ''))) FROM tops WHERE len(h) > 1),
+    steps AS (
+      SELECT p.doc_id, p.lang, p.leaf, level AS step, h[xor(j >> level, 1) + 1] AS sibling, (j >> level) % 2 AS odd
+      FROM placed p JOIN levels l ON l.lang IS NOT DISTINCT FROM p.lang WHERE len(h) > 1
+      UNION ALL
+      SELECT p.doc_id, p.lang, p.leaf, 1000 + level, h[xor(top >> level, 1) + 1], (top >> level) % 2
+      FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang, tops WHERE len(h) > 1),
+    paths AS (
+      SELECT doc_id, lang, leaf, list({'s': coalesce(sibling, ''), 'o': odd} ORDER BY step) AS path FROM steps GROUP BY ALL),
+    folded AS (
+      SELECT p.doc_id, p.lang, p.leaf, coalesce(path, []) AS path, 0 AS i, claimed AS node
+      FROM placed p LEFT JOIN paths q ON q.doc_id IS NOT DISTINCT FROM p.doc_id AND q.lang IS NOT DISTINCT FROM p.lang AND q.leaf = p.leaf
+      UNION ALL
+      SELECT doc_id, lang, leaf, path, i + 1, CASE WHEN path[i + 1].o = 1 THEN sha256(path[i + 1].s || node) ELSE sha256(node || path[i + 1].s) END
+      FROM folded WHERE i < len(path))
+    SELECT f.doc_id, f.leaf, s.subroot, t.h[1] AS root, sha256(array_to_string(list_transform(path, lambda x: x.s), '')) AS proof_sha256,
+           f.node AS folded_root, f.node = t.h[1] AS verified
+    FROM folded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang, tops t WHERE i = len(path) AND len(t.h) = 1
+    """
+)
+def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and roots of the documents by language; every seventh row by checksum is tampered with before its proof is checked."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda n: [F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    own = merkle.leaf(*fields(F.col("n_chars")))
+    rows = docs.select("doc_id", "lang", own.alias("leaf"), F.when(chosen, merkle.leaf(*fields(F.col("n_chars") + 1))).alias("changed"))
+    proven = merkle.Manifest(rows, "lang", "doc_id").proven()
+    checked = merkle.verified(proven.withColumn("claimed", F.coalesce("changed", "leaf")), "claimed")
+    proof = F.sha2(F.concat(F.array_join("siblings", ""), F.array_join("top_siblings", "")), 256)
+    return checked.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+@registry.add()
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
