@@ -49,6 +49,16 @@ BLOCK = 1024
 #: Shingles of a set whose 16-bit marks are compared before its estimate.
 SMALL = 2000
 
+# batches of texts are large and few: the system's allocator gives them back, while Arrow's own keeps them for later in each of an
+# executor's Python workers
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+class Hashes(WordHashes):
+    """Fewer words at a time, as up to four Python workers of an executor each hold some."""
+
+    limit = 100_000
+
 
 def shingles(words: list[bytes], size: int, cache: WordHashes, windows: Windows) -> np.ndarray:
     """Sorted distinct shingle hashes."""
@@ -116,7 +126,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     """(id, n, digest, regs) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, windows = WordHashes(), Windows()
+        cache, windows = Hashes(), Windows()
         for batch, texts in rows(in_bounds(batches)):
             n, digest, regs = [], [], []
             for text in texts:
@@ -162,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     """(a, b) to (a, b, common, total) from the whole texts; ``common`` over ``total`` is the similarity."""
 
     def confirm(batches):
-        cache, windows = WordHashes(), Windows()
+        cache, windows = Hashes(), Windows()
         last: tuple = (None, None)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             a, b, common, total = [], [], [], []
@@ -297,7 +307,7 @@ def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """(node, alone): how many shingles of each vertex no other of ``nodes`` has."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, windows = WordHashes(), Windows()
+        cache, windows = Hashes(), Windows()
         for batch, texts in rows(in_bounds(batches, limit=1 << 20)):
             each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
             owner = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
@@ -314,7 +324,7 @@ def _marks(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
     """(node, marks): the distinct low 16 bits of a vertex's shingles, for sets of up to ``SMALL`` shingles."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, windows = WordHashes(), Windows()
+        cache, windows = Hashes(), Windows()
         for batch, texts in rows(in_bounds(batches)):
             each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
             marks = [np.unique(e.astype(np.uint16)).tobytes() if len(e) <= SMALL else None for e in each]
