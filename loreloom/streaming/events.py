@@ -348,10 +348,18 @@ def record(stream: DataFrame, out: str, checkpoint: str, **trigger):
     return writer.trigger(**(trigger or {"availableNow": True})).start(out)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything available now into a table in the shared folder and read it back."""
+def stream_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in shared storage for a stream's rows and progress."""
+    return os.path.join(shared_folder(spark), "loreloom", f"{label}-{uuid.uuid4().hex}")
+
+
+def run_to_table(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Process everything available now into a table in the shared folder and read it back.
+
+    With the ``root`` of an earlier run, the query goes on from that run's checkpoint and adds its batches.
+    """
     spark = stream.sparkSession
-    root = os.path.join(shared_folder(spark), "loreloom", f"{label}-{uuid.uuid4().hex}")
+    root = root or stream_folder(spark, label)
 
     def write(batch: DataFrame, number: int) -> None:
         # The batch number names the folder, so a replayed batch replaces itself.
