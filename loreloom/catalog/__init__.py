@@ -35,7 +35,7 @@ registry = Registry()
 
 def load_all() -> Registry:
     from loreloom.catalog import (  # noqa: F401
-        accounting, answers, corpus, dedup, events, memory, records, retrieval, text,
+        accounting, answers, corpus, dedup, events, memory, records, retrieval, streams, text,
     )
 
     return registry
