@@ -42,9 +42,11 @@ OVERLAP = 3
 #: One window in so many is a trigger.
 TRIGGER = 16
 #: Distinct chunks that a task holds before it passes their counts on.
-HELD = 100_000
+HELD = 200_000
 #: Bytes of chunks whose runs are counted at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Parts of a language whose best phrases are taken first.
+PARTS = 64
 #: Bits of the filters per member, and at most.
 MEMBER_BITS, MAX_BITS = 16, 1 << 27
 
@@ -161,8 +163,8 @@ class Chunks:
 
 
 def summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the distinct keys, and the sums of their weights."""
-    order = np.argsort(key, kind="stable")
+    """A place of each distinct key, and the sum of its weights."""
+    order = np.argsort(key)
     if not len(order):
         return order, weight[order]
     k = key[order]
@@ -336,7 +338,10 @@ def collocations(
     kept = scored.join(inside, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (F.col("longer").cast("decimal(20, 0)") * 100 < F.col("a").cast("decimal(20, 0)") * contained)
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = F.desc("c.score"), F.desc("a"), "phrase"
+    if top is not None:  # of each part of a language first, so that what meets in one task does not grow with the corpus
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+        kept = kept.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top).drop("rank")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     ranked = ranked.where(F.col("rank") <= top) if top is not None else ranked
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "c.l", "c.r", F.col("total").alias("n"), "c.score")
