@@ -63,26 +63,11 @@ def height(size: int) -> int:
     return (size - 1).bit_length()
 
 
-def path(index: int, size: int, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """(level, sibling's index) for every level from ``low`` on, below ``high``, where the node has a sibling; ``index`` is a leaf's."""
+def path(index: int, size: int, low: int, high: int) -> Iterator[tuple[int, int | None, bool]]:
+    """(level, sibling's index or None, whether it stands on the left) for the levels from ``low`` on, below ``high``, on a leaf's path."""
     for level in range(low, min(high, height(size))):
         sibling = (index >> level) ^ 1
-        if sibling << level < size:
-            yield level, sibling
-
-
-def fold(node: str, index: int, size: int, siblings: Sequence[str]) -> str:
-    """The root that a leaf and the siblings on its path give."""
-    rest = iter(siblings)
-    for level in range(height(size)):
-        at = index >> level
-        if at & 1:
-            node = digest(next(rest) + node)
-        elif (at ^ 1) << level < size:
-            node = digest(node + next(rest))
-        else:
-            node = digest(node)
-    return node
+        yield level, sibling if sibling << level < size else None, bool(index >> level & 1)
 
 
 def build_block(nodes: list[str], low: int, high: int, first: int, size: int) -> Iterator[tuple[int, int, str]]:
@@ -145,6 +130,10 @@ def tier_builder(bits: int):
     return build
 
 
+#: Steps upwards: the sibling's digest, empty if a node goes up alone, and whether it stands on the left.
+PROOF = "array<struct<sibling:string,left:boolean>>"
+
+
 class Log:
     """The written log: ``runs`` (grp, block, size, start, run, node), the builders' runs of binary digests in completion order with
     the block's root, and ``upper`` (grp, size, level, index, position, node), the nodes from the blocks' roots upwards."""
@@ -216,7 +205,7 @@ def upper_paths(log: Log) -> DataFrame:
 
 
 def proofs(leaves: DataFrame, log: Log, by_group: DataFrame | None = None) -> DataFrame:
-    """``leaves`` (grp, rank, size, leaf and others) with ``siblings``, the path's digests from the leaf to the group's root.
+    """``leaves`` (grp, rank, size, leaf and others) with ``proof``, the steps from the leaf to the group's root.
 
     ``by_group`` (grp and others) has a row per group, which goes to every leaf of it; it is joined to the blocks, not to the leaves.
     """
@@ -228,19 +217,27 @@ def proofs(leaves: DataFrame, log: Log, by_group: DataFrame | None = None) -> Da
     known = known.join(by_group, "grp") if by_group else known
 
     def extract(own: pa.Table, run: pa.Table) -> pa.Table:
-        size, start, data = (run.column(c)[0].as_py() for c in ("size", "start", "run"))
-        above = run.column("above")[0].as_py() or []
-        found = []
+        block, size, start, data = (run.column(c)[0].as_py() for c in ("block", "size", "start", "run"))
+        above = iter(run.column("above")[0].as_py() or [])
+        # the steps above the block's root are the same for all its leaves
+        high = [(next(above) if sibling is not None else "", left) for _, sibling, left in path(block << bits, size, bits, 64)]
+        siblings, lefts, ends = [], [], [0]
         for rank in own.column("rank").to_pylist():
-            at = [32 * (position(level, sibling, size) - start) for level, sibling in path(rank, size, 0, bits)]
-            found.append([data[a : a + 32].hex() for a in at] + above)
-        out = own.select(["grp", *keep]).append_column("siblings", pa.array(found, pa.list_(pa.string())))
+            for level, sibling, left in path(rank, size, 0, bits):
+                at = 32 * (position(level, sibling, size) - start) if sibling is not None else len(data)
+                siblings.append(data[at : at + 32].hex())
+                lefts.append(left)
+            siblings += [s for s, _ in high]
+            lefts += [left for _, left in high]
+            ends.append(len(siblings))
+        steps = pa.StructArray.from_arrays([pa.array(siblings, pa.string()), pa.array(lefts, pa.bool_())], ["sibling", "left"])
+        out = own.select(["grp", *keep]).append_column("proof", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps))
         for c in more:
             out = out.append_column(c, run.column(c).combine_chunks().take(pa.array([0] * own.num_rows)))
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in [*leaves.schema.fields, *(by_group.schema.fields if by_group else [])]}
-    schema = [*(f"`{c}` {kinds[c]}" for c in ("grp", *keep)), "siblings array<string>", *(f"`{c}` {kinds[c]}" for c in more)]
+    schema = [*(f"`{c}` {kinds[c]}" for c in ("grp", *keep)), f"proof {PROOF}", *(f"`{c}` {kinds[c]}" for c in more)]
     return blocks.groupBy("grp", "block").cogroup(known.groupBy("grp", "block")).applyInArrow(extract, ", ".join(schema))
 
 
@@ -262,26 +259,20 @@ class Manifest:
         self.top_log = append_log(self.tops, bits)
 
     def proven(self) -> DataFrame:
-        """The leaves with subroot, root, siblings (up to the subroot) and, to the root, top_rank, top_size and top_siblings."""
+        """The leaves with subroot, root and ``proof``, the steps from the leaf over its subroot to the root."""
         tops = proofs(self.tops, self.top_log, self.top_log.roots().select("grp", "root"))
         tops, _ = stage(
-            tops.select(
-                F.col("own").alias("grp"), F.col("leaf").alias("subroot"), "root", F.col("rank").alias("top_rank"),
-                F.col("size").alias("top_size"), F.col("siblings").alias("top_siblings"),
-            ),
-            "merkle-tops",
+            tops.select(F.col("own").alias("grp"), F.col("leaf").alias("subroot"), "root", F.col("proof").alias("_top")), "merkle-tops"
         )
-        return proofs(self.leaves, self.log, tops)
+        return proofs(self.leaves, self.log, tops).withColumn("proof", F.concat("proof", "_top")).drop("_top")
 
 
-def verified(proven: DataFrame, claimed: str) -> DataFrame:
-    """``proven`` with ``folded_root``, from the digests in column ``claimed`` and the original siblings, and ``verified``."""
+def fold(leaf: Column, proof: Column) -> Column:
+    """The root that a leaf and the steps of a proof give."""
+    joined = lambda node, s: F.when(s["left"], F.concat(s["sibling"], node)).otherwise(F.concat(node, s["sibling"]))
+    return F.aggregate(proof, leaf, lambda node, s: F.sha2(joined(node, s), 256))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in (claimed, "rank", "size", "siblings", "top_rank", "top_size", "top_siblings"))
-            folded = [fold(fold(node, rank, size, own), high, groups, above) for node, rank, size, own, high, groups, above in zip(*columns)]
-            yield batch.append_column("folded_root", pa.array(folded, pa.string()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proven.schema.fields)
-    return proven.mapInArrow(check, kinds + ", folded_root string").withColumn("verified", F.col("folded_root") == F.col("root"))
+def proof_digest(proof: Column) -> Column:
+    """``H`` of a proof's siblings."""
+    return F.sha2(F.array_join(F.transform(proof, lambda s: s["sibling"]), ""), 256)

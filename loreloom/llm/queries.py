@@ -235,9 +235,9 @@ def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = merkle.leaf(*fields(F.col("n_chars")))
     rows = docs.select("doc_id", "lang", own.alias("leaf"), F.when(chosen, merkle.leaf(*fields(F.col("n_chars") + 1))).alias("changed"))
     proven = merkle.Manifest(rows, "lang", "doc_id").proven()
-    checked = merkle.verified(proven.withColumn("claimed", F.coalesce("changed", "leaf")), "claimed")
-    proof = F.sha2(F.concat(F.array_join("siblings", ""), F.array_join("top_siblings", "")), 256)
-    return checked.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    checked = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
 @registry.add()

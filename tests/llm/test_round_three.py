@@ -156,7 +156,9 @@ def checked(spark, rows, bits):
         "doc_id", "lang", "words", merkle.leaf(*fields(F.col("n_chars"))).alias("leaf"), F.when(chosen, merkle.leaf(*fields(F.col("n_chars") + 1))).alias("t")
     )
     manifest = merkle.Manifest(leaves.withColumn("claimed", F.coalesce("t", "leaf")), "lang", "doc_id", bits)
-    return manifest, merkle.verified(manifest.proven(), "claimed")
+    proven = manifest.proven().withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("proof")))
+    proven = proven.withColumn("proof_sha256", merkle.proof_digest(F.col("proof")))
+    return manifest, proven.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
 @pytest.mark.parametrize("n,bits", [(300, 2), (70, 1), (40, 10), (1, 3)])
@@ -165,7 +167,7 @@ def test_merkle_proofs_and_log(spark, n, bits):
     want, tree = plain_manifest(rows)
     manifest, out = checked(spark, rows, bits)
     got = [
-        (r.doc_id, r.leaf, r.subroot, r.root, digest(*r.siblings, *r.top_siblings), r.folded_root, r.verified) for r in out.collect()
+        (r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in out.collect()
     ]
     assert sorted(got, key=repr) == want
     log = defaultdict(dict)
@@ -197,7 +199,7 @@ def test_positions_are_the_order_of_completion():
 def test_merkle_of_one_row_and_none(spark):
     rows = [(3, "only", "en", "s", 4)]
     _, out = checked(spark, rows, 10)
-    assert [(r.leaf, r.root, r.siblings, r.top_siblings) for r in out.collect()] == [(plain_manifest(rows)[0][0][1],) * 2 + ([], [])]
+    assert [(r.leaf, r.root, r.folded_root, r.proof) for r in out.collect()] == [(plain_manifest(rows)[0][0][1],) * 3 + ([],)]
     assert checked(spark, [], 10)[1].count() == 0
 
 
