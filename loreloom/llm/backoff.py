@@ -1,18 +1,21 @@
 """Stupid-backoff scores of every document under the counts of all other documents.
 
-For a pair of consecutive words (v, w) the score is ``c(v w) / c(v)`` if the pair occurs in another document, else
-``alpha * c(w) / N``; the first word of a document scores ``c(w) / N``. A document's own occurrences are subtracted from
-every count (pairs, words and N), so its text does not vouch for itself; a word that occurs nowhere else counts 1. Words are runs
-without ASCII white space, unchanged. Every word and every pair is counted as itself, however rare and at any corpus size.
-
-A block of documents numbers its words and pairs exactly and asks for their totals by key: a 64-bit hash, in a shard that further
-bits of a pair's hash choose. Two of 10**9 words meet with a chance of 3 %, two of 2 * 10**9 pairs in 1,000 shards with 0.01 %; they
-would share a count. Each block's words and pairs are summed, the sums are dealt to the shards, each shard is a count
-table that answers every block with the totals of its keys, and the answers are joined to their block, where each document's
-words and pairs are looked up and summed. A key appears once per block however often the block holds it, so frequent ones
-do not make a heavy shard. Keys travel sorted and packed.
-
-Null and empty texts have no words and a null score. Every row is a document of its own, also one that repeats an id.
+A word is scored by the longest run of up to ``order`` words that ends at it, inside its document. If the run w1..wn occurs in another
+document, its score is ``c(w1..wn) / c(w1..wn-1)``; else the run without its first word is tried, times ``alpha``; a single word scores
+``c(w) / N``. A document's own occurrences are subtracted from every count (runs and N), so its text does not vouch for itself; a
+word that occurs nowhere else counts 1. Words are runs without ASCII white space, unchanged. Every run is counted, however rare.
+
+The work is relational: each document's runs are exploded to rows (document, hash, own count); a count table sums them by hash; the
+table is joined back on the hash, so that each row has what other documents hold; and the rows of a document are summed up beside its
+words. Exploded rows are dealt by hash once, for the sums and for the join. A run is at most one row per document and a frequent one is
+summed before it is dealt; in the join its rows are split like any skewed key's. The last step takes documents in blocks
+of about ``BLOCK_BYTES`` of text, or a single longer one.
+
+Runs are told apart by 64-bit hashes: two of 10**9 meet with a chance of 3 %, and would share a count.
+
+Null and empty texts have no words and a null score. Every row is a document of its own, also one that repeats an id or has none.
+Texts are read whole, at any length; equal texts have equal scores; an empty table gives an empty result; columns other than the named
+ones are ignored.
 """
 
 from __future__ import annotations
@@ -26,197 +29,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.llm.tables import stage
-from loreloom.llm.words import BASES, WordHashes, in_bounds, mix, rows
-
-#: Words of the longest counted run.
-ORDER = 2
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
-#: Words of the corpus per shard; the number of shards follows the corpus.
-SHARD_WORDS = 1 << 20
-
-
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The values' ``width`` low bytes, byte by byte over all values, which is how the shuffle compresses them best."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
-
-
-def from_planes(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    wide = np.zeros((n, 8), dtype=np.uint8)
-    part = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
-    wide[:, : len(part)] = part.T
-    return wide.view("<i8").ravel()
-
-
-def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """The rows of a batch; only one of them, a whole block, is a Python value at a time."""
-    return (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows))
-
-
-class Grams:
-    """The runs of 1 to ``ORDER`` words of a block, numbered exactly, with the keys of the distinct ones.
-
-    ``at[m]`` are the places in the block where a run of ``m + 1`` words of one document ends, ``number[m]`` has a run's number at
-    each place that ends one, ``keys`` and ``shard`` are those of the distinct runs, shortest first, ``start[m]`` is where those of a length begin.
-    """
-
-    def __init__(self, sizes: list[int], words: bytes, numbers: bytes, shards: int) -> None:
-        length = np.asarray(sizes, dtype=np.int64)
-        word = from_planes(numbers, int(length.sum()))
-        self.owner = np.repeat(np.arange(len(length)), length)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
-        h = np.frombuffer(words, dtype="<u8")
-        self.words, self.at, self.number, self.start = h, [np.arange(len(word))], [word], [0]
-        keys, second = [mix(h, 1)], [mix(h, 2)]
-        for m in range(1, ORDER):
-            at = np.flatnonzero(place >= m)
-            distinct, which = np.unique((self.number[-1][at - 1] << 32) | word[at], return_inverse=True)
-            number = np.zeros(len(word), dtype=np.int64)
-            number[at] = which
-            before, last = distinct >> 32, h[distinct & 0xFFFFFFFF]
-            self.at.append(at)
-            self.number.append(number)
-            self.start.append(self.start[-1] + len(keys[-1]))
-            one = keys[-1][before] * np.uint64(BASES[0]) + last
-            two = second[-1][before] * np.uint64(BASES[1]) + last
-            keys.append(mix(one, 3))
-            second.append(mix(two, 4))
-        self.sizes = [len(k) for k in keys]
-        self.keys = np.concatenate(keys)
-        self.shard = ((np.concatenate(second) >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
-        #: The order in which the distinct runs are asked for.
-        self.order = np.lexsort((self.keys, self.shard))
+from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
+
+#: Bytes of text in a block of documents, about.
+BLOCK_BYTES = 1 << 20
+
+
+class Runs:
+    """The hashes of all runs of a text: ``of[n]`` those of ``n + 1`` words, by the word they begin at."""
+
+    def __init__(self, text: bytes | None, order: int, cache: WordHashes, windows: Windows) -> None:
+        h = cache.of((text or b"").split())
+        self.size = len(h)
+        self.of = [mix(windows.of(h, n), n) for n in range(1, order + 1)]
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, words, numbers): a block of documents as one row: its distinct word hashes, and each word's number among them."""
+    """(block, place, id, text): documents in blocks of bounded size."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, block = WordHashes(), TaskContext.get().partitionId() << 32
-        for batch, texts in rows(in_bounds(batches, 1, BLOCK_BYTES)):
-            each = [(t or b"").split() for t in texts]
-            words, numbers = np.unique(cache.of([w for words in each for w in words]), return_inverse=True)
+        block = TaskContext.get().partitionId() << 32
+        for batch in in_bounds(batches, 1, BLOCK_BYTES):
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(w) for w in each]], pa.list_(pa.int32())),
-                    pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([planes(numbers, 4)], pa.binary()),
-                ],
-                names=["block", "ids", "sizes", "words", "numbers"],
+                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), batch.column(0), batch.column(1)], names=["block", "place", "id", "text"]
             )
             block += 1
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(number, "block long, ids array<long>, sizes array<int>, words binary, numbers binary")
-
-
-def requests(placed: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, n, keys, counts): the distinct words and pairs of each block, dealt by hash."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, sizes, words, numbers in one_by_one(batch):
-                grams = Grams(sizes, words, numbers, shards)
-                counts = np.concatenate([np.bincount(n[at], minlength=k) for n, at, k in zip(grams.number, grams.at, grams.sizes)])
-                keys, counts, shard = grams.keys[grams.order], counts[grams.order], grams.shard[grams.order]
-                start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.zeros(0, dtype=int)
-                stop = np.append(start[1:], len(keys)) if len(keys) else start
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard[start], pa.int64()), pa.array(np.full(len(start), block), pa.int64()), pa.array(stop - start, pa.int64()),
-                        pa.array([planes(keys[a:b], 8) for a, b in zip(start, stop)], pa.binary()),
-                        pa.array([planes(counts[a:b], 4) for a, b in zip(start, stop)], pa.binary()),
-                    ],
-                    names=["shard", "block", "n", "keys", "counts"],
-                )
-
-    asked = placed.select("block", "sizes", "words", "numbers")
-    return asked.mapInArrow(ask, "shard long, block long, n long, keys binary, counts binary")
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """(block, shard, totals): each shard sums its keys over all blocks and answers in the order asked."""
-
-    def total(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        ends = np.cumsum(sizes)
-        keys, counts = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1], dtype=np.uint32)
-        for data, many, n, e in zip(table.column("keys"), table.column("counts"), sizes, ends):
-            keys[e - n : e], counts[e - n : e] = from_planes(data.as_py(), n), from_planes(many.as_py(), n)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        del keys
-        totals = np.add.reduceat(counts[order], first, dtype=np.int64)
-        sums = np.empty(len(order), dtype=np.int64)
-        sums[order] = np.repeat(totals, np.diff(np.append(first, len(order))))
-        return pa.table({
-            "block": table.column("block"), "shard": table.column("shard"),
-            "totals": pa.array([planes(sums[e - n : e], 8) for n, e in zip(sizes, ends)], pa.binary()),
-        })
+    return source.mapInArrow(number, "block long, place int, id long, text string")
+
 
-    return asked.groupBy("shard").applyInArrow(total, "block long, shard long, totals binary")
+def own_counts(placed: DataFrame, order: int) -> DataFrame:
+    """(hash, block, place, own): every document's distinct runs with their number in it."""
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, windows = WordHashes(), Windows()
+        for batch, texts in rows(in_bounds(batches, 2, BLOCK_BYTES), 2):
+            found = [np.unique(np.concatenate(Runs(t, order, cache, windows).of), return_counts=True) for t in texts]
+            sizes = [len(keys) for keys, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(signed(np.concatenate([k for k, _ in found]))), pa.array(np.repeat(batch.column(0).to_numpy(), sizes)),
+                    pa.array(np.repeat(batch.column(1).to_numpy(), sizes)), pa.array(np.concatenate([n for _, n in found]).astype(np.int32)),
+                ],
+                names=["hash", "block", "place", "own"],
+            )
+
+    return placed.select("block", "place", "text").mapInArrow(draw, "hash long, block long, place int, own int")
 
-def scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, shards: int | None = None
-) -> DataFrame:
-    """Per row: id, n_words, n_seen (pairs found elsewhere), log_score (sum of natural logarithms), mean_log_score."""
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, order: int = 3) -> DataFrame:
+    """Per row: id, n_words, n_seen (words after the first whose longest run occurs elsewhere), log_score (sum of natural logarithms),
+    mean_log_score."""
     placed, _ = stage(blocks(docs, id_col, text_col), "blocks")
-    sizes = placed.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = shards or -(-max(total, 1) // SHARD_WORDS)
-    met = answers(requests(placed, shards)).groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("answers"))
-    joined = placed.join(met, "block", "left")
-
-    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sizes, words, numbers, answer in one_by_one(batch):
-                out = _scored(Grams(sizes, words, numbers, shards), sizes, answer or [], total, alpha)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64())],
-                    names=["id", "n_words", "n_seen", "log_score"],
-                )
-
-    found = joined.select("ids", "sizes", "words", "numbers", "answers").mapInArrow(sum_up, "id long, n_words long, n_seen long, log_score double")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    total = placed.agg(F.coalesce(F.sum(F.size(F.when(F.col("text").isNotNull(), words).otherwise(F.array()))), F.lit(0))).first()[0]
+    dealt = own_counts(placed, order).repartition("hash")
+    table = dealt.groupBy("hash").agg(F.sum("own").alias("count"))
+    # what occurs nowhere else is not sent back
+    elsewhere = dealt.join(table, "hash").select("block", "place", "hash", (F.col("count") - F.col("own")).alias("left")).where("left > 0")
+
+    def sum_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        cache, windows = WordHashes(), Windows()
+        by = np.lexsort((counts.column("hash").to_numpy(), counts.column("place").to_numpy()))
+        place, key, left = (counts.column(c).to_numpy()[by] for c in ("place", "hash", "left"))
+        found: list[tuple] = []
+        for at, text in zip(texts.column("place").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist()):
+            a, b = np.searchsorted(place, [at, at + 1])
+            found.append(_scored(Runs(text, order, cache, windows), key[a:b], left[a:b], total, alpha))
+        n_words, n_seen, log_score = (list(c) for c in zip(*found)) if found else ([], [], [])
+        return pa.table({
+            "id": texts.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_seen": pa.array(n_seen, pa.int64()),
+            "log_score": pa.array(log_score, pa.float64()),
+        })
+
+    out = placed.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(sum_up, "id long, n_words long, n_seen long, log_score double")
     score = F.when(F.col("n_words") > 0, F.col("log_score"))
-    return found.select(
-        F.col("id").alias(id_col), "n_words", "n_seen", score.alias("log_score"), (score / F.col("n_words")).alias("mean_log_score")
-    )
-
-
-def _own_counts(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """How often each entry's value occurs in the entry's document."""
-    if not len(values):
-        return np.zeros(0, dtype=np.int64)
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
-    new = np.concatenate([[True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])])
-    group = np.cumsum(new) - 1
-    out = np.empty(len(values), dtype=np.int64)
-    out[order] = np.bincount(group)[group]
-    return out
-
-
-def _scored(grams: Grams, sizes: list[int], answer: list, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    length, owner = np.asarray(sizes, dtype=np.int64), grams.owner
-    n_seen, log_score = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes))
-    if not len(owner):
-        return n_seen, log_score
-    told = {a["shard"]: a["totals"] for a in answer}
-    shard = grams.shard[grams.order]
-    start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    totals = np.empty(len(shard), dtype=np.int64)
-    totals[grams.order] = np.concatenate([from_planes(told[int(shard[a])], b - a) for a, b in zip(start, [*start[1:], len(shard)])])
-    left = totals[grams.number[0]] - _own_counts(grams.number[0], owner)
-    value = np.log(np.maximum(left, 1) / np.maximum(total - length[owner], 1))
-    for at, number, first in zip(grams.at[1:], grams.number[1:], grams.start[1:]):
-        own = totals[first + number[at]] - _own_counts(number[at], owner[at])
-        seen = own > 0
-        value[at] = np.where(seen, np.log(np.maximum(own, 1) / np.maximum(left[at - 1], 1)), np.log(alpha) + value[at])
-        left = np.zeros(len(owner), dtype=np.int64)
-        left[at] = own
-        n_seen = np.bincount(owner[at[seen]], minlength=len(sizes))
-    return n_seen, np.bincount(owner, weights=value, minlength=len(sizes))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_seen", score.alias("log_score"), (score / F.col("n_words")).alias("mean_log_score"))
+
+
+def _scored(runs: Runs, key: np.ndarray, left: np.ndarray, total: int, alpha: float) -> tuple[int, int, float]:
+    """Words, words whose longest run is seen, and the score of one text, from the sorted hashes that occur elsewhere."""
+    size = runs.size
+    if not size:
+        return 0, 0, 0.0
+
+    def counts(h: np.ndarray) -> np.ndarray:
+        if not len(key):
+            return np.zeros(len(h), dtype=np.int64)
+        at = np.minimum(np.searchsorted(key, signed(h)), len(key) - 1)
+        return np.where(key[at] == signed(h), left[at], 0)
+
+    by_length = [counts(h) for h in runs.of]
+    value = np.log(np.maximum(by_length[0], 1) / max(total - size, 1))
+    seen = 0
+    for n, own in enumerate(by_length[1:], 1):  # runs of n + 1 words, that end at word n and later
+        known = own > 0
+        before = np.maximum(by_length[n - 1][: len(own)], 1)
+        value[n:] = np.where(known, np.log(np.maximum(own, 1) / before), np.log(alpha) + value[n:])
+        longest = known if n == len(by_length) - 1 else known[:1]
+        seen += int(longest.sum())
+    return size, seen, float(value.sum())

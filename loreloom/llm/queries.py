@@ -74,22 +74,26 @@ def op4_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH words AS (
       SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     total AS (SELECT sum(len(w)) AS n FROM words),
-    flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
-    t AS (SELECT doc_id, i, word AS w FROM flat),
-    c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
-    p AS (SELECT doc_id, i, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, w FROM t),
-    c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY ALL),
-    o2 AS (SELECT doc_id, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY ALL),
+    flat AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM words),
+    p AS (
+      SELECT doc_id, i, lag(w, 2) OVER o AS u, lag(w) OVER o AS v, w FROM flat WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    o1 AS (SELECT doc_id, w, count(*) AS o FROM p GROUP BY ALL), l1 AS (SELECT *, sum(o) OVER (PARTITION BY w) - o AS c FROM o1),
+    o2 AS (SELECT doc_id, v, w, count(*) AS o FROM p WHERE v IS NOT NULL GROUP BY ALL),
+    l2 AS (SELECT *, sum(o) OVER (PARTITION BY v, w) - o AS c FROM o2),
+    o3 AS (SELECT doc_id, u, v, w, count(*) AS o FROM p WHERE u IS NOT NULL GROUP BY ALL),
+    l3 AS (SELECT *, sum(o) OVER (PARTITION BY u, v, w) - o AS c FROM o3),
     s AS (
-      SELECT p.doc_id, p.v, coalesce(c2.c - o2.c, 0) AS pair, cv.c - ov.c AS before,
-             greatest(cw.c - ow.c, 1) / greatest((SELECT n FROM total) - len(d.w), 1) AS single
-      FROM p JOIN words d USING (doc_id)
-      JOIN c1 cw ON cw.w = p.w JOIN o1 ow ON ow.w = p.w AND ow.doc_id = p.doc_id
-      LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w LEFT JOIN o2 ON o2.v = p.v AND o2.w = p.w AND o2.doc_id = p.doc_id
-      LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN o1 ov ON ov.w = p.v AND ov.doc_id = p.doc_id),
+      SELECT p.doc_id, i, coalesce(abc.c, 0) AS abc, coalesce(ab.c, 0) AS ab, coalesce(bc.c, 0) AS bc, b.c AS b,
+             greatest(c.c, 1) / greatest((SELECT n FROM total) - len(d.w), 1) AS single
+      FROM p JOIN words d USING (doc_id) JOIN l1 c ON c.doc_id = p.doc_id AND c.w = p.w
+      LEFT JOIN l1 b ON b.doc_id = p.doc_id AND b.w = p.v LEFT JOIN l2 bc ON bc.doc_id = p.doc_id AND bc.v = p.v AND bc.w = p.w
+      LEFT JOIN l2 ab ON ab.doc_id = p.doc_id AND ab.v = p.u AND ab.w = p.v
+      LEFT JOIN l3 abc ON abc.doc_id = p.doc_id AND abc.u = p.u AND abc.v = p.v AND abc.w = p.w),
     sums AS (
-      SELECT doc_id, count(*) FILTER (pair > 0) AS n_seen,
-             sum(CASE WHEN v IS NULL THEN ln(single) WHEN pair > 0 THEN ln(pair / greatest(before, 1)) ELSE ln(0.4) + ln(single) END) AS log_score
+      SELECT doc_id, count(*) FILTER (abc > 0 OR i = 1 AND bc > 0) AS n_seen,
+             sum(CASE WHEN abc > 0 THEN ln(abc / greatest(ab, 1))
+                      WHEN bc > 0 THEN ln(bc / greatest(b, 1)) + CASE WHEN i >= 2 THEN ln(0.4) ELSE 0 END
+                      ELSE ln(single) + ln(0.4) * least(i, 2) END) AS log_score
       FROM s GROUP BY doc_id)
     SELECT doc_id, len(w) AS n_words, coalesce(n_seen, 0) AS n_seen, round(log_score, 4) AS log_score,
            round(log_score / len(w), 6) AS mean_log_score
@@ -97,7 +101,7 @@ def op4_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff.scores(table(spark, sf_dir, "documents"), alpha=0.4)
+    out = backoff.scores(table(spark, sf_dir, "documents"), alpha=0.4, order=3)
     return out.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_log_score", F.round("mean_log_score", 6))
 
 

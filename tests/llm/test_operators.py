@@ -195,29 +195,29 @@ def test_remove_repeats_of_one_id(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == brute.repeats(docs, 50)
 
 
-def test_backoff(spark, docs):
-    docs = docs + [docs[0]]
-    got = sorted((r.doc_id, r.n_words, r.n_seen, r.log_score) for r in backoff.scores(frame(spark, docs), shards=7).collect())
-    c1, c2, want = Counter(), Counter(), []
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff(spark, docs, order):
+    docs = docs + [docs[0], (None, docs[4][1])]
+    got = [(r.doc_id, r.n_words, r.n_seen, r.log_score) for r in backoff.scores(frame(spark, docs), order=order).collect()]
+    counts = [Counter() for _ in range(order)]
+    runs = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
     for _, t in docs:
-        w = brute.words(t)
-        c1.update(w)
-        c2.update(zip(w, w[1:]))
-    total = sum(c1.values())
+        for n in range(order):
+            counts[n].update(runs(brute.words(t), n + 1))
+    total, want = sum(counts[0].values()), []
     for i, t in docs:
         w = brute.words(t)
-        o1, o2, score, seen = Counter(w), Counter(zip(w, w[1:])), 0.0, 0
-        for k, x in enumerate(w):
-            one = max(c1[x] - o1[x], 1) / max(total - len(w), 1)
-            if k == 0:
-                score += np.log(one)
-                continue
-            pair = (w[k - 1], x)
-            left = c2[pair] - o2[pair]
-            seen += left > 0
-            score += np.log(left / max(c1[pair[0]] - o1[pair[0]], 1)) if left > 0 else np.log(0.4) + np.log(one)
+        own = [Counter(runs(w, n + 1)) for n in range(order)]
+        left = lambda g: counts[len(g) - 1][g] - own[len(g) - 1][g]
+        score, seen = 0.0, 0
+        for k in range(len(w)):
+            g = tuple(w[max(0, k - order + 1) : k + 1])
+            seen += len(g) > 1 and left(g) > 0
+            while len(g) > 1 and not left(g):
+                g, score = g[1:], score + np.log(0.4)
+            score += np.log(left(g) / max(left(g[:-1]), 1)) if len(g) > 1 else np.log(max(left(g), 1) / max(total - len(w), 1))
         want.append((i, len(w), seen, score if w else None))
-    for g, w in zip(got, sorted(want)):
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr)):
         assert g[:3] == w[:3]
         assert (g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-6)
 
@@ -226,7 +226,7 @@ def test_backoff_counts_rare_words_of_a_large_corpus(spark):
     """Words below one in 2**20 of all words are counted as themselves, and so are their pairs."""
     n = 3_500_000
     docs = [(1, "a " * n), (2, "rare one"), (3, "one rare"), (4, "odd rare one")]
-    got = {r.doc_id: r for r in backoff.scores(frame(spark, docs)).collect()}
+    got = {r.doc_id: r for r in backoff.scores(frame(spark, docs), order=2).collect()}
     total = n + 7
     assert [got[i].n_seen for i in (2, 3, 4)] == [1, 0, 1]
     assert got[2].log_score == pytest.approx(np.log(2 / (total - 2)) + np.log(1 / 2))
