@@ -91,21 +91,41 @@ closed AS (
 """
 
 
-def _closed(spark, sf_dir):
+def _redirects(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
     last = events.groupBy("user_id").agg(F.max_by("k", "event_id").alias("k"))
     pages = last.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), (F.col("user_id") % 3 != 0).alias("redirect"),
         F.concat(F.lit("u"), F.when(F.col("k") >= 95, F.col("k") + 1000).otherwise(F.col("k")).cast("string")).alias("redirect_target"),
     ).withColumn("title_key", tx.title_key(F.col("title")))
-    return rd.close_redirects(rd.redirect_map(pages), pages.select("title_key"))
+    return rd.redirect_map(pages), pages
+
+
+def _closed(spark, sf_dir):
+    mapping, pages = _redirects(spark, sf_dir)
+    return rd.close_redirects(mapping, pages.select("title_key"))
 
 
 @registry.add(
     f"""WITH RECURSIVE {GRAPH_SQL} SELECT source_key, CASE WHEN status = 'resolved' THEN tail END AS final_key, status, chain FROM closed"""
 )
 def redirect_closure(spark, sf_dir):
-    return _closed(spark, sf_dir).withColumn("chain", F.array_join("chain", ">"))
+    mapping, pages = _redirects(spark, sf_dir)
+    closed = rd.close_redirects(mapping, pages.select("title_key"))
+    steps = F.sort_array(F.collect_list(F.struct("step", "key")))
+    chains = rd.redirect_chains(mapping, closed).groupBy("source_key").agg(F.array_join(F.transform(steps, lambda s: s["key"]), ">").alias("chain"))
+    return closed.drop("steps").join(chains, "source_key")
+
+
+@registry.add(
+    f"""WITH RECURSIVE {GRAPH_SQL},
+    c AS (SELECT source_key, string_split(chain, '>') AS keys FROM closed)
+    SELECT source_key, unnest(range(len(keys))) AS step, unnest(keys) AS key FROM c"""
+)
+def redirect_chains(spark, sf_dir):
+    """The keys on the way of every redirect, as rows."""
+    mapping, pages = _redirects(spark, sf_dir)
+    return rd.redirect_chains(mapping, rd.close_redirects(mapping, pages.select("title_key")))
 
 
 @registry.add(f"WITH RECURSIVE {GRAPH_SQL} SELECT status, count(*) AS redirects FROM closed GROUP BY status")

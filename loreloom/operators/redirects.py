@@ -16,61 +16,91 @@ def redirect_map(pages: DataFrame) -> DataFrame:
     )
 
 
-def close_redirects(mapping: DataFrame, existing: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Follow every redirect to its end: (source_key, final_key, status, chain).
+def _follow(edges: DataFrame, label: str) -> DataFrame:
+    """(node, next, steps, done): every edge (node, next) of a functional graph followed by pointer doubling.
 
-    ``status`` is resolved, broken or cycle; ``chain`` lists the keys walked and
-    ends with the first repeated key in a cycle. Each round joins the open chains
-    with the chains themselves, so the walked length doubles per round.
+    ``done`` says that ``next`` has no edge of its own, and then ``steps`` is its distance. After r rounds an open node has gone
+    ``2 ** r`` steps. As long as an open node comes to an end some day, one does in the next round; so after a round in which none did, all
+    that are left run into cycles, and once they have gone as many steps as they are, their ``next`` lies on one.
     """
-    state = stage(
-        mapping.select(
-            "source_key",
-            F.array("source_key", "target_key").alias("chain"),
-            F.when(F.col("source_key") == F.col("target_key"), F.lit("cycle")).alias("status"),
-        ),
-        "redirects",
-    )
-    for _ in range(max_rounds):
-        open_ = state.where("status IS NULL").withColumn("tail", F.element_at("chain", -1))
-        ahead = state.select(
-            F.col("source_key").alias("tail"), F.col("chain").alias("more"), F.col("status").alias("ahead")
-        )
-        walked = open_.join(ahead, "tail", "left")
-        longer = F.when(
-            F.col("more").isNotNull(), F.concat("chain", F.slice("more", F.lit(2), F.size("more")))
-        ).otherwise(F.col("chain"))
-        walked = walked.select("source_key", "more", "ahead", F.explode(F.array(longer)).alias("chain"))
-        repeat = F.array_min(
-            F.filter(
-                F.transform("chain", lambda x, i: F.when(F.array_position("chain", x) < i + 1, i + 1)),
-                lambda i: i.isNotNull(),
-            )
-        )
-        walked = walked.withColumn("_repeat", repeat)
-        status = (
-            F.when(F.col("more").isNull(), "end")
-            .when(F.col("_repeat").isNotNull(), "cycle")
-            .when(F.col("ahead") == "end", "end")
+    ends = edges.select(F.col("node").alias("_node"), F.lit(False).alias("_end"))
+    first = edges.join(ends, F.col("next") == F.col("_node"), "left")
+    state = stage(first.select("node", "next", F.lit(1).cast("long").alias("steps"), F.col("_end").isNull().alias("done")), label)
+    reach, before = 1, -1
+    while (left := state.where("NOT done").count()) and (left != before or reach < left):
+        before = left
+        ahead = state.select(F.col("node").alias("_at"), F.col("next").alias("_next"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        walked = state.where("NOT done").join(ahead, F.col("next") == F.col("_at")).select(
+            "node", F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done")
         )
-        trimmed = F.when(F.col("_repeat").isNotNull(), F.slice("chain", F.lit(1), F.col("_repeat")))
-        walked = walked.select(
-            "source_key", F.coalesce(trimmed, "chain").alias("chain"), status.alias("status")
+        state = stage(state.where("done").unionByName(walked), label)
+        reach *= 2
+    return state
+
+
+def _cycle_sizes(edges: DataFrame) -> DataFrame:
+    """(node, cycle, size) for edges that are cycles only; a cycle is named by its least key."""
+    total = edges.count()
+    state = stage(edges.select("node", "next", F.least("node", "next").alias("least")), "redirect-cycles")
+    reach = 1
+    while reach < total:
+        ahead = state.select(F.col("node").alias("_at"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        state = stage(
+            state.join(ahead, F.col("next") == F.col("_at")).select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least")),
+            "redirect-cycles",
         )
-        state = stage(state.where("status IS NOT NULL").unionByName(walked), "redirects")
-        if state.where("status IS NULL").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"redirect chains longer than 2^{max_rounds}")
-    known = existing.select(F.col("title_key").alias("tail"), F.lit(True).alias("exists"))
-    ended = state.withColumn("tail", F.element_at("chain", -1)).join(known, "tail", "left")
-    resolved = (F.col("status") == "end") & F.col("exists").isNotNull()
-    return ended.select(
-        "source_key",
-        F.when(resolved, F.col("tail")).alias("final_key"),
-        F.when(resolved, "resolved").when(F.col("status") == "end", "broken").otherwise("cycle").alias("status"),
-        "chain",
+        reach *= 2
+    sizes = state.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+    return state.join(sizes, "least").select("node", F.col("least").alias("cycle"), "size")
+
+
+def close_redirects(mapping: DataFrame, existing: DataFrame) -> DataFrame:
+    """Follow every redirect to its end: (source_key, final_key, status, steps).
+
+    ``status`` is resolved, broken or cycle; ``steps`` is the number of redirects walked, in a cycle up to the first repeated key.
+    No row grows with the chain; ``redirect_chains`` lists the keys walked.
+    """
+    edges = mapping.select(F.col("source_key").alias("node"), F.col("target_key").alias("next"))
+    state = _follow(edges, "redirects")
+    known = existing.select(F.col("title_key").alias("next"), F.lit(True).alias("exists"))
+    resolved = F.col("exists").isNotNull()
+    closed = state.where("done").join(known, "next", "left").select(
+        F.col("node").alias("source_key"), F.when(resolved, F.col("next")).alias("final_key"),
+        F.when(resolved, "resolved").otherwise("broken").alias("status"), "steps",
     )
+    endless = state.where("NOT done")
+    if endless.isEmpty():
+        return closed
+    on_cycle = stage(endless.select(F.col("next").alias("node")).distinct(), "redirects")
+    around = edges.join(on_cycle, "node", "left_semi")
+    sizes = stage(_cycle_sizes(around), "redirects")
+    tails = edges.join(endless.select("node"), "node", "left_semi").join(on_cycle, "node", "left_anti")
+    entered = _follow(tails, "redirects").join(sizes.select(F.col("node").alias("next"), "size"), "next")
+    rings = sizes.select("node", F.col("size").alias("steps")).unionByName(entered.select("node", (F.col("steps") + F.col("size")).alias("steps")))
+    return closed.unionByName(rings.select(
+        F.col("node").alias("source_key"), F.lit(None).cast("string").alias("final_key"), F.lit("cycle").alias("status"), "steps"
+    ))
+
+
+def redirect_chains(mapping: DataFrame, closed: DataFrame) -> DataFrame:
+    """(source_key, step, key): the keys that the sources in ``closed`` walk, the source itself as step 0.
+
+    A walk is halved again and again with jumps of 2 ** k redirects, so a chain takes as many rounds as its length has bits; ``closed``
+    may be any choice of sources, since all chains together can be far larger than the redirects.
+    """
+    jumps = [stage(mapping.select(F.col("source_key").alias("at"), F.col("target_key").alias("to")), "redirect-jumps")]
+    longest = closed.agg(F.max("steps")).first()[0] or 0
+    while 2 << len(jumps) <= 2 * longest:
+        one = jumps[-1]
+        jumps.append(stage(one.join(one.select(F.col("at").alias("to"), F.col("to").alias("_to")), "to").select("at", F.col("_to").alias("to")), "redirect-jumps"))
+    spans = closed.select("source_key", F.lit(0).cast("long").alias("step"), F.col("source_key").alias("key"), F.col("steps").alias("span"))
+    walked = spans.select("source_key", "step", "key")
+    for k in range(len(jumps) - 1, -1, -1):
+        far = spans.where(F.col("span") > 1 << k).join(jumps[k], F.col("key") == F.col("at"))
+        second = far.select("source_key", (F.col("step") + (1 << k)).alias("step"), F.col("to").alias("key"), (F.col("span") - (1 << k)).alias("span"))
+        spans = stage(spans.withColumn("span", F.least("span", F.lit(1 << k).cast("long"))).unionByName(second), "redirect-spans")
+    last = spans.where("span > 0").join(jumps[0], F.col("key") == F.col("at"))
+    return walked.unionByName(last.select("source_key", (F.col("step") + 1).alias("step"), F.col("to").alias("key")))
 
 
 def redirect_stats(closed: DataFrame) -> DataFrame:
@@ -87,18 +117,16 @@ def redirect_report(closed: DataFrame, pages: DataFrame) -> DataFrame:
     return closed.join(source, "source_key").join(final, "final_key", "left")
 
 
+def redirect_source_rows(closed: DataFrame, pages: DataFrame) -> DataFrame:
+    """(title_key, source_key, title, page_id, revision_id, document_id): the redirecting pages of each final page, as rows."""
+    columns = ("title", "page_id", "revision_id", "document_id")
+    source = pages.select(F.col("title_key").alias("source_key"), *columns)
+    found = closed.where("status = 'resolved'").join(source, "source_key")
+    return found.select(F.col("final_key").alias("title_key"), "source_key", *columns)
+
+
 def redirect_sources(closed: DataFrame, pages: DataFrame) -> DataFrame:
-    """Redirecting pages of each final page, in title order, as an array of structs."""
-    found = closed.where("status = 'resolved'").join(
-        pages.select(F.col("title_key").alias("source_key"), "title", "page_id", "revision_id", "document_id"),
-        "source_key",
-    )
+    """Redirecting pages of each final page, in title order, as an array of structs, as the record format has it."""
     entry = F.struct("source_key", "title", "page_id", "revision_id", "document_id")
-    ordered = F.transform(
-        F.sort_array(F.collect_list(entry)),
-        lambda s: F.struct(
-            s["title"].alias("title"), s["page_id"].alias("page_id"),
-            s["revision_id"].alias("revision_id"), s["document_id"].alias("document_id"),
-        ),
-    )
-    return found.groupBy(F.col("final_key").alias("title_key")).agg(ordered.alias("redirect_sources"))
+    ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda s: s.dropFields("source_key"))
+    return redirect_source_rows(closed, pages).groupBy("title_key").agg(ordered.alias("redirect_sources"))

@@ -216,14 +216,41 @@ def test_title_keys_and_redirect_targets(spark):
 
 
 def test_long_redirect_chain_and_tail_into_cycle(spark):
-    edges = [(f"k{i}", f"k{i + 1}") for i in range(21)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("self", "self")]
-    closed = rd.close_redirects(
-        spark.createDataFrame(edges, "source_key string, target_key string"), spark.createDataFrame([("k21",)], "title_key string")
-    )
+    edges = [(f"k{i}", f"k{i + 1}") for i in range(21)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("self", "self"), ("x", "gone"), ("y", "x")]
+    edges += [(f"t{i}", f"t{i + 1}") for i in range(9)] + [("t9", "self"), ("u", "t4")]
+    mapping = spark.createDataFrame(edges, "source_key string, target_key string")
+    closed = rd.close_redirects(mapping, spark.createDataFrame([("k21",), ("y",)], "title_key string"))
     rows = {r["source_key"]: r for r in closed.collect()}
-    assert rows["k0"]["status"] == "resolved" and len(rows["k0"]["chain"]) == 22 and rows["k0"]["final_key"] == "k21"
-    assert rows["a"]["status"] == "cycle" and rows["a"]["chain"] == ["a", "b", "c", "d", "b"]
-    assert rows["self"]["chain"] == ["self", "self"] and rows["d"]["chain"] == ["d", "b", "c", "d"]
+    target = dict(edges)
+    assert set(rows) == set(target)
+    chains = {}
+    for r in rd.redirect_chains(mapping, closed).collect():
+        chains.setdefault(r["source_key"], {})[r["step"]] = r["key"]
+    for source in target:
+        walk = [source]
+        while walk[-1] in target and walk[-1] not in walk[:-1]:
+            walk.append(target[walk[-1]])
+        status = "resolved" if walk[-1] == "k21" else "cycle" if walk[-1] in walk[:-1] else "broken"
+        assert (rows[source]["status"], rows[source]["steps"]) == (status, len(walk) - 1)
+        assert rows[source]["final_key"] == ("k21" if status == "resolved" else None)
+        assert chains[source] == dict(enumerate(walk))
+
+
+def test_closure_of_a_path_of_100000_and_a_cycle_of_10000(spark):
+    """No row grows with the chain: rounds go with the chain's number of bits."""
+    path = spark.range(100_000).selectExpr("concat('p', id) AS source_key", "concat('p', id + 1) AS target_key")
+    ring = spark.range(10_000).selectExpr("concat('c', id) AS source_key", "concat('c', (id + 1) % 10000) AS target_key")
+    mapping = path.unionByName(ring)
+    closed = rd.close_redirects(mapping, spark.createDataFrame([("p100000",)], "title_key string"))
+    assert "chain" not in closed.columns
+    found = {r["status"]: (r["n"], r["low"], r["high"], r["total"]) for r in closed.groupBy("status").agg(
+        F.count("*").alias("n"), F.min("steps").alias("low"), F.max("steps").alias("high"), F.sum("steps").alias("total")
+    ).collect()}
+    assert found == {"resolved": (100_000, 1, 100_000, 5_000_050_000), "cycle": (10_000, 10_000, 10_000, 100_000_000)}
+    chain = rd.redirect_chains(mapping, closed.where("source_key IN ('p0', 'c7')")).groupBy("source_key").agg(
+        F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.max_by("key", "step").alias("last")
+    )
+    assert {tuple(r) for r in chain.collect()} == {("p0", 100_001, 100_001, "p100000"), ("c7", 10_001, 10_000, "c7")}
 
 
 def test_snapshot_audit(raw):
