@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from loreloom.llm import bloom_dedup
 from loreloom.llm.components import components
+from loreloom.llm.memory import frugal, trim
 from loreloom.llm.tables import stage
 from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
 
@@ -49,10 +50,6 @@ BLOCK = 1024
 #: Shingles of a set whose 16-bit marks are compared before its estimate.
 SMALL = 2000
 
-# batches of texts are large and few: the system's allocator gives them back, while Arrow's own keeps them for later in each of an
-# executor's Python workers
-pa.set_memory_pool(pa.system_memory_pool())
-
 
 class Hashes(WordHashes):
     """Fewer words at a time, as up to four Python workers of an executor each hold some."""
@@ -126,6 +123,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     """(id, n, digest, regs) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         cache, windows = Hashes(), Windows()
         for batch, texts in rows(in_bounds(batches)):
             n, digest, regs = [], [], []
@@ -138,6 +136,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())],
                 names=["id", "n", "digest", "regs"],
             )
+        del cache, windows
+        trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(sketch, "id long, n long, digest binary, regs binary")
@@ -172,6 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     """(a, b) to (a, b, common, total) from the whole texts; ``common`` over ``total`` is the similarity."""
 
     def confirm(batches):
+        frugal()
         cache, windows = Hashes(), Windows()
         last: tuple = (None, None)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
@@ -189,6 +190,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, pa.int64()) for v in (a, b, common, total)], names=["a", "b", "common", "total"]
             )
+        del cache, windows, last
+        trim()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = _texts_of(ends, docs, id_col, text_col).select(F.col("node").alias("id"), "text")

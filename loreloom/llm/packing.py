@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loreloom.llm.memory import frugal
 from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
@@ -211,6 +212,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     fields = "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         encoder = encoder_of(tokenizer)
         part, seen = TaskContext.get().partitionId(), {}
         for batch, texts in rows(in_bounds(batches)):

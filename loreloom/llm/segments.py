@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.llm import bloom_dedup
+from loreloom.llm.memory import frugal, trim
 from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
@@ -79,6 +80,7 @@ def features(word: str, grams: Memo) -> list:
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (bucket, toxic documents, other documents), summed over the task."""
+    frugal()
     grams = Memo(bucket_of)
     known = Memo(lambda word: features(word, grams))
     totals = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -284,6 +286,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch, texts in rows(in_bounds(batches)):
             value, evidence, number, spans = [], [], [], []
             for text in texts:
@@ -311,8 +314,10 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float
     place = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch, texts in rows(in_bounds(batches, place), place):
             clean = [shared.value.probability(math.fsum(f[0] for f in shared.value.passages(t)[1])) < at for t in texts]
             yield batch.filter(pa.array(clean))
+        trim()
 
     return docs.mapInArrow(kept, docs.schema)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom.llm.memory import frugal, trim
 from loreloom.llm.tables import stage
 from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
 
@@ -102,6 +103,7 @@ def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
     short = sorted(r["n"] for r in found.where("n > 0").select("n").distinct().collect())  # below SPAN, so a few
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         table = shared.value
         last = np.uint64(len(table) * 8 - 1)
         cache, windows = WordHashes(), Windows()
@@ -127,6 +129,8 @@ def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [own.column(0), own.column(2), own.column(1), pa.array(at, lists), pa.array(hashes, lists)], names=["id", "mark", "text", "at", "hash"]
             )
+        cache.clear()
+        trim()
 
     return _marked(docs, id_col, text_col).mapInArrow(seek, "id long, mark long, text string, at array<long>, hash array<long>")
 
