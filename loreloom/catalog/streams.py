@@ -140,3 +140,55 @@ def log_tail(spark, sf_dir):
         out = se.run_to_table(parsed, "log-tail", root)
     known = F.regexp_extract("value", r'(?:noise |broken |"game_frame":)(\d+)', 1).cast("long")
     return out.select(known.alias("event_id"), "status", F.array_join("broken_rules", ",").alias("broken"))
+
+
+@registry.add(registry.sql["state_rebuild"])
+def stream_state(spark, sf_dir):
+    """Game state of every run after three steps of a stream, kept as typed fields and maps."""
+    lines = tables.log_lines(spark, sf_dir)
+    build = lambda s: se.state_stream(ev.valid_events(ev.parse_events(s)))
+    out = in_steps(spark, lines, _step(spark, sf_dir), build, "stream-state")
+    fields = [c for c in out.columns if c not in ("run_id", "state", "batch")]
+    return out.groupBy("run_id").agg(F.max_by(F.struct(*fields), "batch").alias("s")).select("run_id", "s.*")
+
+
+PAUSES_SQL = """
+    p AS (SELECT ts AS a, CASE k % 4 WHEN 0 THEN ts + INTERVAL 30 MINUTE WHEN 1 THEN ts + INTERVAL 50 HOUR ELSE ts + INTERVAL 1 MINUTE END AS b
+          FROM (SELECT *, (props->>'k')::INT AS k FROM events) WHERE event_type = 'signup' AND event_id % 97 = 0
+          UNION ALL SELECT min(ts), NULL FROM events WHERE event_id >= (SELECT max(event_id) * 9 // 10 FROM events))"""
+
+
+@registry.add(
+    f"""WITH {PAUSES_SQL} SELECT event_id FROM events e
+        WHERE NOT EXISTS (SELECT 1 FROM p WHERE e.ts >= a AND (b IS NULL OR e.ts < b))"""
+)
+def stream_unpaused(spark, sf_dir):
+    """Streamed events outside short and long pauses, and before one that is still open."""
+    e = tables._events(spark, sf_dir)
+    k = F.col("k") % 4
+    length = F.when(k == 0, F.expr("INTERVAL 30 MINUTES")).when(k == 1, F.expr("INTERVAL 50 HOURS")).otherwise(F.expr("INTERVAL 1 MINUTE"))
+    closed = e.where("event_type = 'signup' AND event_id % 97 = 0").select(F.col("ts").alias("paused_at"), (F.col("ts") + length).alias("resumed_at"))
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    open_ = e.where(F.col("event_id") >= top * 9 // 10).agg(F.min("ts").alias("paused_at")).withColumn("resumed_at", F.lit(None).cast("timestamp"))
+    build = lambda s: se.drop_paused_stream(s, closed.unionByName(open_), "ts", coarse=8)
+    return in_steps(spark, e.select("event_id", "ts"), _step(spark, sf_dir), build, "stream-unpaused").select("event_id")
+
+
+@registry.add(
+    f"""
+    WITH {tables.SEQ_SQL.replace(tables.ARRIVAL, "event_id").replace("FROM events)", "FROM events WHERE event_type <> 'error')")}
+    SELECT 'u' || user_id AS run_id, count(*) FILTER (accepted) AS parsed_events,
+           count(*) FILTER (NOT accepted) AS out_of_order_events, sum(gap)::BIGINT AS sequence_gaps FROM checked GROUP BY user_id
+    """
+)
+def listen_diagnostics(spark, sf_dir):
+    """The listening job over three steps of log lines: diagnostics of all its batches."""
+    from loreloom.plans import jobs
+
+    lines, step = tables.log_lines(spark, sf_dir), _step(spark, sf_dir)
+    root = se.stream_folder(spark, "listen")
+    for k in range(STEPS):
+        lines.where(step == k).write.mode("append").parquet(os.path.join(root, "source"))
+        stream = spark.readStream.schema(lines.schema).parquet(os.path.join(root, "source"))
+        jobs.listen(stream, root, ["event_id"], availableNow=True).awaitTermination()
+    return jobs.listened(spark, root).diagnostics

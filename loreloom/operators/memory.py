@@ -24,6 +24,7 @@ MAX_TURN = 300
 NEWEST = 100
 SOURCE_STATED = "玩家明确表达"
 SOURCE_CORRECTED = "用户在记忆管理中纠正"
+EVIDENCE_CORRECTED = "用户手动纠正现有记忆"
 PATTERNS = (
     (r"(?:以后)?请叫我[“\"']?([^，。！？!?；;]{1,24})", "profile", "profile:preferred_name", "称呼偏好："),
     (r"(?:以后)?(?:请)?(?:少|不要|别)(?:再)?提醒我?([^，。！？!?；;]{1,60})", "guidance_preference",
@@ -198,6 +199,36 @@ def stamp_used(memories: DataFrame, picks: DataFrame, now: Column) -> DataFrame:
     ).drop("_used")
 
 
+def valid_corrections(actions: DataFrame) -> DataFrame:
+    """The corrections of an action log that are carried out: content of a proper length, nothing unsafe, a known kind or none."""
+    content = F.col("content")
+    return actions.where(
+        (F.col("action") == "correct") & F.col("id").isNotNull() & F.length(tx.squeeze(content)).between(1, MAX_CONTENT)
+        & ~tx.looks_unsafe(content) & (F.col("kind").isNull() | F.col("kind").isin(*KINDS))
+    )
+
+
+def correction_evidence(memories: DataFrame, actions: DataFrame, span: int = 100_000) -> DataFrame:
+    """(memory_id, source, excerpt, created_at): every correction of a memory that exists at that time leaves a piece of evidence.
+
+    A memory is gone from its first deletion on, and with a clear that comes after its creation. Rows go to the evidence table;
+    ``surviving_evidence`` then drops those of memories that were deleted later.
+    """
+    gone = actions.where("action = 'delete' AND id IS NOT NULL").groupBy("id").agg(F.min("at").alias("gone_at"))
+    clears = actions.where("action = 'clear'").select("at", F.lit(1).alias("n"))
+    fixes = valid_corrections(actions).select("id", "at")
+    held = fixes.join(memories.select("id", "created_at"), "id").join(gone, "id", "left").where(F.col("gone_at").isNull() | (F.col("at") < F.col("gone_at")))
+    # clears before the memory and before the correction: more of them in between, and the memory was gone
+    ends = held.select("id", F.col("at").alias("fixed_at"), F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("created_at").alias("at")), F.struct(
+        F.lit(1).alias("row"), F.col("at")))).alias("e")).select("id", "fixed_at", "e.*", F.lit(0).alias("n"))
+    marks = ends.unionByName(clears, allowMissingColumns=True)
+    counted = running(marks, [], ["at", "n", "row", "id", "fixed_at"], F.floor(F.col("at").cast("double") / span).cast("long"), {"before": ("sum", F.col("n"))})
+    alive = counted.where("n = 0").groupBy("id", "fixed_at").agg((F.max("before") == F.min("before")).alias("alive"))
+    return alive.where("alive").select(
+        F.col("id").alias("memory_id"), F.lit(SOURCE_CORRECTED).alias("source"), F.lit(EVIDENCE_CORRECTED).alias("excerpt"), F.col("fixed_at").alias("created_at")
+    )
+
+
 def apply_actions(memories: DataFrame, actions: DataFrame) -> DataFrame:
     """Memory table after an action log: correct, enable, disable, delete, clear.
 
@@ -206,11 +237,7 @@ def apply_actions(memories: DataFrame, actions: DataFrame) -> DataFrame:
     log of one memory is reduced by partial aggregates, not replayed.
     """
     per_id = actions.where("id IS NOT NULL")
-    fixes = per_id.where(
-        (F.col("action") == "correct") & F.length(tx.squeeze(F.col("content"))).between(1, MAX_CONTENT)
-        & ~tx.looks_unsafe(F.col("content"))
-        & (F.col("kind").isNull() | F.col("kind").isin(*KINDS))
-    ).groupBy("id").agg(
+    fixes = valid_corrections(per_id).groupBy("id").agg(
         F.max("at").alias("fixed_at"),
         F.max_by(tx.squeeze(F.col("content")), "at").alias("new_content"),
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("at"))).alias("new_kind"),

@@ -117,17 +117,49 @@ STATE_SCHEMA = (
 
 
 class _StateFold(StatefulProcessor):
-    """Game state of a run, with the sequence check in front."""
+    """Game state of a run, with the sequence check in front: one row of plain fields, a map of player fields and a map of the
+    room's items. A micro-batch reads and writes the fields it touches; a run's players and past rooms are not copied about."""
+
+    HEAD = "top bigint, seq bigint, frame bigint, context string, active boolean, type string, version string"
 
     def __init__(self, order: Sequence[str]) -> None:
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("state", "top bigint, body string")
+        self.head = handle.getValueState("head", self.HEAD)
+        self.players = handle.getMapState("players", "controller string, field string", "value string")
+        self.items = handle.getMapState("items", "item_no bigint", "taken boolean, body string")
+
+    def _load(self) -> tuple[int, dict]:
+        state, top = _new_run(), 0
+        if self.head.exists():
+            top, state["last_seq"], state["frame"], context, state["active"], state["type"], state["version"] = self.head.get()
+            state["context"] = json.loads(context)
+        for (controller, field), (value,) in self.players.iterator() if self.players.exists() else ():
+            state["players"].setdefault(controller, {})[field] = json.loads(value)
+        held = sorted((key[0], value) for key, value in self.items.iterator()) if self.items.exists() else []
+        state["items"] = [{**json.loads(body), "taken": taken, "item_no": number} for number, (taken, body) in held]
+        return top, state
+
+    def _save(self, top: int, state: dict, before: dict) -> None:
+        dump = lambda value: json.dumps(value, ensure_ascii=False, sort_keys=True)
+        self.head.update((top, state["last_seq"], state["frame"], dump(state["context"]), state["active"], state["type"], state["version"]))
+        for controller, fields in state["players"].items():
+            known = before["players"].get(controller, {})
+            for field, value in fields.items():
+                if field not in known or known[field] != value:
+                    self.players.updateValue((controller, field), (dump(value),))
+        split = lambda items: {i["item_no"]: (i["taken"], dump({k: v for k, v in i.items() if k not in ("taken", "item_no")})) for i in items}
+        old, new = split(before["items"]), split(state["items"])
+        for number in old.keys() - new.keys():
+            self.items.removeKey((number,))
+        for number, value in new.items():
+            if old.get(number) != value:
+                self.items.updateValue((number,), value)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.saved.get()
-        top, state = (stored[0], json.loads(stored[1])) if stored else (0, _new_run())
+        top, state = self._load()
+        before = {"players": {c: dict(f) for c, f in state["players"].items()}, "items": [dict(i) for i in state["items"]]}
         for row in _in_order(rows, self.order).to_dict("records"):
             if row["seq"] <= top:
                 continue
@@ -135,15 +167,14 @@ class _StateFold(StatefulProcessor):
             context = json.loads(row["context_json"])
             fold_event(state, {**row, "seq": top, "game_frame": int(row["game_frame"]), "context": context,
                                "payload": json.loads(row["payload"])})
-        body = json.dumps(state, ensure_ascii=False, sort_keys=True)
-        self.saved.update((top, body))
+        self._save(top, state, before)
         yield pd.DataFrame(
             {
                 "run_id": [key[0]], "last_seq": [state["last_seq"]], "game_frame": [state["frame"]],
                 "room_index": pd.array([state["context"].get("room_index")], dtype="Int64"),
                 "active": [state["active"]], "last_event_type": [state["type"]],
                 "room_items": [len(state["items"])], "taken_items": [sum(i["taken"] for i in state["items"])],
-                "state": [body],
+                "state": [json.dumps(state, ensure_ascii=False, sort_keys=True)],
             }
         )
 
@@ -321,20 +352,29 @@ def advice_stream(accepted: DataFrame, known: DataFrame) -> DataFrame:
     return advice_triggers(accepted, known)
 
 
-def drop_paused_stream(events: DataFrame, pauses: DataFrame, ts: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Drop streamed events inside a pause of the static control table.
+def drop_paused_stream(events: DataFrame, pauses: DataFrame, ts: str, bucket_seconds: int = 3600, coarse: int = 1024) -> DataFrame:
+    """Drop streamed events inside a pause [paused_at, resumed_at) of the static control table.
 
-    ``pauses``: paused_at, resumed_at; an open pause ends in the future.
+    A pause is cut into time buckets; where it covers ``coarse`` of them in a row, one coarse row stands for all, so a pause
+    of years is no more rows than one of weeks. A pause without an end is no interval: from the first one on, everything is dropped.
     """
-    def bucket(c):
-        return F.floor(F.unix_seconds(c) / bucket_seconds)
-
-    control = pauses.select(
-        "paused_at", "resumed_at", F.explode(F.sequence(bucket(F.col("paused_at")), bucket(F.col("resumed_at")))).alias("_b")
-    ).withColumn("_hit", F.lit(True))
-    keyed = events.withColumn("_b", bucket(F.col(ts)))
-    inside = (keyed["_b"] == control["_b"]) & (F.col(ts) >= F.col("paused_at")) & (F.col(ts) < F.col("resumed_at"))
-    return keyed.join(control, inside, "left").where("_hit IS NULL").select(*events.columns)
+    step, wide = bucket_seconds * 1_000_000, bucket_seconds * coarse * 1_000_000
+    start, end = F.unix_micros("paused_at"), F.unix_micros("resumed_at")
+    closed = pauses.where("paused_at IS NOT NULL AND resumed_at IS NOT NULL").select(start.alias("_from"), end.alias("_to")).where("_from < _to")
+    # whole coarse buckets inside the pause, and the fine ones before and after them
+    first, last = F.ceil(F.col("_from") / wide), F.floor(F.col("_to") / wide)
+    split = closed.withColumns({"_first": first, "_last": F.greatest(first, last)})
+    whole = split.where("_first < _last").select(F.explode(F.sequence("_first", F.col("_last") - 1)).alias("_wide")).distinct()
+    inner = F.col("_first") < F.col("_last")
+    edges = split.select(F.explode(F.when(inner, F.array(
+        F.struct(F.col("_from").alias("_from"), (F.col("_first") * wide).alias("_to")), F.struct((F.col("_last") * wide).alias("_from"), F.col("_to").alias("_to"))
+    )).otherwise(F.array(F.struct("_from", "_to")))).alias("e")).select("e.*").where("_from < _to")
+    fine = edges.select("_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor((F.col("_to") - 1) / step))).alias("_fine"))
+    since = pauses.where("paused_at IS NOT NULL AND resumed_at IS NULL").agg(F.min(start).alias("_since"))
+    at = F.unix_micros(F.col(ts))
+    kept = events.join(F.broadcast(since), at >= F.col("_since"), "left_anti")  # one row
+    kept = kept.join(whole, F.floor(at / wide) == F.col("_wide"), "left_anti")
+    return kept.join(fine, (F.floor(at / step) == F.col("_fine")) & (at >= F.col("_from")) & (at < F.col("_to")), "left_anti")
 
 
 def dedupe_calls_stream(calls: DataFrame, ts: str, delay: str = "1 hour", key: str = "call_id") -> DataFrame:

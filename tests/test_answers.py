@@ -163,3 +163,18 @@ def test_costs(spark):
                                  "text_in long, audio_in long, text_out long, audio_out long, chars_in long, seconds_in double, chars_out long, seconds_out double")
     got = [(r["text_in"], r["audio_in"], r["text_out"], r["audio_out"], r["estimated"]) for r in co.estimate_usage(rows).collect()]
     assert got == [(3, 50, 2, 25, True), (1, 2, 3, 0, False)]
+
+
+def test_a_correction_leaves_evidence(spark):
+    from loreloom.operators import memory as me
+
+    memories = spark.createDataFrame([("m1", 1), ("m2", 2), ("m3", 20), ("m4", 3)], "id string, created_at long")
+    actions = [
+        (5, "correct", "m1", "new text", None), (6, "correct", "m1", "newer", "profile"), (7, "correct", "m2", "", None), (8, "correct", "m2", "x", "no kind"),
+        (9, "delete", "m4", None, None), (10, "correct", "m4", "late", None), (11, "correct", "gone", "text", None), (15, "clear", None, None, None),
+        (16, "correct", "m1", "after the clear", None), (25, "correct", "m3", "fine", None), (15, "correct", "m2", "at the clear", None),
+    ]
+    log = spark.createDataFrame(actions, "at long, action string, id string, content string, kind string")
+    got = me.correction_evidence(memories, log, span=4)
+    assert sorted((r.memory_id, r.created_at) for r in got.collect()) == [("m1", 5), ("m1", 6), ("m2", 15), ("m3", 25)]
+    assert {(r.source, r.excerpt) for r in got.collect()} == {(me.SOURCE_CORRECTED, me.EVIDENCE_CORRECTED)}

@@ -103,3 +103,68 @@ def test_throttle_state_expires_with_the_watermark(spark, tmp_path):
     got = fed(spark, rows, EVENTS, [2], build, str(tmp_path))
     assert got.count() == 3
     assert state_keys(spark, tmp_path, "last") == ["b"]
+
+
+def test_open_and_long_pauses(spark, tmp_path):
+    times = spark.range(0, 400).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600).alias("ts"))
+    times.coalesce(1).write.parquet(str(tmp_path / "times"))
+    hour = lambda h: None if h is None else START.fromtimestamp(1_700_000_000 + h * 3600)
+    spans = [(3, 5), (20, 21), (40, 190), (100, 130), (300, None), (350, None), (250, 250)]
+    pauses = spark.createDataFrame([(1_700_000_000 + a * 3600, None if b is None else 1_700_000_000 + b * 3600) for a, b in spans], "a long, b long").select(
+        F.timestamp_seconds("a").alias("paused_at"), F.timestamp_seconds("b").alias("resumed_at")
+    )
+    want = [i for i in range(400) if not any(a <= i and (b is None or i < b) for a, b in spans)]
+    live = spark.readStream.schema(times.schema).parquet(str(tmp_path / "times"))
+    for coarse in (4, 1024):
+        kept = se.run_to_table(se.drop_paused_stream(live, pauses, "ts", coarse=coarse), "paused")
+        assert sorted(r["id"] for r in kept.collect()) == want
+
+
+def test_listening_writes_every_batch_once_and_counts(spark, tmp_path):
+    from loreloom.plans import jobs
+
+    line = lambda run, seq: '[EVENT]{"schema_version":1,"seq":%d,"run_id":"%s","type":"heartbeat","game_frame":1,"context":{},"payload":{}}' % (seq, run)
+    steps = [[line("a", 1), line("a", 2), "noise", "[EVENT] {bad"], [line("a", 5), line("b", 1), line("a", 5)], [line("a", 4), line("a", 6), "more noise"]]
+    metrics = jobs.ListenMetrics()
+    spark.streams.addListener(metrics)
+    try:
+        source, out, n = str(tmp_path / "source"), str(tmp_path / "out"), 0
+        for rows in steps:
+            spark.createDataFrame([(v, n + i) for i, v in enumerate(rows)], "value string, at long").coalesce(1).write.mode("append").parquet(source)
+            n += len(rows)
+            stream = spark.readStream.schema("value string, at long").parquet(source)
+            jobs.listen(stream, out, ["at"], availableNow=True).awaitTermination()
+    finally:
+        spark.streams.removeListener(metrics)
+    found = jobs.listened(spark, out)
+    want = {("a", 4, 2, 2), ("b", 1, 0, 0)}
+    assert {tuple(r) for r in found.diagnostics.collect()} == want
+    assert sorted((r.run_id, r.seq) for r in found.recorded.collect()) == [("a", 1), ("a", 2), ("a", 5), ("a", 6), ("b", 1)]
+    assert [r.value for r in found.invalid.collect()] == ["[EVENT] {bad"]
+    # the same batch again replaces itself
+    again = spark.createDataFrame([("x", 9, "b", "{}", "valid", True, 0, None)], "run_id string, seq long, value string, json string, status string, accepted boolean, gap long, broken_rules array<string>")
+    for _ in range(2):
+        jobs.write_batch(out)(again, 99)
+    assert found.diagnostics.count() == 2 and jobs.listened(spark, out).recorded.where("run_id = 'x'").count() == 1
+    assert metrics.total() == {"lines": 10, "valid": 7, "invalid": 1, "ignored": 2}
+
+
+def test_state_maps_hold_what_the_run_has(spark, tmp_path):
+    """Items of a room that was left, and nothing else, leave the state."""
+    from loreloom.operators import events as ev
+
+    def line(seq, room, kind, payload):
+        return '[EVENT]{"schema_version":1,"seq":%d,"run_id":"r","type":"%s","game_frame":%d,"context":{"room_index":%d},"payload":%s}' % (seq, kind, seq, room, payload)
+
+    lines = [line(1, 1, "collectible_spawned", '{"collectible_id":7,"init_seed":1}'), line(2, 1, "collectible_spawned", '{"collectible_id":8,"init_seed":2}'),
+             line(3, 1, "player_state_changed", '{"player":{"controller_index":0,"coins":3}}'), line(4, 1, "collectible_taken", '{"collectible_id":8}'),
+             line(5, 2, "collectible_spawned", '{"collectible_id":9,"init_seed":2}'), line(6, 2, "player_state_changed", '{"player":{"controller_index":0,"keys":1}}')]
+    build = lambda s: se.state_stream(ev.valid_events(ev.parse_events(s)))
+    got = fed(spark, [(v,) for v in lines], "value string", [1, 4], build, str(tmp_path))
+    by_batch = {r.last_seq: (r.room_items, r.taken_items) for r in got.collect()}
+    assert by_batch == {1: (1, 0), 4: (2, 1), 6: (1, 0)}
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/progress")
+    assert [r[0] for r in read("items").selectExpr("user_map_key.item_no").collect()] == [5]
+    assert sorted(tuple(r) for r in read("players").selectExpr("user_map_key.field", "user_map_value.value").collect()) == [
+        ("coins", "3"), ("controller_index", "0"), ("keys", "1")
+    ]
