@@ -1,7 +1,12 @@
 """The corpus pipeline: toxic documents go, then copies, near copies and benchmark leaks; the rest is packed.
 
 Each stage is a function of (spark, docs, sf_dir). Its result is written as Parquet and read again as the next one's
-``docs``. All but the last return the columns of ``documents``.
+``docs``. All but the last return the columns of ``documents``, in their order, and any further columns that ``docs`` has.
+
+Nulls and odd rows: a null or empty text is clean, equal to other empty texts for exact dedup, linked with nothing for near dedup, and
+packs as its end token alone. Rows with a null id are judged by their text in every stage: never training rows, copies of rows with
+ids first, never near copies, contaminated like others, packed with a null id. Repeated rows are exact copies, of which one stays. Texts
+are read whole. An empty table, or no labels or items, gives an empty or an unchanged table.
 """
 
 from __future__ import annotations
