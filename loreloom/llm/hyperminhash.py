@@ -147,6 +147,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, n, m, x, y) to the plausible (a, b, est)."""
 
     def compare(batches):
+        frugal()
         for batch in (b.slice(k, 2048) for b in batches for k in range(0, b.num_rows, 2048)):
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for i in (4, 5))
@@ -154,6 +155,7 @@ def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(plausible(est, used, n, m, percent))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(est)], names=["a", "b", "est"])
             yield out.filter(keep)
+        trim()
 
     return pairs.mapInArrow(compare, "a long, b long, est double")
 
@@ -310,11 +312,14 @@ def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """(node, alone): how many shingles of each vertex no other of ``nodes`` has."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         cache, windows = Hashes(), Windows()
         for batch, texts in rows(in_bounds(batches, limit=1 << 20)):
             each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
             owner = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(signed(np.concatenate(each)))], names=["node", "shingle"])
+        del cache, windows
+        trim()
 
     texts = _texts_of(nodes, docs, id_col, text_col)
     drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, shingle long")
@@ -332,6 +337,8 @@ def _marks(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words:
             each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
             marks = [np.unique(e.astype(np.uint16)).tobytes() if len(e) <= SMALL else None for e in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
+        del cache, windows
+        trim()
 
     texts = _texts_of(nodes, docs, id_col, text_col)
     drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, marks binary")
@@ -369,6 +376,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     limit = 1 - percent / 100 + 1e-9
 
     def compare(table: pa.Table) -> pa.Table:
+        frugal()
         one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         frame = {c: table.column(c).to_numpy() for c in ("node", "component", "n", "shared", "block")}
         hub = table.column("hub").fill_null(-1).to_numpy()

@@ -107,6 +107,7 @@ def hits(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataF
         table = shared.value
         last = np.uint64(len(table) * 8 - 1)
         cache, windows = WordHashes(), Windows()
+        cache.limit = 100_000
 
         def inside(values: np.ndarray) -> np.ndarray:
             out = np.arange(len(values))
@@ -182,7 +183,9 @@ def overlaps(
     ).join(want, "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         cache = WordHashes()
+        cache.limit = 100_000
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for key, mark, item, shifts, text, other in zip(*(c.to_pylist() for c in batch.columns)):
