@@ -264,6 +264,8 @@ def manifest_totals(corpus: Corpus) -> dict:
     tables = corpus.pages.where(
         (F.col("namespace") == va.DATA_NAMESPACE) & F.col("title").isin(ITEM_TABLE, KEYWORD_TABLE, ENTITY_TABLE)
     ).count()
+    named = corpus.pages.where((F.col("namespace") == va.DATA_NAMESPACE) & F.startswith("title", F.lit(sd.ROOM_PREFIX))).count()
+    skipped = max(0, counts[f"namespace_{va.DATA_NAMESPACE}"] - chunk["rooms"] - tables)
     return {
         **counts,
         "document_count": chunk["documents"], "chunk_count": chunk["chunks"], "entity_count": corpus.entities.count(),
@@ -273,7 +275,9 @@ def manifest_totals(corpus: Corpus) -> dict:
         "room_layout_count": chunk["rooms"], "fact_count": corpus.facts.count(),
         "pages_without_chunks": pages.join(cut, "title_key", "left_anti").count(),
         "violations": corpus.violations.count(),
-        "skipped_data_pages": max(0, counts[f"namespace_{va.DATA_NAMESPACE}"] - chunk["rooms"] - tables),
+        "skipped_data_pages": skipped,
+        # as published manifests count: a room page that is no layout once more
+        "skipped_data_pages_published": skipped + named - chunk["rooms"],
     }
 
 

@@ -81,7 +81,7 @@ def test_build_counts(built):
     totals = co.manifest_totals(built)
     expected = {
         "raw_records": 15, "redirects": 5, "redirect_resolved": 2, "redirect_broken": 1, "redirect_cycles": 2,
-        "data_chunk_count": 4, "room_layout_count": 1, "fact_count": 3, "skipped_data_pages": 1,
+        "data_chunk_count": 4, "room_layout_count": 1, "fact_count": 3, "skipped_data_pages": 1, "skipped_data_pages_published": 2,
     }
     assert {k: totals[k] for k in expected} == expected
 
