@@ -213,3 +213,25 @@ def test_cost_and_liveness_streams(spark, tmp_path):
     query = se.record(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 6
+
+
+def test_small_groups_need_no_call_each(spark):
+    """Many sparse keys over a wide order: no Python call per key and chunk, whatever the keys hold."""
+    rows = [(k, i * 90_000 + j, None if i == 2 else 1) for k in (None, 1, 2**60, 2**60 + 1) for i in range(6) for j in (0, 3, 7, 7 * k if k == 1 else 9)]
+    df = spark.createDataFrame(rows, "k long, at long, cost int").withColumn("cost", F.col("cost").cast("decimal(9,2)")).distinct()
+    got = chains.admit(df, ["k"], "at", "cost", 5, 8, 6)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in chains.throttle(df, ["k"], "at", 5)._jdf.queryExecution().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["k"], []).append(r["at"])
+    for k in (None, 1, 2**60, 2**60 + 1):
+        want, last, spent = [], None, 0
+        for at, cost in sorted({(at, cost) for key, at, cost in rows if key == k}, key=lambda r: r[0]):
+            if (last is None or at >= last + 5) and len(want) < 8 and spent < 6:
+                want.append(at)
+                last, spent = at, spent + (cost or 0)
+        assert sorted(found[k]) == want
+    assert {(r["k"], r["at"]) for r in chains.admit(df, ["k"], "at", "cost", 5, 8, 6, 5).collect() if r["k"]} == {
+        (k, at) for k, ats in found.items() for at in ats if k
+    }
