@@ -235,3 +235,19 @@ def test_small_groups_need_no_call_each(spark):
     assert {(r["k"], r["at"]) for r in chains.admit(df, ["k"], "at", "cost", 5, 8, 6, 5).collect() if r["k"]} == {
         (k, at) for k, ats in found.items() for at in ats if k
     }
+
+
+@pytest.mark.parametrize("span", [4, 7, 5000])
+def test_rotation_adds_audio_turn_by_turn(spark, span):
+    """Sums at the limit depend on the order of addition, and times may run back; chunks must not matter."""
+    rng = random.Random(3)
+    rows = [("k", i, float(rng.randrange(200)), rng.choice([0.1, 0.2, 0.3, 0.7])) for i in range(400)]
+    want, no, start, turns, heard = {}, 0, 0.0, 0, 0.0
+    for _, i, s, a in rows:
+        if not no or s - start >= 150 or turns >= 9 or heard >= 1.5:
+            no, start, turns, heard = no + 1, s, 0, 0.0
+        turns, heard = turns + 1, heard + a
+        want[i] = no
+    df = spark.createDataFrame(rows, "k string, turn long, s double, a double")
+    got = chains.rotate_sessions(df, ["k"], "turn", "s", "a", 150, 9, 1.5, span)
+    assert {r["turn"]: r["session_no"] for r in got.collect()} == want
