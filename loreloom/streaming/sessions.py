@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from loreloom.streaming.events import _in_order, use_rocksdb
 
 MICROS = 1_000_000
+BLOCK = 1_000  # turns looked at in one go
 
 
 def _micros(ts: pd.Series) -> np.ndarray:
@@ -237,27 +238,25 @@ class _Rotation(StatefulProcessor):
         self.limits = max_seconds, max_turns, max_audio
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "no bigint, start double, turns bigint, audio double, latest double")
+        self.open = handle.getValueState("open", "no bigint, start double, turns bigint, audio double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _in_order(rows, [self.order])
-        no, start, turns, audio, latest = self.open.get() if self.open.exists() else (0, 0.0, 0, 0.0, -np.inf)
-        s = np.maximum.accumulate(np.maximum(frame[self.seconds].astype("float64").to_numpy(), latest))
-        heard = np.concatenate([[0.0], np.cumsum(frame[self.audio].astype("float64").to_numpy())])
+        no, start, turns, audio = self.open.get() if self.open.exists() else (0, 0.0, 0, 0.0)
+        s, a = (frame[c].astype("float64").to_numpy() for c in (self.seconds, self.audio))
         max_seconds, max_turns, max_audio = self.limits
         number, i = np.empty(len(s), dtype="int64"), 0
         while i < len(s):
-            full = not no or s[i] - start >= max_seconds or turns >= max_turns or audio >= max_audio
-            if full:
+            if not no or s[i] - start >= max_seconds or turns >= max_turns or audio >= max_audio:
                 no, start, turns, audio = no + 1, float(s[i]), 0, 0.0
-            # the first turn that finds the session used up
-            until = min(
-                int(np.searchsorted(s, start + max_seconds)), i + max_turns - turns, int(np.searchsorted(heard, heard[i] + max_audio - audio)), len(s)
-            )
-            until = max(until, i + 1)
+            # the first turn that finds the session used up; audio is added turn by turn, so that the cut into micro-batches does not matter
+            until = min(i + max(max_turns - turns, 1), i + BLOCK, len(s))
+            heard = np.cumsum(np.append(audio, a[i:until]))
+            full = np.flatnonzero((s[i + 1 : until] - start >= max_seconds) | (heard[1:-1] >= max_audio))
+            until = i + 1 + int(full[0]) if len(full) else until
             number[i:until] = no
-            turns, audio, i = turns + until - i, audio + float(heard[until] - heard[i]), until
-        self.open.update((int(no), start, int(turns), audio, float(s[-1])))
+            turns, audio, i = turns + until - i, float(heard[until - i]), until
+        self.open.update((int(no), start, int(turns), audio))
         yield frame.assign(session_no=number)
 
     def close(self) -> None:

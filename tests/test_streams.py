@@ -168,3 +168,18 @@ def test_state_maps_hold_what_the_run_has(spark, tmp_path):
     assert sorted(tuple(r) for r in read("players").selectExpr("user_map_key.field", "user_map_value.value").collect()) == [
         ("coins", "3"), ("controller_index", "0"), ("keys", "1")
     ]
+
+
+@pytest.mark.parametrize("cuts", [[], [10, 11, 70]])
+def test_rotation_stream_adds_audio_turn_by_turn(spark, tmp_path, cuts):
+    rng = random.Random(3)
+    rows = [("k", i, float(rng.randrange(200)), rng.choice([0.1, 0.2, 0.3, 0.7])) for i in range(150)]
+    want, no, start, turns, heard = {}, 0, 0.0, 0, 0.0
+    for _, i, s, a in rows:
+        if not no or s - start >= 150 or turns >= 9 or heard >= 1.5:
+            no, start, turns, heard = no + 1, s, 0, 0.0
+        turns, heard = turns + 1, heard + a
+        want[i] = no
+    build = lambda s: ss.rotation_stream(s, "k", "at", "s", "audio", 150, 9, 1.5)
+    got = fed(spark, rows, "k string, at long, s double, audio double", cuts, build, str(tmp_path))
+    assert {r.at: r.session_no for r in got.collect()} == want
