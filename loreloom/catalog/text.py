@@ -7,6 +7,9 @@ from loreloom.functions import text as tx
 from loreloom.operators import answers as an, events as ev, memory as me
 
 FOLD = "replace(lower(text), 'ß', 'ss')"
+# DuckDB's upper() keeps one letter for one; the rule is the full mapping, where one letter may become several (ß: SS).
+LONGER = {c: c.upper() for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1}
+UPPER = "CASE {0} " + " ".join(f"WHEN '{c}' THEN '{u}'" for c, u in LONGER.items()) + " ELSE upper({0}) END"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
@@ -19,7 +22,7 @@ STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
       md5(trim(regexp_replace(regexp_replace(text, '[ \t\f\v]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(10) || '|;：')) AS plain,
       md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed,
       md5(CASE WHEN instr(k, ':') > 0 THEN substr(k, 1, instr(k, ':')) ELSE '' END
-          || upper(substr(k, 1 + instr(k, ':'), 1)) || substr(k, 2 + instr(k, ':'))) AS title_key
+          || {UPPER.format("substr(k, 1 + instr(k, ':'), 1)")} || substr(k, 2 + instr(k, ':'))) AS title_key
     FROM t
     """
 )
