@@ -43,10 +43,12 @@ def postings_index(spark, sf_dir):
     words AS (
       SELECT item_id, array_to_string(list_slice(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), 1, 2), ' ') AS p
       FROM asked),
-    docs AS (SELECT doc_id, len(list_filter(w, lambda x: x <> '')) AS dl, '  ' || array_to_string(w, '  ') || '  ' AS body FROM bodies),
+    pairs AS (
+      SELECT doc_id, len(list_filter(w, lambda x: x <> '')) AS dl, unnest(w) AS term, unnest(list_append(w[2:], NULL)) AS following FROM bodies),
     counts AS (
-      SELECT p, doc_id, dl, (length(body) - length(replace(body, m, ''))) // length(m) AS tf
-      FROM (SELECT DISTINCT p, ' ' || replace(p, ' ', '  ') || ' ' AS m FROM words) JOIN docs ON contains(body, m)),
+      SELECT p, doc_id, dl, count(*) AS tf
+      FROM (SELECT DISTINCT p, split_part(p, ' ', 1) AS a, nullif(split_part(p, ' ', 2), '') AS b FROM words WHERE p <> '')
+      JOIN pairs ON term = a AND (b IS NULL OR following = b) GROUP BY ALL),
     meta AS (SELECT doc_id, lang, source, (doc_id % 3)::VARCHAR AS version, doc_id % 7 = 0 AS stale FROM documents)
     SELECT item_id, doc_id, dl, tf FROM words JOIN counts USING (p) JOIN asked USING (item_id) JOIN meta m USING (doc_id)
     WHERE (asked.lang IS NULL OR asked.lang = m.lang) AND (asked.source IS NULL OR asked.source = m.source)

@@ -31,3 +31,11 @@ def test_title_key_of_letters_that_become_several(spark, tmp_path):
     texts = ["ßieung", "Ns:ßa", "ŉx", "ǰa:b", "ﬁn", "ﬃ", "ΐa", "ᾳb", "ab", "äb", "x:", ":", ""]
     rows = [(i, t, "de", "src0", len(t)) for i, t in enumerate(texts)]
     assert agrees(spark, tmp_path, "normal_forms", documents=(rows, DOCUMENTS))[0] == "ok"
+
+
+def test_phrase_places_that_overlap_count_each(spark, tmp_path):
+    texts = ["the the the the", "The the, a the", "the a the a the a", "one", "one one", ""]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(texts * 2)]
+    items = [(2, "The the x"), (4, "the a the"), (8, "one")]
+    verdict = agrees(spark, tmp_path, "phrase_filtered", documents=(rows, DOCUMENTS), benchmark=(items, "item_id long, text string"))
+    assert verdict[0] == "ok" and verdict[2] > 0
