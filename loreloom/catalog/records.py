@@ -369,13 +369,15 @@ def half_hearts(spark, sf_dir):
 
 @registry.add(
     """
-    SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_extendedprice DESC, l_linenumber) AS best
-    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 2 GROUP BY l_orderkey
+    SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS best
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS r FROM lineitem)
+    WHERE r <= 2 GROUP BY l_orderkey
     """
 )
 def top_two_parts(spark, sf_dir):
-    """The two dearest lines of every order: top-k per key without a window over all of a key's rows."""
-    best = top_per(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_extendedprice").desc(), F.col("l_linenumber")], 2)
+    """The two dearest lines of every order, ties to the smaller line and part: top-k per key without a window over all of a key's rows."""
+    order = [F.col("l_extendedprice").desc(), F.col("l_linenumber"), F.col("l_partkey")]
+    best = top_per(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, 2)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "l_partkey"))), lambda s: s["l_partkey"].cast("string"))
     return best.groupBy("l_orderkey").agg(F.array_join(listed, ",").alias("best"))
 

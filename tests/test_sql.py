@@ -39,3 +39,10 @@ def test_phrase_places_that_overlap_count_each(spark, tmp_path):
     items = [(2, "The the x"), (4, "the a the"), (8, "one")]
     verdict = agrees(spark, tmp_path, "phrase_filtered", documents=(rows, DOCUMENTS), benchmark=(items, "item_id long, text string"))
     assert verdict[0] == "ok" and verdict[2] > 0
+
+
+def test_equal_lines_of_an_order_go_by_part(spark, tmp_path):
+    rows = [(order, part, 1, 10.0) for order in range(20) for part in ((9, 3, 7) if order % 2 else (7, 9, 3))]
+    verdict = agrees(spark, tmp_path, "top_two_parts", lineitem=(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double"))
+    assert verdict == ("ok", verdict[1], 20)
+    assert {r["best"] for r in REGISTRY.queries["top_two_parts"](spark, str(tmp_path)).collect()} == {"3,7"}
