@@ -32,7 +32,7 @@ def match_overrides(pages: DataFrame, overrides: DataFrame) -> DataFrame:
     )
     offered = overrides.select(
         "position", F.explode(F.array_distinct(F.transform(F.filter(given, lambda v: v != ""), tx.alias_key))).alias("key")
-    )
+    ).groupBy("key").agg(F.min("position").alias("position"))
     first = wanted.join(offered, "key").groupBy("title_key").agg(F.min("position").alias("position"))
     chosen = overrides.select(
         "position", F.col("entity_type").alias("o_type"), F.col("entity_id").alias("o_id"),

@@ -364,3 +364,17 @@ def test_pcm(spark, tmp_path):
     assert [(r["sequence"], r["duration_ms"], r["rms"]) for r in rows] == [(0, 20.0, 1000), (1, 20.0, 1000), (2, 10.0, 1000)]
     assert fl.recording_gate(chunks, 20, 10, 100, 500).first()["verdict"] == "ok"
     assert fl.recording_gate(chunks, 60, 10, 100, 500).first()["verdict"] == "too short"
+
+
+def test_overrides_of_one_name_are_reduced_before_the_join(spark):
+    from loreloom.operators import entities as en
+
+    pages = spark.createDataFrame([(str(i), "Same", []) for i in range(30)], "title_key string, title string, aliases array<string>")
+    overrides = spark.range(1, 200).selectExpr(
+        "id as position", "'same' as page_title", "array('x') as match_aliases", "'t' as entity_type", "string(id) as entity_id", "'z' as name_zh",
+        "'e' as name_en", "array('a') as aliases",
+    )
+    found = en.match_overrides(pages, overrides)
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (key")[1]
+    assert "min(position" in joins
+    assert {(r.title_key, r.o_id) for r in found.collect()} == {(str(i), "1") for i in range(30)}
