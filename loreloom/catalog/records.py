@@ -9,7 +9,7 @@ from loreloom.functions import text as tx
 from loreloom.operators import answers as an, entities as en, events as ev, index as ix, memory as me
 from loreloom.operators import redirects as rd, retrieve as rt, structured as sd
 from loreloom.operators.scan import by_span, top_per
-from loreloom.session import stage
+from loreloom.session import spread, stage
 
 KEY = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^0-9a-z\x{{3400}}-\x{{9fff}}]+', '', 'g')"
 MEMORY_KEY = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]+', '', 'g')"
@@ -264,7 +264,7 @@ def part_aliases(spark, sf_dir):
     """Alias set and shortest plain name of every part."""
     size = F.col("p_size").cast("string")
     spelled = F.array("p_name", F.upper("p_name"), F.concat_ws(" ", "p_name", size), F.concat(F.lit("C"), size))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select(
         "p_partkey", F.size(tx.unique_aliases(spelled)).cast("long").alias("aliases"), F.lower(tx.best_name(spelled, False)).alias("best")
     )
 

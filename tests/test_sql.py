@@ -46,3 +46,9 @@ def test_equal_lines_of_an_order_go_by_part(spark, tmp_path):
     verdict = agrees(spark, tmp_path, "top_two_parts", lineitem=(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double"))
     assert verdict == ("ok", verdict[1], 20)
     assert {r["best"] for r in REGISTRY.queries["top_two_parts"](spark, str(tmp_path)).collect()} == {"3,7"}
+
+
+def test_part_aliases_use_all_cores(spark):
+    """The table's scan has one split here, and few splits for a million rows."""
+    rows = REGISTRY.queries["part_aliases"](spark, SF_DIR)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
