@@ -52,3 +52,8 @@ def test_part_aliases_use_all_cores(spark):
     """The table's scan has one split here, and few splits for a million rows."""
     rows = REGISTRY.queries["part_aliases"](spark, SF_DIR)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_contained_keys_travel_with_the_length_of_the_query_alone(spark):
+    plan = REGISTRY.queries["alias_contained"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("length(whole#") > plan.index("Join Inner")
