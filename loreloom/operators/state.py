@@ -114,16 +114,25 @@ def visit_items(visited: DataFrame, span: int = 100_000) -> DataFrame:
     ).drop("item_key")
 
 
+def stage_events(events: DataFrame) -> DataFrame:
+    """What the state needs of accepted events, written once: the running steps read them several times, and parsing costs most."""
+    return stage(events.select("run_id", "seq", "type", "game_frame", "context", "payload"), "state-events")
+
+
 def room_items(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Items of every room visit."""
-    return visit_items(stage(room_visits(events, span), "visits"))
+    return visit_items(stage(room_visits(stage_events(events), span), "visits"), span)
 
 
 def current_items(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Items of each run's latest visit only."""
-    visited = stage(room_visits(events, span), "visits")
+    return _latest_items(stage_events(events), span)
+
+
+def _latest_items(staged: DataFrame, span: int) -> DataFrame:
+    visited = stage(room_visits(staged, span), "visits")
     last = visited.groupBy("run_id").agg(F.max("visit").alias("visit"))
-    return visit_items(visited.join(last, ["run_id", "visit"], "left_semi"))
+    return visit_items(visited.join(last, ["run_id", "visit"], "left_semi"), span)
 
 
 def bridge_versions(events: DataFrame) -> DataFrame:
@@ -136,8 +145,8 @@ def bridge_versions(events: DataFrame) -> DataFrame:
 
 def rebuild_state(events: DataFrame, span: int = 100_000) -> DataFrame:
     """Head state per run with the number of open and taken items in the current room."""
-    slim = stage(events.select("run_id", "seq", "type", "game_frame", "context", "payload"), "state-events")
-    items = current_items(slim, span).groupBy("run_id").agg(
+    slim = stage_events(events)
+    items = _latest_items(slim, span).groupBy("run_id").agg(
         F.count("*").alias("room_items"), F.count_if("taken").alias("taken_items")
     )
     return run_heads(slim).join(items, "run_id", "left").fillna(0, ["room_items", "taken_items"])
