@@ -20,6 +20,7 @@ ROOM_FIELDS = ("room_index", "room_spawn_seed")
 CONTEXT_FIELDS = (
     "stage", "stage_type", "room_index", "room_type", "room_variant", "room_spawn_seed",
 )
+ENVELOPE_FIELDS = ("schema_version", "seq", "run_id", "type", "game_frame", "context", "payload")
 ITEM_ROOM_TYPE = 4
 # End of fixed values.
 
@@ -34,22 +35,27 @@ def event_json(line: Column, prefix: str = DEFAULT_PREFIX) -> Column:
     return F.when(at > 0, after).when(F.startswith(text, F.lit("{")), text)
 
 
-def _at(name: str) -> Column:
-    return F.try_variant_get("v", f"$.{name}", "variant")
+def _members(value: str, names: Sequence[str]) -> Column:
+    """Members of an object value, each a variant of its own; null when the value is no object."""
+    return F.try_variant_get(value, "$", "struct<" + ", ".join(f"{name}: variant" for name in names) + ">")
 
 
-def _kind(c: Column) -> Column:
-    """Type name of a variant value; null when the key is absent."""
-    return F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0)
+def _kind(value: str) -> Column:
+    """Type name of a variant value, an object's with its members; null when the key is absent."""
+    return F.schema_of_variant(F.col(value))
 
 
-def _whole(path: str) -> Column:
+def _is_object(value: str) -> Column:
+    return F.startswith(_kind(value), F.lit("OBJECT"))
+
+
+def _whole(value: str) -> Column:
     """Strict whole number: no booleans, strings or fractions."""
-    return F.when(_kind(_at(path)) == "BIGINT", F.try_variant_get("v", f"$.{path}", "long"))
+    return F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
 
 
-def _string(path: str) -> Column:
-    return F.when(_kind(_at(path)) == "STRING", F.try_variant_get("v", f"$.{path}", "string"))
+def _string(value: str) -> Column:
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def parse_events(lines: DataFrame, line: str = "value", prefix: str = DEFAULT_PREFIX) -> DataFrame:
@@ -61,25 +67,25 @@ def parse_events(lines: DataFrame, line: str = "value", prefix: str = DEFAULT_PR
     # column, so later filters and projections cannot repeat the parsing.
     kept = [c for c in lines.columns]
     tokens = lines.select(*kept, event_json(F.col(line), prefix).alias("json"))
+    # The object is taken apart once; a path per field would search it from the root each time.
     tokens = tokens.select("*", F.explode_outer(F.array(F.try_parse_json("json"))).alias("v"))
+    tokens = tokens.select(*kept, "json", F.explode_outer(F.array(_members("v", ENVELOPE_FIELDS))).alias("m"))
+    tokens = tokens.select("*", F.explode_outer(F.array(_members("m.context", (*CONTEXT_FIELDS, "room_clear")))).alias("c"))
     context = F.struct(
-        *[_whole(f"context.{name}").alias(name) for name in CONTEXT_FIELDS],
-        F.when(
-            _kind(_at("context.room_clear")) == "BOOLEAN",
-            F.try_variant_get("v", "$.context.room_clear", "boolean"),
-        ).alias("room_clear"),
+        *[_whole(f"c.{name}").alias(name) for name in CONTEXT_FIELDS],
+        F.when(_kind("c.room_clear") == "BOOLEAN", F.try_variant_get("c.room_clear", "$", "boolean")).alias("room_clear"),
     )
     envelope = F.struct(
-        (_kind(F.col("v")) == "OBJECT").alias("is_object"),
-        _whole("schema_version").alias("schema_version"),
-        _whole("seq").alias("seq"),
-        _string("run_id").alias("run_id"),
-        _string("type").alias("type"),
-        _whole("game_frame").alias("game_frame"),
-        (F.coalesce(_kind(_at("context")), F.lit("OBJECT")) == "OBJECT").alias("context_ok"),
-        (F.coalesce(_kind(_at("payload")), F.lit("OBJECT")) == "OBJECT").alias("payload_ok"),
+        F.col("m").isNotNull().alias("is_object"),
+        _whole("m.schema_version").alias("schema_version"),
+        _whole("m.seq").alias("seq"),
+        _string("m.run_id").alias("run_id"),
+        _string("m.type").alias("type"),
+        _whole("m.game_frame").alias("game_frame"),
+        F.coalesce(_is_object("m.context"), F.lit(True)).alias("context_ok"),
+        F.coalesce(_is_object("m.payload"), F.lit(True)).alias("payload_ok"),
         context.alias("context"),
-        F.coalesce(F.to_json(_at("payload")), F.lit("{}")).alias("payload"),
+        F.coalesce(F.to_json("m.payload"), F.lit("{}")).alias("payload"),
     )
     parsed = tokens.select(*kept, "json", F.explode_outer(F.array(envelope)).alias("e"))
     rules = {
@@ -95,10 +101,9 @@ def parse_events(lines: DataFrame, line: str = "value", prefix: str = DEFAULT_PR
     broken = F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
     )
-    fields = ("schema_version", "seq", "run_id", "type", "game_frame", "context", "payload")
     return parsed.select(
         *kept,
-        *[F.col(f"e.{f}").alias(f) for f in fields],
+        *[F.col(f"e.{f}").alias(f) for f in ENVELOPE_FIELDS],
         F.when(F.col("json").isNotNull(), broken).alias("broken_rules"),
     ).withColumn(
         "status",

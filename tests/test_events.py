@@ -271,3 +271,16 @@ def test_item_steps_read_events_once(spark):
     assert calls.value == 40
     assert [r["collectible_id"] for r in st.latest_untaken(st.current_items(events, 7)).collect()] == [40]
     assert calls.value == 80
+
+
+def test_lines_are_taken_apart_once(spark):
+    """No search from the root for every field, and the same verdict on the type of each value."""
+    base = {"schema_version": "1", "seq": "3", "run_id": '"r"', "type": '"t"', "game_frame": "0", "context": '{"room_index":1}', "payload": "{}"}
+    odd = ["1.0", "1.5", '"1"', "true", "null", "[]", "99999999999999999999", '"OBJECT"']
+    lines = {(name, value): "{" + ",".join(f'"{k}":{v}' for k, v in (base | {name: value}).items()) + "}" for name in base for value in odd}
+    df = spark.createDataFrame([(*k, v) for k, v in lines.items()], "name string, odd string, value string")
+    parsed = ev.parse_events(df)
+    assert "$.seq" not in parsed._jdf.queryExecution().optimizedPlan().toString()
+    for row in parsed.collect():
+        fine = row["name"] in ("run_id", "type") and row["odd"].startswith('"')
+        assert row["broken_rules"] == ([] if fine else [row["name"]]), row
