@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loreloom.llm.memory import frugal
+from loreloom.llm.memory import frugal, trim
 from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
@@ -232,6 +232,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
                 arrays.append(pa.array([v.astype(np.int32) for v in out[7]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(cut, fields + (", ids array<int>" if keep_ids else ""))

@@ -203,6 +203,8 @@ def overlaps(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, pa.int64()) for v in out], names=["id", "mark", "item", "start", "n_words", "n_matching"]
             )
+        cache.clear()
+        trim()
 
     return joined.select("id", "mark", "item", "shifts", "text", "want").mapInArrow(
         verify, "id long, mark long, item long, start long, n_words long, n_matching long"

@@ -269,3 +269,29 @@ def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(5, 24)).astype(np.float32)
     y = cross_polytope.rotated(cross_polytope.padded(x), 3, 1, 9)
     assert np.allclose(np.linalg.norm(y, axis=0), np.linalg.norm(x, axis=1), rtol=1e-5)
+
+
+def test_memory_of_the_last_task_is_given_back():
+    """A worker's next task finds what the last one freed; until then glibc may keep it."""
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, os
+from loreloom.llm import memory
+libc = ctypes.CDLL(None)
+libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+memory.frugal()
+held = [libc.malloc(4000) for _ in range(30000)]
+for at in held:
+    ctypes.memset(at, 1, 4000)
+pin = libc.malloc(4000)
+for at in held:
+    libc.free(at)
+rss = lambda: int(open('/proc/self/statm').read().split()[1]) * os.sysconf('SC_PAGE_SIZE') >> 20
+before = rss()
+memory.frugal()
+print(before - rss())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) > 80
