@@ -258,15 +258,15 @@ def test_item_steps_read_events_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
     @F.udf("string")
-    def parsed(payload):
+    def parsed(run):
         calls.add(1)
-        return payload
+        return run
 
     rows = [("r", i, "collectible_spawned", i, f'{{"collectible_id":{i},"init_seed":{i}}}') for i in range(1, 41)]
     df = spark.createDataFrame(rows, "run_id string, seq long, type string, game_frame long, payload string")
     room = F.floor(F.col("seq") / 10)
     context = F.struct(*[F.lit(1).cast("long").alias(c) if c not in ev.ROOM_FIELDS else room.alias(c) for c in ev.CONTEXT_FIELDS])
-    events = df.withColumn("payload", parsed("payload")).withColumn("context", context)
+    events = df.withColumn("run_id", parsed("run_id")).withColumn("context", context)
     assert st.room_items(events, 7).count() == 40
     assert calls.value == 40
     assert [r["collectible_id"] for r in st.latest_untaken(st.current_items(events, 7)).collect()] == [40]
