@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from hashlib import sha256
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,15 @@ def test_exact_only_and_conflicts(spark):
     assert sorted(r[0] for r in kept.collect()) == [1, 3]
     flagged = {r["node_id"]: r["source_conflict"] for r in dedup.flag_conflicts(df, ["checksum"]).collect()}
     assert flagged == {1: True, 2: True, 3: False}
+
+
+def test_signature_memory_does_not_grow_with_the_words():
+    """A batch remembers the hashes of some words only; the signatures are the same."""
+    texts = pd.Series([" ".join(f"w{i}x{k}" for k in range(500)) for i in range(200)])
+    one_by_one = [dedup._simhash64.func(texts[i : i + 1]).iloc[0] for i in (0, 150, 199)]
+    tracemalloc.start()
+    found = dedup._simhash64.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [found.iloc[i] for i in (0, 150, 199)] == one_by_one
+    assert peak < 8 << 20
