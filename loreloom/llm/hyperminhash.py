@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from loreloom.llm import bloom_dedup
 from loreloom.llm.components import components
 from loreloom.llm.memory import frugal, trim
-from loreloom.llm.tables import stage
+from loreloom.llm.tables import drop, stage
 from loreloom.llm.words import Windows, WordHashes, in_bounds, mix, rows, signed
 
 BANDS, ROWS = 48, 6
@@ -220,7 +220,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (is that id)."""
     # 1: sketches, and equal sets folded to their smallest id
-    drawn, _ = stage(sketches(docs, id_col, text_col, words), "sketches")
+    spark = docs.sparkSession
+    drawn, drawn_path = stage(sketches(docs, id_col, text_col, words), "sketches")
     known = drawn.where("n > 0 and id is not null")
     vertices, _ = stage(
         known.groupBy("digest").agg(
@@ -230,13 +231,14 @@ def near_duplicates(
     )
     member = known.select("id", "digest").join(vertices.select("digest", "node"), "digest").select("id", "node")
     member, _ = stage(member, "members")
+    # the registers are kept with the vertices only
+    drawn, _ = stage(drawn.select("id", "n", "digest"), "sizes")
+    drop(spark, drawn_path)
     several = member.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     repeated = member.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
     # 2: buckets of two vertices or more, each compared with the bucket's smallest
-    entries = vertices.select(F.explode(_band_keys()).alias("key"), "node")
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high"))
-    shared, _ = stage(entries.join(hubs.where("hub < high").drop("high"), "key"), "buckets")
+    shared, shared_path = stage(_shared(vertices.select(F.explode(_band_keys()).alias("key"), "node")), "buckets")
     node = vertices.select("node", "n", "regs")
     stars = shared.where("node <> hub").select("node", "hub").distinct()
     stars = stars.join(node.select("node", "n", F.col("regs").alias("x")), "node").join(
@@ -253,7 +255,8 @@ def near_duplicates(
     # 3: buckets that are not one component yet, compared with their most ordinary vertex
     texts = (docs, id_col, text_col, words)
     label = components(first.unionByName(repeated))
-    open_, _ = stage(_open(shared.select("key", "node"), label), "open-buckets")
+    open_, open_path = stage(_open(shared.select("key", "node"), label), "open-buckets")
+    drop(spark, shared_path)
     alone = _alone_counts(open_.select("node").distinct(), *texts)
     # an id of several texts is no single set: nothing counts as its own
     alone = alone.join(several.select(F.col("id").alias("node"), F.lit(0).alias("none")), "node", "left").select(
@@ -262,6 +265,7 @@ def near_duplicates(
     known_size = vertices.select("node", "n").join(alone, "node").select("node", "n", (F.col("n") - F.col("alone")).alias("shared"))
     known_size, _ = stage(known_size, "shared-sizes")
     open_, _ = stage(_linkable(open_.join(known_size, "node"), percent), "linkable")
+    drop(spark, open_path)
     lightest = open_.groupBy("key").agg(
         F.min_by(F.struct("node", "n", "shared", "component"), F.struct(-F.col("shared") / F.col("n"), "node")).alias("h")
     )
@@ -301,6 +305,13 @@ def near_duplicates(
     )
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """(key, node, hub) of the buckets of two vertices or more; entries are dealt by key once, for the sums and for the join."""
+    entries = entries.repartition("key")
+    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high"))
+    return entries.join(hubs.where("hub < high").drop("high"), "key")
+
+
 def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
     """(key, node, component) of the buckets whose vertices lie in several components."""
     placed = entries.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
