@@ -47,6 +47,8 @@ EMPTY = 255
 SIGMAS = 6
 #: Vertices of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Slices of the hash range for each partition of a shuffle, in which shingles are counted.
+SLICES = 4
 #: Shingles of a set whose 16-bit marks are compared before its estimate.
 SMALL = 2000
 
@@ -319,22 +321,39 @@ def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
     return placed.join(several.select("key"), "key")
 
 
+def _sliced(nodes: np.ndarray, elements: np.ndarray, slices: int) -> pa.RecordBatch:
+    """(slice, nodes, shingles): a row for each slice of the hash range that has any."""
+    slice_ = (elements % np.uint64(slices)).astype(np.int32)
+    by = np.argsort(slice_, kind="stable")
+    slice_ = slice_[by]
+    start = np.flatnonzero(np.diff(slice_, prepend=-1))
+    ends = pa.array(np.append(start, len(by)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v[by])) for v in (nodes, signed(elements))]
+    return pa.RecordBatch.from_arrays([pa.array(slice_[start]), *lists], names=["slice", "nodes", "shingles"])
+
+
 def _alone_counts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(node, alone): how many shingles of each vertex no other of ``nodes`` has."""
 
+    slices = SLICES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         cache, windows = Hashes(), Windows()
-        for batch, texts in rows(in_bounds(batches, limit=1 << 20)):
+        for batch, texts in rows(in_bounds(batches)):
             each = [shingles((t or b"").lower().split(), words, cache, windows) for t in texts]
-            owner = np.repeat(batch.column(0).to_numpy(), [len(e) for e in each])
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(signed(np.concatenate(each)))], names=["node", "shingle"])
+            yield _sliced(np.repeat(batch.column(0).to_numpy(), [len(e) for e in each]), np.concatenate(each), slices)
         del cache, windows
         trim()
 
     texts = _texts_of(nodes, docs, id_col, text_col)
-    drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(draw, "node long, shingle long")
-    single = drawn.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    drawn = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(
+        draw, "slice int, nodes array<long>, shingles array<long>"
+    )
+    # dealt once, by slice: the sums need no further exchange, and a shingle costs its hash instead of a row
+    drawn = drawn.repartition("slice").select("slice", F.explode(F.arrays_zip("nodes", "shingles")).alias("one"))
+    drawn = drawn.select("slice", F.col("one.nodes").alias("node"), F.col("one.shingles").alias("shingle"))
+    single = drawn.groupBy("slice", "shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     counts = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     return nodes.join(counts, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
