@@ -16,6 +16,7 @@ from loreloom.streaming import events as se
 from loreloom.streaming import sessions as ss
 
 STEPS = 3
+BUCKETS = 2_048  # of users that are handled together
 
 
 def _step(spark, sf_dir):
@@ -54,7 +55,7 @@ def stream_sessions(spark, sf_dir):
     late = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(
         F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), "ts", F.lit("view").alias("event_type")
     )
-    build = lambda s: ss.sessions_stream(s, "user_id", ["event_id"], "ts", "event_type", "signup", 432_000)
+    build = lambda s: ss.sessions_stream(s, "user_id", ["event_id"], "ts", "event_type", "signup", 432_000, buckets=BUCKETS)
     out = in_steps(spark, e, _step(spark, sf_dir), build, "stream-sessions", late)
     return out.select("user_id", "opened_us", "last_us", "events", "end_reason")
 

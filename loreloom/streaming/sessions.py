@@ -5,18 +5,23 @@ forms, however the events are cut into micro-batches. Where a key's state cannot
 and by an event-time timer once the watermark has passed the point after which a fresh start gives the same result.
 
 A micro-batch's rows of one key are ordered in the handler; the trigger's size limits (``maxFilesPerTrigger``,
-``maxBytesPerTrigger``) bound them. Loops run over sessions and emissions, not over rows.
+``maxBytesPerTrigger``) bound them. Loops run over sessions and emissions, not over rows. Sessions and admission can handle a bucket of
+keys at a time, so that Python is called a bounded number of times a micro-batch; a bucket's state is read and written whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loreloom.streaming.events import _in_order, use_rocksdb
@@ -46,75 +51,115 @@ class _Timer:
             self.due.clear()
 
 
+class _Kept:
+    """The states of a bucket's keys, as one Arrow table in one value: a call of Python for each key would cost more than the work on it."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, fields: dict[str, pa.DataType]) -> None:
+        self.schema = pa.schema(list(fields.items()))
+        self.value = handle.getValueState(name, "kept binary")
+
+    def get(self) -> pa.Table:
+        held = self.value.get() if self.value.exists() else None
+        return pa.ipc.open_stream(held[0]).read_all() if held else self.schema.empty_table()
+
+    def put(self, table: pa.Table) -> None:
+        if not len(table):
+            self.value.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as writer:
+            writer.write_table(table)
+        self.value.update((sink.getvalue().to_pybytes(),))
+
+    def numbered(self, held: pa.Table, keys: pd.Series) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of the keys, and the keys by number; those held come first, in their order."""
+        kind = self.schema.field(0).type
+        both = pa.concat_arrays([held.column(0).combine_chunks(), pa.array(keys, kind, from_pandas=True)]).dictionary_encode(null_encoding="encode")
+        return both.indices.to_numpy()[len(held) :], both.dictionary
+
+
+def _grouped(rows: DataFrame, key: str, buckets: int | None) -> GroupedData:
+    """Rows by the bucket of their key's hash, or by the key itself."""
+    if buckets is None:
+        return rows.groupBy(key)
+    return rows.withColumn("state_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy("state_bucket")
+
+
+def _kind(events: DataFrame, key: str) -> pa.DataType:
+    return to_arrow_type(events.schema[key].dataType)
+
+
 class _Sessions(StatefulProcessor):
-    """The open session of a run: (opened, last, events)."""
+    """The open sessions of a bucket of runs: (run, opened, last, events)."""
 
-    def __init__(self, run: str, order: Sequence[str], ts: str, type_: str, end_type: str, idle_us: int) -> None:
-        self.run, self.order, self.ts, self.type, self.end_type, self.idle_us = run, order, ts, type_, end_type, idle_us
+    def __init__(self, run: str, kind: pa.DataType, order: Sequence[str], ts: str, type_: str, end_type: str, idle_us: int) -> None:
+        self.run, self.kind, self.order, self.ts, self.type, self.end_type, self.idle_us = run, kind, order, ts, type_, end_type, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "opened bigint, last bigint, events bigint")
+        self.open = _Kept(handle, "open", {"run": self.kind} | dict.fromkeys(("opened", "last", "events"), pa.int64()))
         self.timer = _Timer(handle)
 
-    def _rows(self, key, closed: list[tuple]) -> Iterator[pd.DataFrame]:
-        if closed:
-            out = pd.DataFrame(closed, columns=["opened_us", "last_us", "events", "end_reason"])
-            out.insert(0, self.run, key[0])
-            yield out
+    def _rows(self, closed: pa.Table, reason) -> Iterator[pd.DataFrame]:
+        if len(closed):
+            out = closed.to_pandas()
+            out.columns = [self.run, "opened_us", "last_us", "events"]
+            yield out.assign(end_reason=reason)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _in_order(rows, self.order)
-        at, ends = _micros(frame[self.ts]), (frame[self.type] == self.end_type).to_numpy()
-        held = self.open.get() if self.open.exists() else None
-        before = np.concatenate([[held[1] if held else at[0]], at[:-1]])
-        after_end = np.concatenate([[not held], ends[:-1]])
-        idle = ~after_end & (at - before > self.idle_us)
-        starts = np.flatnonzero(after_end | idle)
-        closed: list[tuple] = []
-        edges = [0, *starts.tolist(), len(at)] if not len(starts) or starts[0] else [*starts.tolist(), len(at)]
-        if held and len(starts) and starts[0] == 0:
-            closed.append((*held, "idle"))
-            held = None
-        for a, b in zip(edges[:-1], edges[1:]):
-            opened, count = (held[0], held[2]) if held else (int(at[a]), 0)
-            held = (opened, int(at[b - 1]), count + b - a)
-            if ends[b - 1]:
-                closed.append((*held, "ended"))
-                held = None
-            elif b < len(at):
-                closed.append((*held, "idle"))
-                held = None
-        if held:
-            self.open.update(held)
-            self.timer.move((held[1] + self.idle_us) // 1000 + 1)
+    def _keep(self, held: pa.Table) -> None:
+        self.open.put(held)
+        if len(held):
+            self.timer.move((int(held.column("last").to_numpy().min()) + self.idle_us) // 1000 + 1)
         else:
-            self.open.clear()
             self.timer.drop()
-        yield from self._rows(key, closed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame, held = pd.concat(list(rows)), self.open.get()
+        number, keys = self.open.numbered(held, frame[self.run])
+        frame = frame.assign(_number=number).sort_values(["_number", *self.order], kind="stable")
+        at = _micros(frame[self.ts])
+        # an open session is a row before the others of its run
+        number = np.concatenate([np.arange(len(held)), frame["_number"].to_numpy()])
+        by = np.argsort(number, kind="stable")
+        opened, last, size = (held.column(c).to_numpy() for c in ("opened", "last", "events"))
+        ends = np.concatenate([np.zeros(len(held), dtype=bool), (frame[self.type] == self.end_type).to_numpy()])[by]
+        opened, last = np.concatenate([opened, at])[by], np.concatenate([last, at])[by]
+        size, number = np.concatenate([size, np.ones(len(at), dtype=np.int64)])[by], number[by]
+        fresh = np.concatenate([[True], number[1:] != number[:-1]])
+        start = np.flatnonzero(fresh | np.concatenate([[False], ends[:-1] | (last[1:] - last[:-1] > self.idle_us)]))
+        final = np.append(start[1:], len(number)) - 1
+        of_run = np.append(fresh, True)[final + 1]
+        table = pa.table([keys.take(pa.array(number[start])), *(pa.array(v) for v in (opened[start], last[final], np.add.reduceat(size, start)))], schema=self.open.schema)
+        stays = of_run & ~ends[final]
+        self._keep(table.filter(pa.array(stays)))
+        yield from self._rows(table.filter(pa.array(~stays)), np.where(ends[final], "ended", "idle")[~stays])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.open.get() if self.open.exists() else None
-        self.open.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = self.open.get()
+        gone = (held.column("last").to_numpy() + self.idle_us) // 1000 + 1 <= now
         self.timer.due.clear()
-        yield from self._rows(key, [(*held, "idle")] if held else [])
+        self._keep(held.filter(pa.array(~gone)))
+        yield from self._rows(held.filter(pa.array(gone)), "idle")
 
     def close(self) -> None:
         pass
 
 
 def sessions_stream(
-    events: DataFrame, run: str, order: Sequence[str], ts: str, type_: str, end_type: str, idle_seconds: int, delay: str = "0 seconds"
+    events: DataFrame, run: str, order: Sequence[str], ts: str, type_: str, end_type: str, idle_seconds: int, delay: str = "0 seconds",
+    buckets: int | None = None,
 ) -> DataFrame:
     """(run, opened_us, last_us, events, end_reason) of every session, when it closes: at an end event, or after ``idle_seconds``
-    without one. The watermark closes a session for which nothing comes any more, and its state goes with it."""
+    without one. The watermark closes a session for which nothing comes any more, and its state goes with it. ``buckets`` handles and
+    keeps many runs at a time, by their hash."""
     use_rocksdb(events.sparkSession)
     slim = events.select(*dict.fromkeys([run, ts, type_, *order])).withWatermark(ts, delay)
     schema = T.StructType([events.schema[run]] + [T.StructField(c, T.LongType()) for c in ("opened_us", "last_us", "events")] + [
         T.StructField("end_reason", T.StringType())
     ])
-    return slim.groupBy(run).transformWithStateInPandas(
-        statefulProcessor=_Sessions(run, order, ts, type_, end_type, idle_seconds * MICROS), outputStructType=schema, outputMode="Append",
-        timeMode="EventTime",
+    return _grouped(slim, run, buckets).transformWithStateInPandas(
+        statefulProcessor=_Sessions(run, _kind(events, run), order, ts, type_, end_type, idle_seconds * MICROS), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime",
     )
 
 
@@ -192,41 +237,52 @@ def throttle_stream(
 
 
 class _Admission(StatefulProcessor):
-    """Last accepted time, number and cost of what a key was granted."""
+    """Last accepted time, number and cost of what each key of a bucket was granted."""
 
-    def __init__(self, at: str, cost: str, gap: int, most: int, budget: float) -> None:
-        self.at, self.cost, self.gap, self.most, self.budget = at, cost, gap, most, budget
+    def __init__(self, columns: list[str], key: str, kind: pa.DataType, at: str, cost: str, gap: int, most: int, budget: float) -> None:
+        self.columns, self.key, self.kind, self.at, self.cost = columns, key, kind, at, cost
+        self.gap, self.most, self.budget = gap, most, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.granted = handle.getValueState("granted", "last bigint, n bigint, spent decimal(38,9)")
+        self.granted = _Kept(handle, "granted", {"key": self.kind, "last": pa.int64(), "n": pa.int64(), "spent": pa.decimal128(38, 9)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, n, spent = self.granted.get() if self.granted.exists() else (None, 0, 0)
-        if n >= self.most or spent >= self.budget:
-            for _ in rows:  # nothing is granted any more
-                pass
-            return
-        frame = _in_order(rows, [self.at])
-        at, cost = frame[self.at].astype("int64").to_numpy(), frame[self.cost].to_list()
-        i, chosen = (int(np.searchsorted(at, last + self.gap)) if n else 0), []
-        while i < len(at) and n < self.most and spent < self.budget:
-            chosen.append(i)
-            last, n, spent = int(at[i]), n + 1, spent + (cost[i] or 0)
-            i = int(np.searchsorted(at, last + self.gap))
+        frame, held = pd.concat(list(rows)), self.granted.get()
+        number, keys = self.granted.numbered(held, frame[self.key])
+        granted = dict(enumerate(zip(*(held.column(c).to_pylist() for c in ("last", "n", "spent")))))
+        full = [k for k, (_, n, spent) in granted.items() if n >= self.most or spent >= self.budget]
+        frame = frame.assign(_number=number)[~np.isin(number, full)].sort_values(["_number", self.at], kind="stable")
+        number, at, cost = frame["_number"].to_numpy(), frame[self.at].astype("int64").to_list(), frame[self.cost].to_list()
+        edges = [*np.flatnonzero(np.diff(number, prepend=-1)).tolist(), len(at)]
+        chosen: list[int] = []
+        for i, end in zip(edges[:-1], edges[1:]):
+            own = int(number[i])
+            last, n, spent = granted.get(own, (None, 0, Decimal(0)))
+            i = bisect_left(at, last + self.gap, i, end) if n else i
+            while i < end and n < self.most and spent < self.budget:
+                chosen.append(i)
+                last, n, spent = at[i], n + 1, spent + (cost[i] or 0)
+                i = bisect_left(at, last + self.gap, i, end)
+            if n:
+                granted[own] = (last, n, spent)
         if chosen:
-            self.granted.update((last, n, spent))
-            yield frame.iloc[chosen]
+            columns = [pa.array(v, t) for v, t in zip(zip(*granted.values()), self.granted.schema.types[1:])]
+            self.granted.put(pa.table([keys.take(pa.array(list(granted), pa.int64())), *columns], schema=self.granted.schema))
+            yield frame.iloc[chosen][self.columns]
 
     def close(self) -> None:
         pass
 
 
-def admission_stream(requests: DataFrame, key: str, at: str, cost: str, min_gap: int, max_accepted: int, budget: float) -> DataFrame:
-    """The accepted requests: far enough from the last accepted, below the count, budget left. ``cost`` is a decimal."""
+def admission_stream(
+    requests: DataFrame, key: str, at: str, cost: str, min_gap: int, max_accepted: int, budget: float, buckets: int | None = None
+) -> DataFrame:
+    """The accepted requests: far enough from the last accepted, below the count, budget left. ``cost`` is a decimal. ``buckets``
+    handles and keeps many keys at a time, by their hash."""
     use_rocksdb(requests.sparkSession)
-    return requests.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Admission(at, cost, min_gap, max_accepted, budget), outputStructType=requests.schema, outputMode="Append",
-        timeMode="None",
+    return _grouped(requests, key, buckets).transformWithStateInPandas(
+        statefulProcessor=_Admission(requests.columns, key, _kind(requests, key), at, cost, min_gap, max_accepted, budget),
+        outputStructType=requests.schema, outputMode="Append", timeMode="None",
     )
 
 
