@@ -71,7 +71,7 @@ def stream_throttle(spark, sf_dir):
 @registry.add(registry.sql["admission"])
 def stream_admission(spark, sf_dir):
     e = tables._events(spark, sf_dir).select("user_id", "event_id", F.col("value").cast("decimal(18,2)").alias("cost"))
-    build = lambda s: ss.admission_stream(s, "user_id", "event_id", "cost", 50, 20, 500)
+    build = lambda s: ss.admission_stream(s, "user_id", "event_id", "cost", 50, 20, 500, BUCKETS)
     return in_steps(spark, e, _step(spark, sf_dir), build, "stream-admission").select("user_id", "event_id")
 
 
