@@ -14,6 +14,7 @@ of the tasks before, so no length, however frequent, is gathered anywhere.
 from __future__ import annotations
 
 import bisect
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from loreloom.llm.tables import stage
 from loreloom.llm.words import in_bounds, rows
 
 END = 1
+#: Marks that are one pre-token after letters.
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
 class Encoder(dict):
@@ -71,19 +74,28 @@ class Encoder(dict):
         self[part] = value
         return value
 
+    def _merged(self, mapped: str) -> bytes:
+        ids = [token.id for token in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encoded(self, part: bytes) -> bytes:
-        text = part.decode()
         if not self.direct:
-            return self._whole(text)
+            return self._whole(part.decode())
+        # of ASCII letters nothing needs to be normalised, and the byte table leaves them as they are
+        if part.isalpha():
+            low = part.lower()
+            return self._merged(part.decode()) if low == part else self[low]
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return self[part[:-1]] + self[part[-1:]]
+        text = part.decode()
         if text.isalpha():
             if "Σ" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
                 return self._whole(text)
             low = text.lower()
             if low != text:
                 return self[low.encode()]
-            mapped = part.decode("latin-1").translate(self.table)
-            return np.array([token.id for token in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-        if text[-1] in ".,;:!?" and _letters(text[:-1]):
+            return self._merged(part.decode("latin-1").translate(self.table))
+        if part[-1:] in MARKS and _letters(text[:-1]):
             return self[part[:-1]] + self[part[-1:]]
         return self._whole(text)
 
@@ -99,10 +111,11 @@ def _letters(stem: str) -> bool:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
-    """The Python worker's encoder, kept from task to task."""
+def encoder_of(path: str, remembered: int = Encoder.limit) -> Encoder:
+    """The Python worker's encoder, kept from task to task; it remembers up to twice as many parts as ``remembered``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = remembered
     return _ENCODERS[path]
 
 
@@ -207,13 +220,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, keep_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, keep_ids: bool, remembered: int) -> DataFrame:
     """Pieces with their task and their rank among the task's pieces of that length."""
     fields = "id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, remembered)
         part, seen = TaskContext.get().partitionId(), {}
         for batch, texts in rows(in_bounds(batches)):
             out: list[list] = [[] for _ in range(8)]
@@ -239,10 +252,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, keep_ids: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, keep_ids: bool = False,
+    remembered: int = Encoder.limit,
 ) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    cut, _ = stage(pieces(docs, tokenizer, id_col, text_col, capacity, keep_ids), "pieces")
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids). ``remembered`` trades memory of the workers, about
+    400 bytes for each, for time; it changes no result."""
+    cut, _ = stage(pieces(docs, tokenizer, id_col, text_col, capacity, keep_ids, remembered), "pieces")
     by_part, _ = stage(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

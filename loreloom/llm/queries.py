@@ -125,7 +125,7 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), remembered=200_000)
 
 
 @registry.add(
