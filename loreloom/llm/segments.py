@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ LEAST = math.log(2)
 #: Largest score of one word, so that no single word decides by itself.
 TOP = 6.0
 PRIOR = 50.0
+#: Bytes of text whose new words are looked up together, about.
+SCORED_BYTES = 2 << 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -53,42 +56,62 @@ def bucket_of(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode()) % BUCKETS
 
 
-class Memo(dict):
-    """A function of a string, remembered for ``limit`` strings, and for as many that were asked for before those."""
+def features(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``words``, bucket) of every feature: the words themselves, then their 5-grams.
 
-    def __init__(self, function, limit: int = 75_000) -> None:
+    Each different gram is hashed once; ``known`` remembers the buckets of at most 150,000 and those of one call.
+    """
+    if len(known) > 150_000:
+        known.clear()
+    marked = pa.array([f"^{word}$" for word in words], pa.string())
+    sizes = pc.utf8_length(marked).to_numpy()
+    places, grams, at = [np.arange(len(words))], [], np.arange(len(words))
+    for start in range(int(sizes.max(initial=0)) - 4):
+        at = at[sizes[at] >= start + 5]
+        places.append(at)
+        grams.append(pc.utf8_slice_codeunits(marked.take(pa.array(at)), start, start + 5))
+    coded = pa.chunked_array(grams, pa.string()).combine_chunks().dictionary_encode()
+    different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known.update((gram, bucket_of(gram)) for gram in set(different).difference(known))
+    whole = np.fromiter(map(bucket_of, marked.to_numpy(zero_copy_only=False)), dtype=np.int64, count=len(words))
+    of_grams = np.fromiter(map(known.__getitem__, different), dtype=np.int64, count=len(different))
+    return np.concatenate(places), np.concatenate([whole, of_grams[coded.indices.to_numpy()]])
+
+
+class Buckets(dict):
+    """The buckets of a word's features, for many words at once; emptied when more than ``limit`` words are known."""
+
+    limit = 75_000
+
+    def __init__(self) -> None:
         super().__init__()
-        self.function, self.limit = function, limit
-        self.older: dict = {}
-
-    def __missing__(self, key: str):
-        value = self.older.get(key)
-        if value is None:
-            value = self.function(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        self.grams: dict[str, int] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """From now on, until the next call at least, every word of the texts is known."""
+        if len(self) > self.limit:
             self.clear()
-        self[key] = value
-        return value
+        new = list(set().union(*texts).difference(self))
+        place, bucket = features(new, self.grams)
+        by_word = bucket[np.argsort(place)].tolist()
+        ends = np.cumsum(np.bincount(place, minlength=len(new))).tolist()
+        self.update((word, by_word[start:end]) for word, start, end in zip(new, [0, *ends], ends))
 
 
-def features(word: str, grams: Memo) -> list:
-    """What ``grams`` has for the word and for each of its character 5-grams."""
-    marked = f"^{word}$"
-    return [grams.function(marked), *(grams[marked[i : i + 5]] for i in range(len(marked) - 4))]
+def words_of(text: bytes | None) -> list[str]:
+    return WORD.findall((text or b"").decode().lower())
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (bucket, toxic documents, other documents), summed over the task."""
     frugal()
-    grams = Memo(bucket_of)
-    known = Memo(lambda word: features(word, grams))
+    known = Buckets()
     totals = np.zeros((2, BUCKETS), dtype=np.int64)
-    for batch, texts in rows(batches):
-        for label, text in zip(batch.column(0).to_pylist(), texts):
-            hit: set[int] = set()
-            for word in set(WORD.findall((text or b"").decode().lower())):
-                hit.update(known[word])
+    for batch, texts in rows(in_bounds(batches, limit=SCORED_BYTES)):
+        said = [list(set(words_of(text))) for text in texts]
+        known.learn(said)
+        for label, words in zip(batch.column(0).to_pylist(), said):
+            hit = set().union(*map(known.__getitem__, words))
             if hit:
                 totals[1 if label else 0, np.fromiter(hit, dtype=np.int64)] += 1
     used = np.flatnonzero(totals.any(axis=0))
@@ -136,7 +159,31 @@ def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tup
     return [(r - left, first, end) for left, r, first, end, _ in open_]
 
 
-_SCORERS: dict[str, Memo] = {}
+class Scorer:
+    """The scoring words among those met so far, which are forgotten together when they are more than ``limit``."""
+
+    def __init__(self, weights: np.ndarray, limit: int = 200_000) -> None:
+        self.weights, self.limit = weights, limit
+        self.met: set[str] = set()
+        self.score: dict[str, float] = {}
+        self.grams: dict[str, int] = {}
+
+    def learn(self, texts: list[list[str]]) -> dict[str, float]:
+        """The scores of all scoring words of the texts, and of some others."""
+        if len(self.met) > self.limit:
+            self.met.clear()
+            self.score.clear()
+        new = list(set().union(*texts).difference(self.met))
+        self.met.update(new)
+        place, bucket = features(new, self.grams)
+        weight = self.weights[bucket]
+        for at in np.flatnonzero(weight > 0).tolist():  # none is below zero, and few are above
+            word = new[place[at]]
+            self.score[word] = max(self.score.get(word, 0.0), float(weight[at]))
+        return self.score
+
+
+_SCORERS: dict[str, Scorer] = {}
 
 
 class Model:
@@ -147,34 +194,42 @@ class Model:
         self.trained = bool(weights.any())
         self.name = uuid.uuid4().hex
 
-    def scorer(self) -> Memo:
+    def scorer(self) -> Scorer:
         """The word scores of this model, kept by the Python worker from task to task."""
         if self.name not in _SCORERS:
             _SCORERS.clear()
-            grams = Memo(lambda gram: float(self.weights[bucket_of(gram)]))
-            _SCORERS[self.name] = Memo(lambda word: max(features(word, grams)))
+            _SCORERS[self.name] = Scorer(self.weights)
         return _SCORERS[self.name]
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.scorer().__getitem__, words), dtype=np.float32, count=len(words))
+    def scoring_words(self, texts: list[list[str]]) -> list[tuple[list[int], list[float]]]:
+        """Places and scores of each text's scoring words; all others score zero."""
+        score = self.scorer().learn(texts)
+        found = []
+        for words in texts:  # most texts have none, and a look into the few scoring words is quick
+            at = [] if score.keys().isdisjoint(words) else [i for i, word in enumerate(words) if word in score]
+            found.append((at, [score[words[i]] for i in at]))
+        return found
 
     def passages(self, text: bytes | None) -> tuple[int, list[tuple[float, float, int, int]]]:
         """Number of words, and (evidence, score, first word, word after) of every significant passage."""
-        words = WORD.findall((text or b"").decode().lower())
-        if not words or not self.trained:
-            return len(words), []
-        gain = self.word_scores(words)
-        at = np.flatnonzero(gain > 0)
-        if not len(at):
-            return len(words), []
+        return len(words_of(text)), self.all_passages([text])[0]
+
+    def all_passages(self, texts: list[bytes | None]) -> list[list[tuple[float, float, int, int]]]:
+        """The significant passages of each text."""
+        said = [words_of(text) for text in texts]
+        return [self._significant(words, *x) for words, x in zip(said, self.scoring_words(said))] if self.trained else [[] for _ in said]
+
+    def _significant(self, words: list[str], at: list[int], gain: list[float]) -> list[tuple[float, float, int, int]]:
+        if not at:
+            return []
         base = math.log(self.k * len(words))
         seen: dict[str, int] = {}
         gains = []
-        for i in at.tolist():  # the n-th time a text says the same word counts an n-th
+        for i, own in zip(at, gain):  # the n-th time a text says the same word counts an n-th
             seen[words[i]] = seen.get(words[i], 0) + 1
-            gains.append(float(gain[i]) / seen[words[i]])
-        found = maximal_segments(at.tolist(), gains, DRIFT)
-        return len(words), [(self.lam * s - base, s, a, b) for s, a, b in found if self.lam * s > base]
+            gains.append(own / seen[words[i]])
+        found = maximal_segments(at, gains, DRIFT)
+        return [(self.lam * s - base, s, a, b) for s, a, b in found if self.lam * s > base]
 
     def probability(self, evidence: float) -> float:
         if not self.trained:
@@ -234,10 +289,12 @@ def _background(train: DataFrame, model: Model) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(steps, dtype=np.int64)
-        for _, texts in rows(batches):
-            for text in texts:
-                gain = shared.value.word_scores(WORD.findall((text or b"").decode().lower()))
-                total += np.bincount(np.ceil(gain * 10).astype(np.int64), minlength=steps)[:steps]
+        for _, texts in rows(in_bounds(batches, limit=SCORED_BYTES)):
+            said = [words_of(text) for text in texts]
+            for words, (_, gain) in zip(said, shared.value.scoring_words(said)):
+                step = np.ceil(np.array(gain, dtype=np.float32) * 10).astype(np.int64)
+                total += np.bincount(step, minlength=steps)[:steps]
+                total[0] += len(words) - len(gain)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(steps)), pa.array(total)], names=["step", "n"])
 
     found = train.select("label", "text").where("label = 0").mapInArrow(count, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
@@ -287,10 +344,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
-        for batch, texts in rows(in_bounds(batches)):
+        for batch, texts in rows(in_bounds(batches, limit=SCORED_BYTES)):
             value, evidence, number, spans = [], [], [], []
-            for text in texts:
-                _, found = shared.value.passages(text)
+            for found in shared.value.all_passages(texts):
                 total = math.fsum(f[0] for f in found)
                 evidence.append(total)
                 value.append(shared.value.probability(total))
@@ -315,8 +371,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
-        for batch, texts in rows(in_bounds(batches, place), place):
-            clean = [shared.value.probability(math.fsum(f[0] for f in shared.value.passages(t)[1])) < at for t in texts]
+        for batch, texts in rows(in_bounds(batches, place, SCORED_BYTES), place):
+            clean = [shared.value.probability(math.fsum(f[0] for f in found)) < at for found in shared.value.all_passages(texts)]
             yield batch.filter(pa.array(clean))
         trim()
 
